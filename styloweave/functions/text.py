@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # Java's and RE2's classes differ on whitespace, so it is spelled out.
 WS = r" \t\n\r\f\x0B"
-WORD = rf"[\p{{L}}\p{{N}}]+(?:'\p{{L}}+)?|[^{WS}\p{{L}}\p{{N}}]"
+# A run of letters and digits with an optional 'suffix, or any other visible character. The
+# ASCII ranges are part of the classes; named first they spare most class look-ups.
+WORD = rf"[a-zA-Z0-9\p{{L}}\p{{N}}]+(?:'[a-zA-Z\p{{L}}]+)?|[^{WS}]"
 # A sentence runs up to and with a group of terminators. One character class follows the
 # terminator instead of a repeated group, so the match needs no stack on long dotted lines.
 SENTENCE = rf"[^.!?]*[.!?][.!?{WS}]*|[^.!?]+"

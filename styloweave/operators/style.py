@@ -80,15 +80,44 @@ def _pair(feature: str, item: Column) -> Column:
     return F.struct(F.lit(feature).alias("feature"), item.alias("item"))
 
 
-def _emissions(features: list[str], profile: str, letters: str) -> Column:
-    """Array of `(feature, item)` that one token contributes."""
+# Larger vocabularies are looked up after counting only.
+LITERAL_VOCAB = 2_000
+
+
+def _emissions(features: list[str], vocabs: dict[str, list[str]], open_features: list[str],
+               profile: str) -> Column:
+    """Array of `(feature, item)` that one token contributes.
+
+    Items outside the vocabulary are dropped here, or lose their name where they count in
+    the denominator, so they never reach the shuffle. An entry may be null.
+    """
     token, simple = F.col("token"), profile == "simple"
     singles: list[Column] = [_pair("tokens", F.lit("count"))]
     several: list[Column] = []
+
+    def listed(feature: str, item: Column) -> Column | None:
+        items = list(dict.fromkeys(vocabs.get(feature, [])))
+        return item.isin(items) if len(items) <= LITERAL_VOCAB else None
+
     def single(feature: str, item: Column, when: Column | None = None) -> None:
+        known = listed(feature, item) if feature in vocabs else None
+        if known is not None and feature in open_features:
+            item = F.when(known, item)
+        elif known is not None:
+            when = known if when is None else when & known
         pair = _pair(feature, item)
         singles.append(pair if when is None else F.when(when, pair))
 
+    def chars(feature: str, array: Column) -> None:
+        if listed(feature, F.lit("")) is None:
+            several.append(F.transform(array, lambda c: _pair(feature, c)))
+        elif feature in open_features:
+            several.append(F.transform(array, lambda c: _pair(
+                feature, F.when(listed(feature, c), c))))
+        else:
+            several.append(F.transform(F.filter(array, lambda c: listed(feature, c)),
+                                       lambda c: _pair(feature, c)))
+
     single("sentence_count", F.lit("count"), F.col("sent_pos") == 0)
     if "pos_unigrams" in features:
         single("pos_unigrams", F.col("pos"))
@@ -106,22 +135,23 @@ def _emissions(features: list[str], profile: str, letters: str) -> Column:
     if "named_entities" in features:
         single("named_entities", F.col("ent_type"), F.col("ent_start"))
     if "morph_tags" in features:
-        tags = F.filter(F.split(F.coalesce("morph", F.lit("")), r"\|"), lambda m: m != "")
-        several.append(F.transform(tags, lambda m: _pair("morph_tags", m)))
+        tags = F.split(F.coalesce("morph", F.lit("")), r"\|")
+        chars("morph_tags", F.filter(tags, lambda m: m != ""))
     if "punctuation" in features and simple:
         single("punctuation", token, F.col("is_punct"))
     if "punctuation" in features and not simple:
-        # words carry no punctuation but an inner apostrophe or hyphen: skip the plain ones
-        marks = F.when(token.rlike(r"^\p{L}+$"), F.array().cast("array<string>")).otherwise(
-            F.filter(F.split(token, ""), lambda c: c != ""))
-        several.append(F.transform(marks, lambda c: _pair("punctuation", c)))
+        # plain words hold no punctuation
+        none = F.array().cast("array<string>")
+        chars("punctuation", F.when(token.rlike(r"^[a-zA-Z]+$"), none)
+              .otherwise(F.split(token, "")))
     if "letters" in features:
-        chars = F.filter(F.split(token, ""), tx.is_alphabetic)
-        several.append(F.transform(chars, lambda c: _pair("letters", c)))
-    return F.concat(F.array_compact(F.array(*singles)), *several)
+        letters = F.split(token, "")
+        chars("letters", F.filter(letters, tx.is_alphabetic) if "letters" in open_features
+              else letters)
+    return F.concat(F.array(*singles), *several) if several else F.array(*singles)
 
 
-def _kept_without_item(features: list[str], profile: str, letters: str) -> list[str]:
+def _open_features(features: list[str], profile: str, letters: str) -> list[str]:
     """Features whose denominator includes items outside the vocabulary."""
     kept = {"pos_unigrams", "dep_labels", "morph_tags", "named_entities"}
     if letters == "single" or profile == "simple":
@@ -132,13 +162,13 @@ def _kept_without_item(features: list[str], profile: str, letters: str) -> list[
 
 
 def _counted(pairs: DataFrame, table: DataFrame, open_features: list[str]) -> DataFrame:
-    """Count pairs. Items outside the vocabulary keep only their feature, or are dropped."""
-    listed = pairs.join(table, ["feature", "item"], "left")
-    known = F.col("idx").isNotNull() | F.col("feature").isin(
-        "tokens", "sentence_count", "types", "transitions")
-    return (listed.where(known | F.col("feature").isin(open_features))
-            .select("doc_id", "feature", F.when(known, F.col("item")).alias("item"), "idx", "n")
-            .groupBy("doc_id", "feature", "item", "idx").agg(F.sum("n").alias("n")))
+    """Count pairs, then look up their vector positions: the join sees counts, not tokens."""
+    counts = pairs.groupBy("doc_id", "feature", "item").agg(F.sum("n").alias("n"))
+    unlisted = F.col("feature").isin("tokens", "sentence_count", "types", "transitions",
+                                     *open_features)
+    return (counts.join(table, ["feature", "item"], "left")
+            .where(F.col("idx").isNotNull() | unlisted)
+            .select("doc_id", "feature", "item", "idx", "n"))
 
 
 def sentence_openings(tok: DataFrame, width: int) -> DataFrame:
@@ -229,14 +259,16 @@ def feature_counts(tok: DataFrame, *, docs: DataFrame | None = None,
     spark = tok.sparkSession
     table = column_table(spark, vector_columns(config, vocabs) + [
         (f, i) for f in _user_features(vocabs) for i in vocabs[f]])
-    open_features = _kept_without_item(features, profile, letters)
+    open_features = _open_features(features, profile, letters)
     needs_vocab = {"suasive_verbs", "stative_verbs"}
     emitted = [f for f in features if f not in needs_vocab or vocabs.get(f)]
     if profile == "simple":
         emitted = [f for f in emitted if f != "pos_bigrams"]
 
     pairs = (tok.where(F.col("token").isNotNull())
-             .select("doc_id", F.explode(_emissions(emitted, profile, letters)).alias("p"))
+             .select("doc_id", F.explode(_emissions(emitted, vocabs, open_features, profile))
+                     .alias("p"))
+             .where(F.col("p").isNotNull())
              .select("doc_id", "p.feature", "p.item", F.lit(1).cast("long").alias("n")))
     one = F.lit(1).cast("long").alias("n")
     def also(items: DataFrame, feature: str) -> None:

@@ -24,33 +24,31 @@ SENTENCE_KEY = ["doc_id", "sentence_id"]
 
 
 # ------------------------------------------------------------------------- raw text
-def sentence_words(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """One row per sentence with its words and the position of its first word.
-
-    Everything happens inside the document's row: no shuffle.
-    """
-    words = docs.select(
+def _sentences(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """One row per document with the words of each sentence as an array of arrays."""
+    return docs.select(
         "doc_id", *keep,
         F.transform(tx.sentences_of(F.col("text")), tx.words_of).alias("sents"))
-    starts = F.aggregate(
-        "sents", F.array(F.lit(0)),
-        lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(s))))
-    placed = words.select("doc_id", *keep, "sents", starts.alias("starts"))
-    return (placed
-            .select("doc_id", *keep, "starts", F.posexplode("sents").alias("sentence_id", "words"))
-            .select("doc_id", *keep, "sentence_id", "words",
-                    F.get("starts", F.col("sentence_id")).alias("start"))
-            .where(F.size("words") > 0))
+
+
+def _exploded(items: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Token rows of the `items` column; the position in the array is the token id.
+
+    The outer explode keeps the optimizer from adding a filter on the array size, which
+    would tokenise a second time. Only the items pass the explode, never an array that would
+    be copied into every token row.
+    """
+    return (items.select("doc_id", *keep, F.posexplode_outer("items").alias("token_id", "i"))
+            .where(F.col("i").isNotNull())
+            .select("doc_id", *keep, "token_id", "i.*"))
 
 
 def tokenize(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Raw text to `doc_id, sentence_id, token_id, sent_pos, token`."""
-    return (sentence_words(docs, keep)
-            .select("doc_id", *keep, "sentence_id", "start",
-                    F.posexplode("words").alias("sent_pos", "token"))
-            .select("doc_id", *keep, "sentence_id",
-                    (F.col("start") + F.col("sent_pos")).alias("token_id"),
-                    "sent_pos", "token"))
+    """Raw text to `doc_id, token_id, sentence_id, sent_pos, token`, without a shuffle."""
+    numbered = F.transform("sents", lambda s, i: F.transform(s, lambda w, j: F.struct(
+        i.alias("sentence_id"), j.alias("sent_pos"), w.alias("token"))))
+    return _exploded(_sentences(docs, keep).select("doc_id", *keep,
+                                                   F.flatten(numbered).alias("items")), keep)
 
 
 def token_arrays(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -175,73 +173,85 @@ TAG_OF_POS = {"PUNCT": ".", "NUM": "CD", "DET": "DT", "CCONJ": "CC", "ADP": "IN"
               "SCONJ": "IN", "PART": "RB", "PROPN": "NNP", "ADV": "RB", "ADJ": "JJ",
               "NOUN": "NN"}
 DEP_OF_POS = {"PUNCT": "punct", "DET": "det", "CCONJ": "cc", "ADP": "prep", "PRON": "nsubj",
-              "ADJ": "amod", "ADV": "advmod"}
+              "ADJ": "amod", "ADV": "advmod", "PART": "neg", "SCONJ": "mark", "NUM": "nummod"}
+NOUN_DEP_AFTER = {"VERB": "dobj", "AUX": "attr", "ADP": "pobj"}
 
 
-def _pos(token: Column, at: Column) -> Column:
-    low = F.lower(token)
-    pos = F.when(~token.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(token.rlike(r"^[0-9]+$"), "NUM")
-    for name, words in CLOSED_CLASSES:
-        pos = pos.when(low.isin(words.split()), name)
-    pos = pos.when(token.rlike(r"^\p{Lu}") & (at > 0), "PROPN")
+def _pos(token: Column, low: Column, at: Column) -> Column:
+    closed = F.create_map(*[F.lit(x) for name, words in CLOSED_CLASSES
+                            for w in words.split() for x in (w, name)])
+    open_class = F.when(token.rlike(r"^\p{Lu}") & (at > 0), "PROPN")
     for name, ending in SUFFIX_CLASSES:
-        pos = pos.when(low.endswith(ending), name)
-    return F.when(token.isNotNull(), pos.otherwise("NOUN"))
+        open_class = open_class.when(low.endswith(ending), name)
+    return (F.when(~token.rlike(r"[a-zA-Z0-9\p{L}\p{N}]"), "PUNCT")
+            .when(token.rlike(r"^[0-9]+$"), "NUM")
+            .otherwise(F.coalesce(F.try_element_at(closed, low), open_class.otherwise("NOUN"))))
+
+
+def _by_pos(values: dict[str, str], pos: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), pos)
 
 
 def annotate_fixture(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """A small deterministic annotator for tests and benches; no claim to be a parser.
 
     Closed classes and suffixes give the part of speech; the head is the nearest earlier
-    word. Neighbours are read from the sentence's own word array, so annotation adds no
-    shuffle to tokenisation.
+    word. Neighbours are read from the sentence's own arrays, so annotation adds no shuffle
+    to tokenisation.
     """
-    sents = sentence_words(docs, keep).withColumn(
+    lowered = _sentences(docs, keep).select(
+        "doc_id", *keep, "sents", F.transform("sents", lambda s: F.transform(s, F.lower))
+        .alias("lows"))
+    classed = lowered.select(
+        "doc_id", *keep, "sents", "lows",
+        F.transform("sents", lambda s, i: F.transform(
+            s, lambda w, j: _pos(w, F.get(F.get("lows", i), j), j))).alias("classes"))
+    shaped = classed.select(
         # w/p per token: the last `w` before a token is its head
-        "shape", F.array_join(F.transform(
-            "words", lambda w: F.when(w.rlike(r"[\p{L}\p{N}]"), "w").otherwise("p")), ""))
-    each = sents.select("doc_id", *keep, "sentence_id", "start", "words", "shape",
-                        F.posexplode("words").alias("sent_pos", "token"))
+        "doc_id", *keep, "sents", "lows", "classes", F.transform("classes", lambda c: F.array_join(
+            F.transform(c, lambda p: F.when(p == "PUNCT", "p").otherwise("w")), "")).alias("shape"))
+
+    def placed(sent: Column, i: Column) -> Column:
+        classes, lows = F.get("classes", i), F.get("lows", i)
+        # `shape` is read twice on purpose: the optimizer then keeps it in its own projection
+        # instead of rebuilding it for each token
+        def words_before(j: Column) -> Column:
+            shape = F.coalesce(F.get("shape", i), F.get("shape", i))
+            since = F.substring_index(F.substring(shape, F.lit(1), j), "w", -1)
+            return j - F.length(since)
+        return F.transform(sent, lambda w, j: F.struct(
+            i.alias("sentence_id"), j.alias("sent_pos"), w.alias("token"),
+            F.get(lows, j).alias("low"), F.get(classes, j).alias("pos"),
+            F.get(classes, j - 1).alias("prev_pos"), F.get(classes, j + 1).alias("next_pos"),
+            F.get(lows, j - 1).alias("prev"), F.get(lows, j + 1).alias("next"),
+            (j - F.greatest(words_before(j) - 1, F.lit(0))).alias("back")))
+
+    near = _exploded(shaped.select("doc_id", *keep,
+                                   F.flatten(F.transform("sents", placed)).alias("items")), keep)
     at = F.col("sent_pos")
-    near = each.select(
-        "doc_id", *keep, "sentence_id", "start", "sent_pos", "token",
-        F.get("words", at - 1).alias("prev"), F.get("words", at + 1).alias("next"),
-        F.length(F.rtrim(F.substring("shape", F.lit(1), at), F.lit("p"))).alias("words_before"))
-    tagged = near.select(
-        "*", _pos(F.col("token"), at).alias("pos"), _pos(F.col("prev"), at - 1).alias("prev_pos"),
-        _pos(F.col("next"), at + 1).alias("next_pos"), F.lower("token").alias("low"))
-
-    pos, low = F.col("pos"), F.col("low")
+    pos, low, before = F.col("pos"), F.col("low"), F.col("prev_pos")
     tag = (F.when(low.isin("who", "what"), "WP").when(low == "which", "WDT")
            .when(pos == "PRON", "PRP").when(low == "is", "VBZ").when(pos == "AUX", "VBP")
-           .when((pos == "VERB") & low.endswith("ing"), "VBG").when(pos == "VERB", "VBD"))
-    for name, value in TAG_OF_POS.items():
-        tag = tag.when(pos == name, value)
-    morph = (F.when((pos == "VERB") & low.endswith("ing"), "VerbForm=Ger")
-             .when(pos == "VERB", "Tense=Past|VerbForm=Fin")
+           .when(pos == "VERB", F.when(low.endswith("ing"), "VBG").otherwise("VBD"))
+           .otherwise(_by_pos(TAG_OF_POS, pos)))
+    morph = (F.when(pos == "VERB", F.when(low.endswith("ing"), "VerbForm=Ger")
+                    .otherwise("Tense=Past|VerbForm=Fin"))
              .when(pos.isin("NOUN", "PROPN"), "Number=Sing")
              .when(F.col("token").isin(".", "!", "?"), "PunctType=Peri").otherwise(""))
-    dep = F.when(at == 0, "ROOT")
-    for name, value in DEP_OF_POS.items():
-        dep = dep.when(pos == name, value)
-    before = F.col("prev_pos")
-    dep = (dep.when((pos == "AUX") & (F.col("next_pos") == "VERB") & F.lower("next").endswith("ed"),
-                    "auxpass")
-           .when(pos == "AUX", "aux")
-           .when((pos == "VERB") & F.lower("prev").isin("who", "which"), "relcl")
-           .when(pos == "VERB", "conj")
-           .when(pos.isin("PROPN", "NOUN") & (before == "VERB"), "dobj")
-           .when(pos.isin("PROPN", "NOUN") & (before == "AUX"), "attr")
-           .when(pos.isin("PROPN", "NOUN") & (before == "ADP"), "pobj")
-           .when(pos.isin("PROPN", "NOUN"), "compound")
-           .when(pos == "PART", "neg").when(pos == "SCONJ", "mark").when(pos == "NUM", "nummod")
-           .otherwise("dep"))
+    passive = (F.col("next_pos") == "VERB") & F.col("next").endswith("ed")
+    dep = (F.when(at == 0, "ROOT")
+           .when(pos == "AUX", F.when(passive, "auxpass").otherwise("aux"))
+           .when(pos == "VERB", F.when(F.col("prev").isin("who", "which"), "relcl")
+                 .otherwise("conj"))
+           .when(pos.isin("PROPN", "NOUN"),
+                 F.coalesce(_by_pos(NOUN_DEP_AFTER, before), F.lit("compound")))
+           .otherwise(F.coalesce(_by_pos(DEP_OF_POS, pos), F.lit("dep"))))
     entity = F.when(pos == "PROPN", "PERSON").when(pos == "NUM", "DATE").otherwise("")
-    return tagged.select(
-        "doc_id", *keep, "sentence_id", (F.col("start") + at).alias("token_id"), "sent_pos",
-        "token", F.when(pos == "AUX", "be").otherwise(low).alias("lemma"), "pos",
+    return near.select(
+        "doc_id", *keep, "sentence_id", "token_id", "sent_pos", "token",
+        F.when(pos == "AUX", "be").otherwise(low).alias("lemma"), "pos",
         tag.alias("tag"), morph.alias("morph"),
-        (F.col("start") + F.greatest(F.col("words_before") - 1, F.lit(0))).alias("head_token_id"),
+        (F.col("token_id") - F.col("back")).alias("head_token_id"),
         dep.alias("dep"), (pos == "PUNCT").alias("is_punct"),
         pos.isin(STOP_CLASSES).alias("is_stop"), entity.alias("ent_type"),
         (entity != "").alias("ent_start"), "next_pos", "prev_pos")

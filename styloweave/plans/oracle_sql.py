@@ -80,8 +80,7 @@ ann AS (SELECT doc_id, sentence_id, sent_pos, token_id, token, low, pos, prev_po
          WHEN pos IN ('NOUN', 'PROPN') AND prev_pos = 'AUX' THEN 'attr'
          WHEN pos IN ('NOUN', 'PROPN') AND prev_pos = 'ADP' THEN 'pobj'
          WHEN pos IN ('NOUN', 'PROPN') THEN 'compound'
-         WHEN pos = 'PART' THEN 'neg' WHEN pos = 'SCONJ' THEN 'mark'
-         WHEN pos = 'NUM' THEN 'nummod' ELSE 'dep' END AS dep,
+         ELSE 'dep' END AS dep,
     pos = 'PUNCT' AS is_punct, pos IN {in_list(tk.STOP_CLASSES)} AS is_stop,
     CASE WHEN pos = 'PROPN' THEN 'PERSON' WHEN pos = 'NUM' THEN 'DATE' ELSE '' END AS ent_type
   FROM near)"""
