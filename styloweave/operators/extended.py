@@ -183,11 +183,12 @@ def hypergeometric_diversity(words: DataFrame, sample: int = 42) -> DataFrame:
     per distinct frequency.
     """
     freq = words.groupBy("doc_id", "n").agg(F.count("*").alias("types"))
-    N = words.groupBy("doc_id").agg(F.sum("n").alias("N"))
-    # chance that no draw hits: product of (N - n - k) / (N - k)
+    lengths = words.groupBy("doc_id").agg(F.sum("n").alias("total"))
+    total = F.col("total")
+    # chance that no draw hits: product of (total - n - k) / (total - k)
     missed = F.aggregate(F.sequence(F.lit(0), F.lit(sample - 1)), F.lit(1.0), lambda acc, k:
-                         acc * F.greatest(F.col("N") - F.col("n") - k, F.lit(0)) / (F.col("N") - k))
-    each = freq.join(N, "doc_id").where(F.col("N") >= sample).select(
+                         acc * F.greatest(total - F.col("n") - k, F.lit(0)) / (total - k))
+    each = freq.join(lengths, "doc_id").where(total >= sample).select(
         "doc_id", (F.col("types") * (1 - missed) / sample).alias("share"))
     return words.select("doc_id").distinct().join(
         each.groupBy("doc_id").agg(F.sum("share").alias("hdd")), "doc_id", "left")

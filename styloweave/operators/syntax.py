@@ -96,7 +96,7 @@ def linear_trees(tok: DataFrame) -> DataFrame:
 
 def _contains_required(tree: Column, name: str, pattern: str) -> Column:
     """Plain substring tests every match must pass; true for patterns of the user."""
-    if fv.ENGLISH_PATTERNS.get(name) != pattern:
+    if all(known.get(name) != pattern for known in fv.PATTERNS_BY_LANGUAGE.values()):
         return F.lit(True)
     tests = [reduce(Column.__or__, [tree.contains(t) for t in any_of])
              for any_of in fv.REQUIRED_TEXT[name]]

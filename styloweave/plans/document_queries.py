@@ -10,7 +10,7 @@ from styloweave.operators import extended as ex
 from styloweave.operators import lexicon as lx
 from styloweave.operators import syntax
 from styloweave.operators import tokens as tk
-from styloweave.plans.oracle_sql import in_list, q, values_table
+from styloweave.plans.oracle_sql import annotated_cte, in_list, q
 from styloweave.plans.registry import query, table
 from styloweave.plans.style_queries import (
     ANN, STATIVE, SUASIVE, TOK, VOCABS, annotated_tokens, lexical_tokens, opened_documents,
@@ -201,7 +201,19 @@ def stative(spark, folder):
 # In the fixture every word hangs on the word before it and every mark on the last word, so
 # the preorder is the token order with the marks of a word before the words that follow it.
 # A leading mark is the root; the words then form a chain below it.
-_TREES = f"""{ANN},
+# The driver's prose matches no pattern, so openings that do are put before some texts.
+CONSTRUCTED = ["Is it good? ", "She who walked on and which ended. ", ""]
+_CONSTRUCTED = ("SELECT doc_id, CASE doc_id % 3 " + " ".join(
+    f"WHEN {n} THEN {q(o)}" for n, o in enumerate(CONSTRUCTED)) + " END || text AS text FROM documents")
+
+
+def constructed_tokens(spark, folder):
+    docs = table(spark, folder, "documents")
+    opening = F.get(F.array(*[F.lit(o) for o in CONSTRUCTED]), (F.col("doc_id") % 3).cast("int"))
+    return tk.annotate_fixture(docs.select("doc_id", F.concat(opening, "text").alias("text")))
+
+
+_TREES = f"""{annotated_cte(_CONSTRUCTED)},
 node AS (SELECT a.*, EXISTS (SELECT 1 FROM ann c WHERE c.doc_id = a.doc_id
            AND c.head_token_id = a.token_id AND c.token_id <> a.token_id) AS inner_node
          FROM ann a),
@@ -215,7 +227,7 @@ trees AS (SELECT doc_id, sentence_id, string_agg(token, ' ' ORDER BY token_id) A
 @query("h1_linear_tree", f"""WITH {_TREES}
 SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, sentence, tree FROM trees""")
 def linear_tree(spark, folder):
-    return syntax.linear_trees(annotated_tokens(spark, folder))
+    return syntax.linear_trees(constructed_tokens(spark, folder))
 
 
 PLAIN_PATTERNS = {n: p for n, p in fv.ENGLISH_PATTERNS.items() if n != "parenthetical"}
@@ -227,14 +239,14 @@ _MATCHES = " UNION ALL ".join(
 @query("h2_matches_en", f"""WITH {_TREES}, m AS ({_MATCHES})
 SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, pattern_name, matched, sentence FROM m""")
 def matches_en(spark, folder):
-    return syntax.construction_matches(annotated_tokens(spark, folder), PLAIN_PATTERNS)
+    return syntax.construction_matches(constructed_tokens(spark, folder), PLAIN_PATTERNS)
 
 
 @query("h2_parenthetical")
 def parenthetical(spark, folder):
     """Needs look-ahead, which the SQL engine's expressions lack."""
     patterns = {"parenthetical": fv.ENGLISH_PATTERNS["parenthetical"]}
-    return syntax.construction_matches(annotated_tokens(spark, folder), patterns)
+    return syntax.construction_matches(constructed_tokens(spark, folder), patterns)
 
 
 CUSTOM = {"noun-after-of": r"-of-IN-[^-]*\([^-]*-[^-]*-NN", "passive": r"-auxpass"}
@@ -247,13 +259,13 @@ SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, pattern_name, matche
 def custom_patterns(spark, folder):
     patterns = syntax.patterns_for(add=CUSTOM, remove=[n for n in fv.ENGLISH_PATTERNS
                                                        if n not in CUSTOM])
-    return syntax.construction_matches(annotated_tokens(spark, folder), patterns)
+    return syntax.construction_matches(constructed_tokens(spark, folder), patterns)
 
 
 @query("h8_matches_ru")
 def matches_ru(spark, folder):
     """Russian patterns; look-behind and back-references keep them out of the SQL engine."""
-    return syntax.construction_matches(annotated_tokens(spark, folder), syntax.patterns_for("ru"))
+    return syntax.construction_matches(constructed_tokens(spark, folder), syntax.patterns_for("ru"))
 
 
 @query("e05_sentences", f"""WITH {_TREES}, m AS ({_MATCHES}),
@@ -263,7 +275,7 @@ SELECT c.doc_id, 'sentences' AS feature, item, CAST(n AS BIGINT) AS n, CAST(deno
        CAST(n AS DOUBLE) / denom AS value FROM c JOIN d ON c.doc_id = d.doc_id""")
 def sentences(spark, folder):
     from styloweave.plans.style_queries import _present, long_vectors, only
-    return _present(long_vectors(annotated_tokens(spark, folder), config=only("sentences"),
+    return _present(long_vectors(constructed_tokens(spark, folder), config=only("sentences"),
                                  patterns=PLAIN_PATTERNS), "sentences")
 
 
@@ -274,7 +286,7 @@ fall AS (SELECT doc_id, CASE WHEN t LIKE '%?' THEN 'interrogative' WHEN t LIKE '
 e AS (SELECT doc_id, pattern_name AS item FROM m UNION ALL SELECT doc_id, item FROM fall)
 SELECT doc_id, item, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY doc_id, item""")
 def sentence_types(spark, folder):
-    return syntax.sentence_types(annotated_tokens(spark, folder), PLAIN_PATTERNS)
+    return syntax.sentence_types(constructed_tokens(spark, folder), PLAIN_PATTERNS)
 
 
 # ------------------------------------------------------------------------- extended
@@ -434,10 +446,10 @@ def msttr(spark, folder):
     return _rounded(ex.segment_ttr(lexical_tokens(spark, folder)), ["doc_id", "msttr"])
 
 
-@query("j12_hdd", f"""WITH {_WORDS}, s AS (SELECT doc_id, sum(n) AS N FROM w GROUP BY doc_id),
-t AS (SELECT w.doc_id, s.N, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(range(42), lambda k:
-   greatest(s.N - w.n - k, 0) / CAST(s.N - k AS DOUBLE))), lambda a, b: a * b) AS miss
-   FROM w JOIN s ON w.doc_id = s.doc_id WHERE s.N >= 42),
+@query("j12_hdd", f"""WITH {_WORDS}, s AS (SELECT doc_id, sum(n) AS total FROM w GROUP BY doc_id),
+t AS (SELECT w.doc_id, s.total, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(range(42), lambda k:
+   greatest(s.total - w.n - k, 0) / CAST(s.total - k AS DOUBLE))), lambda a, b: a * b) AS miss
+   FROM w JOIN s ON w.doc_id = s.doc_id WHERE s.total >= 42),
 h AS (SELECT doc_id, sum(1 - miss) / 42 AS hdd FROM t GROUP BY doc_id)
 SELECT s.doc_id, round(h.hdd, 6) AS hdd FROM s LEFT JOIN h ON s.doc_id = h.doc_id""")
 def hdd(spark, folder):
@@ -454,8 +466,8 @@ def compress(spark, folder):
     return ex.compressibility(table(spark, folder, "documents"))
 
 
-@query("j13_entropy", f"""WITH {_WORDS}, s AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS N FROM w GROUP BY doc_id)
-SELECT w.doc_id, round(-sum((n / N) * log2(n / N)), 6) + 0.0 AS entropy
+@query("j13_entropy", f"""WITH {_WORDS}, s AS (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS total FROM w GROUP BY doc_id)
+SELECT w.doc_id, round(-sum((w.n / s.total) * log2(w.n / s.total)), 6) + 0.0 AS entropy
 FROM w JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id""")
 def entropy(spark, folder):
     return ex.richness(_word_counts(spark, folder)).select(
@@ -473,17 +485,16 @@ b AS (SELECT doc_id, CAST(count(*) FILTER (is_w) AS DOUBLE) AS w, CAST(count(DIS
    CAST(count(*) FILTER (is_w AND syl = 1) AS BIGINT) AS n_monosyllables,
    CAST(count(*) FILTER (is_w AND syl >= 3) AS BIGINT) AS n_polysyllables FROM t GROUP BY doc_id)
 SELECT doc_id, n_syllables, n_monosyllables, n_polysyllables,
-  round(CASE WHEN w > 0 THEN 206.835::DOUBLE - 1.015::DOUBLE * w / s - 84.6::DOUBLE * n_syllables / w END, 4) AS flesch_reading_ease,
-  round(CASE WHEN w > 0 THEN 0.39::DOUBLE * w / s + 11.8::DOUBLE * n_syllables / w - 15.59::DOUBLE END, 4) AS flesch_kincaid_grade,
-  round(CASE WHEN w > 0 THEN 0.4::DOUBLE * (w / s + 100 * n_polysyllables / w) END, 4) AS gunning_fog,
-  round(CASE WHEN w > 0 THEN 4.71::DOUBLE * c / w + 0.5::DOUBLE * w / s - 21.43::DOUBLE END, 4) AS ari,
-  round(CASE WHEN w > 0 THEN 1.043::DOUBLE * sqrt(30 * n_polysyllables / s) + 3.1291::DOUBLE END, 4) AS smog,
-  round(CASE WHEN w > 0 THEN 0.0588::DOUBLE * (100 * c / w) - 0.296::DOUBLE * (100 * s / w) - 15.8::DOUBLE END, 4) AS cli,
-  round(CASE WHEN w > 0 THEN w / s + 100 * l / w END, 4) AS lix,
-  round(CASE WHEN w > 0 THEN l / s END, 4) AS rix FROM b""")
+  CASE WHEN w > 0 THEN 206.835::DOUBLE - 1.015::DOUBLE * w / s - 84.6::DOUBLE * n_syllables / w END AS flesch_reading_ease,
+  CASE WHEN w > 0 THEN 0.39::DOUBLE * w / s + 11.8::DOUBLE * n_syllables / w - 15.59::DOUBLE END AS flesch_kincaid_grade,
+  CASE WHEN w > 0 THEN 0.4::DOUBLE * (w / s + 100 * n_polysyllables / w) END AS gunning_fog,
+  CASE WHEN w > 0 THEN 4.71::DOUBLE * c / w + 0.5::DOUBLE * w / s - 21.43::DOUBLE END AS ari,
+  CASE WHEN w > 0 THEN 1.043::DOUBLE * sqrt(30 * n_polysyllables / s) + 3.1291::DOUBLE END AS smog,
+  CASE WHEN w > 0 THEN 0.0588::DOUBLE * (100 * c / w) - 0.296::DOUBLE * (100 * s / w) - 15.8::DOUBLE END AS cli,
+  CASE WHEN w > 0 THEN w / s + 100 * l / w END AS lix,
+  CASE WHEN w > 0 THEN l / s END AS rix FROM b""")
 def readability(spark, folder):
-    df = ex.readability(lexical_tokens(spark, folder))
-    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return ex.readability(lexical_tokens(spark, folder))
 
 
 HEDGES = "perhaps maybe possibly may might could seem on of".split()

@@ -19,6 +19,15 @@ def read_parquet_folder(spark: SparkSession, folder: str) -> DataFrame:
             .parquet(folder))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a freshly read table over all cores if it came in fewer partitions.
+
+    Only small inputs do; a large table is left as it was split, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCS).parquet(path)
 
