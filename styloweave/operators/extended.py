@@ -142,19 +142,26 @@ def global_sichel(words: DataFrame, docs: DataFrame | None = None) -> DataFrame:
                                     / F.col("V")).alias("global_sichel_s"))
 
 
-def moving_ttr(tok: DataFrame, window: int = 50) -> DataFrame:
+def moving_ttr(tok: DataFrame, window: int = 50, block: int = 1 << 20) -> DataFrame:
     """`mattr`: mean type-token ratio of all windows of `window` tokens.
 
     A token is the first of its type in exactly the windows that start after the previous
-    occurrence of the type, so each token adds a closed-form count: one window function per
-    (document, type) instead of a slice per position. Shorter documents get their plain
-    ratio.
+    occurrence of the type, so each token adds a closed-form count instead of a slice per
+    position. Occurrences further back than a window do not matter: documents are looked at
+    in blocks that share a window of tokens, which bounds the group of a frequent word.
+    Shorter documents get their plain ratio.
     """
-    low = F.lower("token")
-    placed = tok.select("doc_id", "token_id", low.alias("word"))
-    before = F.lag("token_id").over(W.partitionBy("doc_id", "word").orderBy("token_id"))
+    here = F.floor(F.col("token_id") / block)
+    reaches_on = F.col("token_id") % block >= block - window
+    copies = F.array_compact(F.array(
+        F.struct(here.alias("block"), F.lit(True).alias("own")),
+        F.when(reaches_on, F.struct((here + 1).alias("block"), F.lit(False).alias("own")))))
+    placed = tok.select("doc_id", "token_id", F.lower("token").alias("word"),
+                        F.inline(copies).alias("block", "own"))
+    before = F.lag("token_id").over(W.partitionBy("doc_id", "word", "block").orderBy("token_id"))
+    seen = placed.select("doc_id", "token_id", "own", F.coalesce(before, F.lit(-1)).alias("before")) \
+        .where("own")
     lengths = tok.groupBy("doc_id").agg(F.count("*").alias("N"))
-    seen = placed.select("doc_id", "token_id", F.coalesce(before, F.lit(-1)).alias("before"))
     size = F.least(F.col("N"), F.lit(window))
     first_start = F.greatest(F.col("before") + 1, F.col("token_id") - size + 1, F.lit(0))
     last_start = F.least(F.col("token_id"), F.col("N") - size)

@@ -50,7 +50,7 @@ def scale(df: DataFrame, factors: list[float], column: str = "features") -> Data
 def scale_long(vectors: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Dense long vectors divided by their population deviation per feature."""
     deviations = vectors.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
-    return (vectors.join(F.broadcast(deviations), keys)
+    return (vectors.join(deviations, keys)
             .withColumn("scaled", F.col(value) / F.when(F.col("_sd") > 0, F.col("_sd"))
                         .otherwise(F.lit(1.0))).drop("_sd"))
 

@@ -9,6 +9,7 @@ from styloweave.functions import fixed_values as fv
 from styloweave.functions import labels as lb
 from styloweave.functions import text as tx
 from styloweave.operators.sampling import first_per_class
+from styloweave.session import checkpointed, pinned
 
 
 def _joined_in_order(order: str, part: str) -> Column:
@@ -38,12 +39,10 @@ def rebuild_corpus(tok: DataFrame, limit_per_category: int | None = None,
     kept = tok.withColumn("model_category", category).where(
         F.col("model_category").isin(fv.CORPUS_CATEGORIES))
     if limit_per_category is not None:
-        arrived = F.min(arrival) if arrival else F.xxhash64("doc_id")
-        ids = (kept.groupBy("doc_id", "model_category").agg(F.min(arrival).alias("arrived"))
-               if arrival else
-               kept.select("doc_id", "model_category").distinct().withColumn("arrived", arrived))
+        arrived = F.min(arrival) if arrival else F.min(F.xxhash64("doc_id"))
+        ids = checkpointed(kept.groupBy("doc_id", "model_category").agg(arrived.alias("arrived")))
         chosen = first_per_class(ids, "model_category", limit_per_category, "arrived")
-        kept = kept.join(chosen.select("doc_id"), "doc_id", "left_semi")
+        kept = kept.join(pinned(chosen.select("doc_id")), "doc_id", "left_semi")
     return rebuild_documents(kept).withColumn("model_category", category)
 
 

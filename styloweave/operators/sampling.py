@@ -1,10 +1,10 @@
 """Exact stratified splits, samples and limits without sorting a class in one task.
 
-Rows are ordered within their class by a hash of seed and id. A histogram of hash prefixes
-finds the prefix in which each quota is reached; only that prefix is ranked, which yields
-one cut point per class and quota. Assigning rows is then a filter against the broadcast
-cut points: texts and other payload are never shuffled, and a class that holds most rows
-costs no more than any other.
+Rows are ordered within their class by a key: a hash of seed and id, or an arrival column. A
+histogram of key buckets tells in which bucket each quota is reached; only that bucket is
+ranked, which yields one cut point per class and quota. Assigning rows is then a filter
+against the cut points. So there are three passes over label and id, texts and other payload
+are never shuffled, and a class that holds most rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -13,17 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from styloweave.session import broadcast_if_small
+from styloweave.session import checkpointed, pinned
 
-PREFIX = 4  # hex digits: 65,536 prefixes per class
+PREFIX = 4  # hex digits of the hash: 65,536 buckets per class
+BUCKETS = 65_536
 
 
 def hash_key(id_column: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_column).cast("string")))
 
 
-def class_sizes(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("size"))
+def hash_keyed(df: DataFrame, label: str, id_column: str, seed: int) -> DataFrame:
+    key = hash_key(id_column, seed)
+    return df.select(F.col(label).alias("label"), key.alias("key"),
+                     F.conv(F.substring(key, 1, PREFIX), 16, 10).cast("int").alias("bucket"),
+                     F.col(id_column).alias("id"))
+
+
+def histogram_of(keyed: DataFrame) -> DataFrame:
+    """Rows per class and bucket; kept, as sizes, quotas and buckets all read it."""
+    return checkpointed(keyed.groupBy("label", "bucket").agg(F.count("*").alias("n")))
+
+
+def sizes_of(histogram: DataFrame) -> DataFrame:
+    return histogram.groupBy("label").agg(F.sum("n").alias("size"))
 
 
 def held_out_quotas(sizes: DataFrame, fraction: float, size: str = "size",
@@ -46,47 +59,48 @@ def held_out_quotas(sizes: DataFrame, fraction: float, size: str = "size",
             .drop("_n", "_held", "_base", "_rest", "_left", "_rank"))
 
 
-def cut_points(df: DataFrame, label: str, id_column: str, seed: int,
-               quotas: DataFrame) -> DataFrame:
-    """`label, cut, key, id`: the last row within each quota, by hash order.
+def cut_points(keyed: DataFrame, histogram: DataFrame, quotas: DataFrame) -> DataFrame:
+    """`label, cut, key, id`: the last row within each quota, by key.
 
     `quotas` has `label, cut, quota`. Quotas of zero have no cut point.
     """
-    key = hash_key(id_column, seed)
-    keyed = df.select(F.col(label).alias("label"), key.alias("key"),
-                      F.substring(key, 1, PREFIX).alias("prefix"), F.col(id_column).alias("id"))
-    histogram = keyed.groupBy("label", "prefix").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("label").orderBy("prefix"))
-    reached = (histogram.withColumn("upto", upto)
-               .join(broadcast_if_small(quotas), "label")
-               .where("quota > upto - n and quota <= upto")
-               .select("label", "cut", "prefix", (F.col("quota") - F.col("upto") + F.col("n"))
-                       .alias("take")))
-    place = F.row_number().over(W.partitionBy("label", "cut", "prefix").orderBy("key", "id"))
-    return (keyed.join(broadcast_if_small(reached), ["label", "prefix"])
+    upto = F.sum("n").over(W.partitionBy("label").orderBy("bucket"))
+    reached = pinned(histogram.withColumn("upto", upto).join(quotas, "label")
+                     .where("quota > upto - n and quota <= upto")
+                     .select("label", "cut", "bucket",
+                             (F.col("quota") - F.col("upto") + F.col("n")).alias("take")))
+    place = F.row_number().over(W.partitionBy("label", "cut", "bucket").orderBy("key", "id"))
+    return (keyed.join(reached, ["label", "bucket"])
             .withColumn("place", place).where("place = take")
             .select("label", "cut", "key", "id"))
 
 
-def _within(df: DataFrame, label: str, id_column: str, seed: int, quotas: DataFrame,
+def _within(df: DataFrame, label: str, here: Column, points: DataFrame,
             cuts: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """Rows with their class's cut points, and per cut whether a row is within its quota."""
-    points = cut_points(df, label, id_column, seed, quotas)
-    row = F.struct("key", "id")
-    per_class = points.groupBy("label").agg(*[
-        F.max(F.when(F.col("cut") == c, row)).alias(f"_cut_{c}") for c in cuts])
-    here = F.struct(hash_key(id_column, seed).alias("key"), F.col(id_column).alias("id"))
-    joined = df.join(broadcast_if_small(per_class.withColumnRenamed("label", "_label")),
-                     F.col(label).eqNullSafe(F.col("_label")), "left")
+    """Rows beside their class's cut points, and per cut whether a row is within its quota."""
+    per_class = pinned(points.groupBy(F.col("label").alias("_label")).agg(*[
+        F.max(F.when(F.col("cut") == c, F.struct("key", "id"))).alias(f"_cut_{c}")
+        for c in cuts]))
+    joined = df.join(per_class, F.col(label).eqNullSafe(F.col("_label")), "left")
     return joined, {c: F.coalesce(here <= F.col(f"_cut_{c}"), F.lit(False)) for c in cuts}
 
 
+def _by_hash(df: DataFrame, label: str, id_column: str, seed: int, quotas_of,
+             cuts: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    keyed = hash_keyed(df, label, id_column, seed)
+    histogram = histogram_of(keyed)
+    points = cut_points(keyed, histogram, quotas_of(sizes_of(histogram)))
+    here = F.struct(hash_key(id_column, seed).alias("key"), F.col(id_column).alias("id"))
+    return _within(df, label, here, points, cuts)
+
+
 def stratified_split(df: DataFrame, label: str, fraction: float = 0.2, seed: int = 42,
                      id_column: str = "doc_id") -> DataFrame:
     """`split` is `train` or `test`; sizes are exact and proportional per class."""
-    quotas = held_out_quotas(class_sizes(df, label), fraction).select(
-        "label", F.lit("train").alias("cut"), (F.col("size") - F.col("quota")).alias("quota"))
-    rows, within = _within(df, label, id_column, seed, quotas, ["train"])
+    def quotas(sizes):
+        return held_out_quotas(sizes, fraction).select(
+            "label", F.lit("train").alias("cut"), (F.col("size") - F.col("quota")).alias("quota"))
+    rows, within = _by_hash(df, label, id_column, seed, quotas, ["train"])
     return rows.withColumn("split", F.when(within["train"], "train").otherwise("test")).select(
         *df.columns, "split")
 
@@ -94,23 +108,29 @@ def stratified_split(df: DataFrame, label: str, fraction: float = 0.2, seed: int
 def three_way_split(df: DataFrame, label: str, held_out: float = 0.4, seed: int = 42,
                     id_column: str = "doc_id") -> DataFrame:
     """`train`, `dev` and `test`: a share is held out, then halved, both stratified."""
-    sizes = held_out_quotas(class_sizes(df, label), held_out, quota="held")
-    halves = held_out_quotas(sizes, 0.5, size="held", quota="test")
-    quotas = halves.select("label", F.explode(F.array(
-        F.struct(F.lit("train").alias("cut"), (F.col("size") - F.col("held")).alias("quota")),
-        F.struct(F.lit("dev").alias("cut"), (F.col("size") - F.col("test")).alias("quota"))))
-        .alias("q")).select("label", "q.*")
-    rows, within = _within(df, label, id_column, seed, quotas, ["train", "dev"])
+    def quotas(sizes):
+        held = held_out_quotas(sizes, held_out, quota="held")
+        halves = held_out_quotas(held, 0.5, size="held", quota="test")
+        return halves.select("label", F.explode(F.array(
+            F.struct(F.lit("train").alias("cut"), (F.col("size") - F.col("held")).alias("quota")),
+            F.struct(F.lit("dev").alias("cut"), (F.col("size") - F.col("test")).alias("quota"))))
+            .alias("q")).select("label", "q.*")
+    rows, within = _by_hash(df, label, id_column, seed, quotas, ["train", "dev"])
     split = F.when(within["train"], "train").when(within["dev"], "dev").otherwise("test")
     return rows.withColumn("split", split).select(*df.columns, "split")
 
 
+def _at_most(n: int):
+    def quotas(sizes):
+        return sizes.select("label", F.lit("n").alias("cut"),
+                            F.least(F.col("size"), F.lit(n)).alias("quota"))
+    return quotas
+
+
 def sample_per_class(df: DataFrame, label: str, n: int, seed: int = 42,
                      id_column: str = "doc_id") -> DataFrame:
     """At most `n` rows of each class, chosen by hash."""
-    quotas = class_sizes(df, label).select(
-        "label", F.lit("n").alias("cut"), F.least(F.col("size"), F.lit(n)).alias("quota"))
-    rows, within = _within(df, label, id_column, seed, quotas, ["n"])
+    rows, within = _by_hash(df, label, id_column, seed, _at_most(n), ["n"])
     return rows.where(within["n"]).select(*df.columns)
 
 
@@ -124,32 +144,34 @@ def first_per_class(df: DataFrame, label: str, n: int, arrival: str,
                     id_column: str = "doc_id", accuracy: int = 10_000) -> DataFrame:
     """The first `n` rows of each class by a numeric or time arrival column, ties by id.
 
-    Approximate quantiles bracket the arrival of the n-th row; the rows below the bracket
-    are counted and only those inside it are ranked. Their guaranteed error makes the
-    bracket safe, so the result is exact for any `n`.
+    Approximate quantiles bracket the arrival of the n-th row of each class, within their
+    guaranteed error; the bracket is cut into equal buckets. The histogram then finds the
+    one bucket to rank, so the result is exact for any `n`.
     """
-    rank = F.col("n_rank") / F.col("size")
-    slack = F.lit(4.0 / accuracy)
-    keyed = df.select(F.col(label).alias("label"), F.col(arrival).alias("at"),
-                      F.col(id_column).alias("id"))
+    at = F.col(arrival)
+    number = at.cast("double")
     grid = [i / 1000 for i in range(1001)]
-    sketch = keyed.groupBy("label").agg(
-        F.count("*").alias("size"), F.min("at").alias("first"), F.max("at").alias("last"),
-        F.percentile_approx("at", grid, accuracy).alias("q"))
-    ranked = sketch.withColumn("n_rank", F.least(F.col("size"), F.lit(n)))
+    sketch = df.groupBy(F.col(label).alias("label")).agg(
+        F.count("*").alias("size"), F.min(number).alias("first"), F.max(number).alias("last"),
+        F.percentile_approx(number, grid, accuracy).alias("q"))
+    rank = F.least(F.col("size"), F.lit(n)) / F.col("size")
+    slack = 4.0 / accuracy
     low_i = F.floor((rank - slack) * 1000).cast("int") - 1
     high_i = F.ceil((rank + slack) * 1000).cast("int") + 1
-    bracket = broadcast_if_small(ranked.select(
-        "label", "n_rank",
+    bracket = pinned(sketch.select(
+        F.col("label").alias("_label"),
         F.when(low_i >= 0, F.get("q", low_i)).otherwise(F.col("first")).alias("low"),
         F.when(high_i <= 1000, F.get("q", high_i)).otherwise(F.col("last")).alias("high")))
-    inside = keyed.join(bracket, "label").where("at <= high")
-    below = inside.where("at < low").groupBy("label").agg(F.count("*").alias("below"))
-    place = F.row_number().over(W.partitionBy("label").orderBy("at", "id"))
-    cut = (inside.where("at >= low").withColumn("place", place)
-           .join(broadcast_if_small(below), "label", "left")
-           .where("place = n_rank - coalesce(below, 0)")
-           .select(F.col("label").alias("_label"), F.struct("at", "id").alias("_cut")))
-    here = F.struct(F.col(arrival).alias("at"), F.col(id_column).alias("id"))
-    return (df.join(broadcast_if_small(cut), F.col(label).eqNullSafe(F.col("_label")))
-            .where(here <= F.col("_cut")).select(*df.columns))
+    share = F.try_divide(F.col("number") - F.col("low"), F.col("high") - F.col("low"))
+    bucket = (F.when(F.col("number") < F.col("low"), -1)
+              .when(F.col("number") > F.col("high"), BUCKETS + 1)
+              .otherwise(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS).cast("int")))
+    keyed = (df.select(F.col(label).alias("label"), at.alias("key"), number.alias("number"),
+                       F.col(id_column).alias("id"))
+             .join(bracket, F.col("label").eqNullSafe(F.col("_label")))
+             .select("label", "key", bucket.alias("bucket"), "id"))
+    histogram = histogram_of(keyed)
+    points = cut_points(keyed, histogram, _at_most(n)(sizes_of(histogram)))
+    here = F.struct(at.alias("key"), F.col(id_column).alias("id"))
+    rows, within = _within(df, label, here, points, ["n"])
+    return rows.where(within["n"]).select(*df.columns)

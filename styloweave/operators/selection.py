@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from styloweave.functions import fixed_values as fv
 from styloweave.functions import labels as lb
+from styloweave.session import broadcast_if_small
 
 
 def order_by_magnitude(coefs: DataFrame, column: str = "human") -> DataFrame:
@@ -65,13 +66,13 @@ def feature_config(chosen: DataFrame) -> DataFrame:
     spark = chosen.sparkSession
     types = spark.createDataFrame([(t,) for t in fv.CONFIGURABLE_TYPES], "feature string")
     present = chosen.select("feature").distinct().withColumn("found", F.lit(1))
-    return types.join(F.broadcast(present), "feature", "left").select(
+    return types.join(present, "feature", "left").select(
         "feature", F.coalesce("found", F.lit(0)).alias("enabled"))
 
 
 def restrict_vectors(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
     """Long vectors of the chosen `feature, item` pairs."""
-    return vectors.join(F.broadcast(chosen.select("feature", "item")), ["feature", "item"],
+    return vectors.join(broadcast_if_small(chosen.select("feature", "item")), ["feature", "item"],
                         "left_semi")
 
 

@@ -102,18 +102,24 @@ def from_annotations(df: DataFrame, mapping: dict[str, str] | None = None,
     ).drop("ent_iob")
 
 
-def _document_positions(tok: DataFrame) -> DataFrame:
+def _document_positions(tok: DataFrame, block: int = 4096) -> DataFrame:
     """Renumber tokens over the document: the length of all earlier sentences is added.
 
-    Only one row per sentence passes the window over the document.
+    The running sum takes two levels, over blocks of sentences and inside each block, so no
+    task holds all sentences of a huge document.
     """
     lengths = tok.groupBy(*SENTENCE_KEY).agg(
-        F.min("token_id").alias("_first"), F.count("*").alias("_len"))
-    before = W.partitionBy("doc_id").orderBy("sentence_id").rowsBetween(
-        W.unboundedPreceding, -1)
-    shift = lengths.select(
-        *SENTENCE_KEY,
-        (F.coalesce(F.sum("_len").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+        F.min("token_id").alias("_first"), F.count("*").alias("_len")) \
+        .withColumn("_block", F.floor(F.col("sentence_id") / block))
+    def earlier(*keys):
+        return W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    blocks = lengths.groupBy("doc_id", "_block").agg(F.sum("_len").alias("_sum")).select(
+        "doc_id", "_block",
+        F.coalesce(F.sum("_sum").over(earlier("doc_id", "_block")), zero).alias("_before"))
+    inside = F.coalesce(F.sum("_len").over(earlier("doc_id", "_block", "sentence_id")), zero)
+    shift = lengths.withColumn("_inside", inside).join(blocks, ["doc_id", "_block"]).select(
+        *SENTENCE_KEY, (F.col("_before") + F.col("_inside") - F.col("_first")).alias("_shift"))
     return (tok.join(shift, SENTENCE_KEY)
             .withColumn("token_id", (F.col("token_id") + F.col("_shift")).cast("int"))
             .withColumn("head_token_id", (F.col("head_token_id") + F.col("_shift")).cast("int"))

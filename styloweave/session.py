@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+PINNED_ROWS = 10_000
 
 
 def local_session(app: str = "styloweave", cores: str = "8", partitions: int = 8,
@@ -46,3 +47,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     The check reads at most `max_rows + 1` rows.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def pinned(df: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:
+    """A derived table that is used again: computed once, its lineage cut.
+
+    Up to `max_rows` rows become a broadcast local table; more are checkpointed and left to
+    shuffle joins. At most `max_rows + 1` rows reach the driver.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return checkpointed(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
