@@ -106,6 +106,7 @@ def head_profiles(tok: DataFrame, stative: list[str] = (), ambiguous: list[str]
 
     A token sends one row to itself and one to its head, and one aggregation on
     `(doc_id, node)` joins both: no self-join, and no group larger than a head's children.
+    Only verbs, copulas and listed verbs, and children with a counted relation, send rows.
     """
     low = F.lower("lemma")
     in_chunk = F.col("dep").isin(fv.VERB_CHUNK_DEPS)
@@ -123,7 +124,10 @@ def head_profiles(tok: DataFrame, stative: list[str] = (), ambiguous: list[str]
         ((F.col("dep") == "nsubj") & ((F.col("tag") == "PRP") | (F.col("ent_type") == "PERSON")))
         .alias("person"))
     is_child = F.col("head_token_id") != F.col("token_id")
-    return (tok.select("doc_id", F.explode(F.array(own, F.when(is_child, to_head))).alias("e"))
+    looked_at = ((F.col("pos") == "VERB") | (F.col("lemma") == "be")
+                 | low.isin([*stative, *ambiguous]))
+    rows = F.array(F.when(looked_at, own), F.when(is_child & in_chunk, to_head))
+    return (tok.select("doc_id", F.explode(rows).alias("e"))
             .where(F.col("e").isNotNull()).select("doc_id", "e.*")
             .groupBy("doc_id", "node")
             .agg(*[F.bool_or(c).alias(c) for c in

@@ -82,7 +82,7 @@ class AuthorshipModel:
 
 
 def train_model(train: DataFrame, label: str = "author_id", c: float = 1.0,
-                max_iter: int = 1000) -> AuthorshipModel:
+                max_iter: int = 1000, tol: float = 1e-6) -> AuthorshipModel:
     """L2 logistic regression with inverse strength `c` on scaled vectors.
 
     The penalty `1 / (c n)` equals a penalty of one half of the squared norm against `c`
@@ -97,7 +97,7 @@ def train_model(train: DataFrame, label: str = "author_id", c: float = 1.0,
     y = (F.col(label).cast("string") == classes[1]).cast("double")
     learner = LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / (c * n),
                                  elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-                                 tol=1e-8)
+                                 tol=tol)
     fitted = learner.fit(scale(train, factors).withColumn("_y", y))
     return AuthorshipModel(classes, factors, fitted)
 

@@ -86,69 +86,88 @@ LITERAL_VOCAB = 2_000
 
 def _emissions(features: list[str], vocabs: dict[str, list[str]], open_features: list[str],
                profile: str) -> Column:
-    """Array of `(feature, item)` that one token contributes.
+    """Array of `(feature, item)` that one token contributes; entries may be null.
 
-    Items outside the vocabulary are dropped here, or lose their name where they count in
-    the denominator, so they never reach the shuffle. An entry may be null.
+    Items outside the vocabulary are dropped, or lose their name where they count in the
+    denominator, so they never reach the shuffle. Split features send the unsplit text. Only
+    plain expressions are used, no functions over arrays, so that the explode is compiled.
     """
     token, simple = F.col("token"), profile == "simple"
-    singles: list[Column] = [_pair("tokens", F.lit("count"))]
-    several: list[Column] = []
+    pairs: list[Column] = [_pair("tokens", F.lit("count"))]
 
-    def listed(feature: str, item: Column) -> Column | None:
-        items = list(dict.fromkeys(vocabs.get(feature, [])))
-        return item.isin(items) if len(items) <= LITERAL_VOCAB else None
-
-    def single(feature: str, item: Column, when: Column | None = None) -> None:
-        known = listed(feature, item) if feature in vocabs else None
+    def emit(feature: str, item: Column, when: Column | None = None) -> None:
+        known = None if feature in _split_features(profile) else _listed(feature, item, vocabs)
         if known is not None and feature in open_features:
             item = F.when(known, item)
         elif known is not None:
             when = known if when is None else when & known
         pair = _pair(feature, item)
-        singles.append(pair if when is None else F.when(when, pair))
-
-    def chars(feature: str, array: Column) -> None:
-        if listed(feature, F.lit("")) is None:
-            several.append(F.transform(array, lambda c: _pair(feature, c)))
-        elif feature in open_features:
-            several.append(F.transform(array, lambda c: _pair(
-                feature, F.when(listed(feature, c), c))))
-        else:
-            several.append(F.transform(F.filter(array, lambda c: listed(feature, c)),
-                                       lambda c: _pair(feature, c)))
+        pairs.append(pair if when is None else F.when(when, pair))
 
-    single("sentence_count", F.lit("count"), F.col("sent_pos") == 0)
+    emit("sentence_count", F.lit("count"), F.col("sent_pos") == 0)
     if "pos_unigrams" in features:
-        single("pos_unigrams", F.col("pos"))
+        emit("pos_unigrams", F.col("pos"))
     if "dep_labels" in features:
-        single("dep_labels", F.col("dep"))
+        emit("dep_labels", F.col("dep"))
     if "pos_bigrams" in features:
-        single("pos_bigrams", F.concat_ws(" ", "pos", "next_pos"), F.col("next_pos").isNotNull())
+        emit("pos_bigrams", F.concat_ws(" ", "pos", "next_pos"), F.col("next_pos").isNotNull())
     if "func_words" in features:
-        single("func_words", F.lower(token) if simple else token)
+        emit("func_words", F.lower(token) if simple else token)
     if "types" in features:
-        single("types", F.lower(token))
+        emit("types", F.lower(token))
     for verbs in ("suasive_verbs", "stative_verbs"):
         if verbs in features:
-            single(verbs, F.lower("lemma"))
+            emit(verbs, F.lower("lemma"))
     if "named_entities" in features:
-        single("named_entities", F.col("ent_type"), F.col("ent_start"))
+        emit("named_entities", F.col("ent_type"), F.col("ent_start"))
     if "morph_tags" in features:
-        tags = F.split(F.coalesce("morph", F.lit("")), r"\|")
-        chars("morph_tags", F.filter(tags, lambda m: m != ""))
-    if "punctuation" in features and simple:
-        single("punctuation", token, F.col("is_punct"))
-    if "punctuation" in features and not simple:
+        emit("morph_tags", F.col("morph"), F.col("morph") != "")
+    if "punctuation" in features:
         # plain words hold no punctuation
-        none = F.array().cast("array<string>")
-        chars("punctuation", F.when(token.rlike(r"^[a-zA-Z]+$"), none)
-              .otherwise(F.split(token, "")))
+        emit("punctuation", token, F.col("is_punct") if simple
+             else ~token.rlike(r"^[a-zA-Z]+$"))
     if "letters" in features:
-        letters = F.split(token, "")
-        chars("letters", F.filter(letters, tx.is_alphabetic) if "letters" in open_features
-              else letters)
-    return F.concat(F.array(*singles), *several) if several else F.array(*singles)
+        emit("letters", token)
+    return F.array(*pairs)
+
+
+def _split_features(profile: str) -> dict[str, str]:
+    """Features counted by part of a token's text, with the separator."""
+    parts = {"morph_tags": r"\|", "letters": ""}
+    return parts if profile == "simple" else parts | {"punctuation": ""}
+
+
+def _listed(feature: str, item: Column, vocabs: dict[str, list[str]]) -> Column | None:
+    items = list(dict.fromkeys(vocabs.get(feature, [])))
+    return item.isin(items) if feature in vocabs and len(items) <= LITERAL_VOCAB else None
+
+
+def _split_items(pairs: DataFrame, features: list[str], vocabs: dict[str, list[str]],
+                 open_features: list[str], profile: str) -> DataFrame:
+    """Characters and tags of the split features; other items pass as they are."""
+    splits = {f: sep for f, sep in _split_features(profile).items() if f in features}
+    if not splits:
+        return pairs
+    feature, item = F.col("feature"), F.col("item")
+    parts, wanted, named = None, F.lit(True), None
+    for name, sep in splits.items():
+        cut = F.split(item, sep)
+        parts = F.when(feature == name, cut) if parts is None else parts.when(feature == name, cut)
+        known = _listed(name, F.col("part"), vocabs)
+        if name in open_features:
+            ok = F.col("part") != ""
+            if name == "letters":
+                ok = tx.is_alphabetic(F.col("part"))
+            if known is not None:
+                drop = (feature == name) & ~known
+                named = F.when(drop, None) if named is None else named.when(drop, None)
+        else:
+            ok = known if known is not None else F.col("part") != ""
+        wanted = wanted & ((feature != name) | ok)
+    out = (pairs.select("doc_id", "feature", "n", F.explode(parts.otherwise(F.array(item)))
+                        .alias("part")).where(wanted))
+    part = F.col("part") if named is None else named.otherwise(F.col("part"))
+    return out.select("doc_id", "feature", part.alias("item"), "n")
 
 
 def _open_features(features: list[str], profile: str, letters: str) -> list[str]:
@@ -171,15 +190,6 @@ def _counted(pairs: DataFrame, table: DataFrame, open_features: list[str]) -> Da
             .select("doc_id", "feature", "item", "idx", "n"))
 
 
-def sentence_openings(tok: DataFrame, width: int) -> DataFrame:
-    """First `width` tokens of each sentence, lower-cased; the rest never leaves its task."""
-    return (tok.where(F.col("sent_pos") < width)
-            .groupBy("doc_id", "sentence_id")
-            .agg(F.sort_array(F.collect_list(F.struct("sent_pos", F.lower("token").alias("t"))))
-                 .alias("opening"))
-            .select("doc_id", "sentence_id", F.col("opening.t").alias("t")))
-
-
 def transition_matches(tok: DataFrame, transitions: list[str] | None = None,
                        quote_ok: bool = False) -> DataFrame:
     """Sentences opened by a transition and a comma, also after `and` or `but`.
@@ -187,29 +197,41 @@ def transition_matches(tok: DataFrame, transitions: list[str] | None = None,
     Returns `doc_id, sentence_id, transition`; the first listed transition wins. A comma
     must be followed by another token. A leading quotation mark spoils the match unless
     `quote_ok`.
+
+    Only words of the transitions near a sentence start are shuffled. Any other word leaves
+    a gap in the positions before the comma, which rules the sentence out.
     """
     transitions = transitions if transitions is not None else fv.transitions_vocab()
-    spark = tok.sparkSession
-    longest = max((len(t.split()) for t in transitions), default=1)
-    glue = "\x1f"
+    spark, glue = tok.sparkSession, "\x1f"
+    phrases = [t.lower().split() for t in transitions]
+    longest = max(map(len, phrases), default=1)
     table = F.broadcast(spark.createDataFrame(
-        [(glue.join(t.lower().split()), t.lower(), n) for n, t in enumerate(transitions)],
+        [(glue.join(p), t.lower(), n) for n, (p, t) in enumerate(zip(phrases, transitions))],
         "phrase string, transition string, ord int"))
-    openings = sentence_openings(tok, longest + 4)
+    quotes, joiners = ["'", '"'], ["and", "but"]
+    words = sorted({w for p in phrases for w in p} | {",", *joiners} | set(quotes))
+    low = F.lower("token")
+    last = F.col("is_last") if "is_last" in tok.columns else F.col("next_pos").isNull()
+    near = tok.where((F.col("sent_pos") <= longest + 2) & low.isin(words)).select(
+        "doc_id", "sentence_id", "sent_pos", low.alias("t"), last.alias("last"))
+    openings = (near.groupBy("doc_id", "sentence_id")
+                .agg(F.min("sent_pos").alias("first"), F.bool_or(F.col("t") == ",").alias("comma"),
+                     F.sort_array(F.collect_list(F.struct("sent_pos", "t", "last"))).alias("o"))
+                .where("first = 0 and comma"))
+    at = F.array_position("o.t", ",").cast("int")
+    framed = (openings.select("doc_id", "sentence_id", "o", at.alias("at"))
+              .where((F.col("at") > 1) & (F.get("o", F.col("at") - 1).sent_pos == F.col("at") - 1)
+                     & ~F.get("o", F.col("at") - 1).last)
+              .select("doc_id", "sentence_id",
+                      F.slice("o.t", F.lit(1), F.col("at") - 1).alias("t")))
     if quote_ok:
-        quoted = F.get("t", F.lit(0)).isin("'", '"')
-        openings = openings.withColumn(
-            "t", F.when(quoted, F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))))
-            .otherwise(F.col("t")))
-    comma = F.array_position("t", ",").cast("int")
-    framed = (openings.select("doc_id", "sentence_id", "t", comma.alias("comma"))
-              .where((F.col("comma") > 1) & (F.size("t") > F.col("comma"))))
-    whole = F.array_join(F.slice("t", F.lit(1), F.col("comma") - 1), glue)
-    after_and = F.when(F.get("t", F.lit(0)).isin("and", "but"),
-                       F.array_join(F.slice("t", F.lit(2), F.greatest(F.col("comma") - 2, F.lit(0))),
-                                    glue))
+        framed = framed.select("doc_id", "sentence_id", F.when(
+            F.get("t", F.lit(0)).isin(quotes), F.slice("t", 2, F.size("t"))).otherwise(F.col("t"))
+            .alias("t"))
+    rest = F.array_join(F.slice("t", 2, F.size("t")), glue)
+    after = F.when(F.get("t", F.lit(0)).isin(joiners), rest)
     return (framed.select("doc_id", "sentence_id",
-                          F.explode(F.array_compact(F.array(whole, after_and))).alias("phrase"))
+                          F.explode(F.array(F.array_join("t", glue), after)).alias("phrase"))
             .join(table, "phrase")
             .groupBy("doc_id", "sentence_id")
             .agg(F.min_by("transition", "ord").alias("transition")))
@@ -270,6 +292,7 @@ def feature_counts(tok: DataFrame, *, docs: DataFrame | None = None,
                      .alias("p"))
              .where(F.col("p").isNotNull())
              .select("doc_id", "p.feature", "p.item", F.lit(1).cast("long").alias("n")))
+    pairs = _split_items(pairs, emitted, vocabs, open_features, profile)
     one = F.lit(1).cast("long").alias("n")
     def also(items: DataFrame, feature: str) -> None:
         nonlocal pairs

@@ -44,9 +44,10 @@ def _exploded(items: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Raw text to `doc_id, token_id, sentence_id, sent_pos, token`, without a shuffle."""
+    """Raw text to `doc_id, token_id, sentence_id, sent_pos, token, is_last`, without a shuffle."""
     numbered = F.transform("sents", lambda s, i: F.transform(s, lambda w, j: F.struct(
-        i.alias("sentence_id"), j.alias("sent_pos"), w.alias("token"))))
+        i.alias("sentence_id"), j.alias("sent_pos"), w.alias("token"),
+        (j == F.size(s) - 1).alias("is_last"))))
     return _exploded(_sentences(docs, keep).select("doc_id", *keep,
                                                    F.flatten(numbered).alias("items")), keep)
 

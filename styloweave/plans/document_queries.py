@@ -25,7 +25,7 @@ PLAIN_STATIVE = [v for v in STATIVE if v not in AMBIGUOUS]
 SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, CAST(token_id AS INTEGER) AS token_id,
        CAST(sent_pos AS INTEGER) AS sent_pos, token FROM tok""")
 def tokenized(spark, folder):
-    return lexical_tokens(spark, folder)
+    return lexical_tokens(spark, folder).drop("is_last")
 
 
 _ANN_COLUMNS = """doc_id, CAST(sentence_id AS INTEGER) AS sentence_id,
