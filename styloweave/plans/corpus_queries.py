@@ -467,19 +467,32 @@ def report(spark, folder):
 MODEL_CONFIG = only("func_words", "punctuation", "tokens", "types", "sentence_count")
 
 
-def stored_vectors(spark, folder):
-    """Vectors of the corpus, computed once and stored, with authors and categories."""
-    docs = lb.with_author(corpus(spark, folder))
+def _vectors_of(spark, docs, name):
+    """Vectors of `doc_id, text, author_id, model_category`, computed once and stored."""
     def build():
-        tok = tk.tokenize(docs)
-        profiles = style.vectorize(tok, docs=docs.select("doc_id", "author_id", "model_category"),
-                                   config=MODEL_CONFIG)
+        profiles = style.vectorize(tk.tokenize(docs), config=MODEL_CONFIG,
+                                   docs=docs.select("doc_id", "author_id", "model_category"))
         columns = style.vector_columns(MODEL_CONFIG)
         return md.model_vectors(profiles, len(columns), ["author_id", "model_category"])
-    return mt.get_or_compute(spark, _work_folder(spark), "all", MODEL_CONFIG, build,
+    return mt.get_or_compute(spark, _work_folder(spark), name, MODEL_CONFIG, build,
                              depends_on=[mt.input_fingerprint(docs), mt.vocab_fingerprint(VOCABS)])
 
 
+def stored_vectors(spark, folder):
+    return _vectors_of(spark, lb.with_author(corpus(spark, folder)), "documents")
+
+
+def conversation_vectors(spark, folder):
+    """A second corpus: the turns of `conversations`, by role."""
+    role = F.col("role")
+    docs = table(spark, folder, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text",
+        F.when(role == "user", "human").otherwise("llm").alias("author_id"),
+        F.when(role == "user", "human").when(role == "assistant", "gpt-4o")
+        .otherwise("gpt-4o-mini").alias("model_category"))
+    return _vectors_of(spark, docs, "conversations")
+
+
 @query("m2_coefficients")
 def coefficients(spark, folder):
     vectors = stored_vectors(spark, folder)
@@ -493,15 +506,19 @@ def train_and_report(spark, folder):
 
 @query("m7_pairwise")
 def pairwise(spark, folder):
-    return flows.pairwise(stored_vectors(spark, folder), ["gpt-4o", "llama-3-8b-base"])
+    return flows.pairwise(stored_vectors(spark, folder))
 
 
 @query("m8_across_corpora")
 def across_corpora(spark, folder):
-    """Train on one half of the sources, test on the other, per category."""
-    vectors = stored_vectors(spark, folder)
-    side = F.xxhash64("doc_id") % 2
-    return flows.across_corpora(vectors.where(side == 0), vectors.where(side != 0),
+    """Train on documents, test on conversations, as a whole."""
+    return flows.across_corpora(stored_vectors(spark, folder), conversation_vectors(spark, folder))
+
+
+@query("m10_per_model")
+def per_model(spark, folder):
+    """Train on documents, test on conversations, per category both have."""
+    return flows.across_corpora(stored_vectors(spark, folder), conversation_vectors(spark, folder),
                                 ["gpt-4o", "gpt-4o-mini"])
 
 

@@ -10,7 +10,7 @@ from styloweave.operators import tokens as tk
 from styloweave.plans.oracle_sql import annotated_cte, in_list, q, tokens_cte, values_table
 from styloweave.plans.registry import query, table
 
-SUASIVE = "suggest insist recommend ask order propose demand require agree command".split()
+SUASIVE = "suggest insist recommend ask order propose demand require agree command be".split()
 STATIVE = "be know believe contain belong involve have like need".split()
 
 
