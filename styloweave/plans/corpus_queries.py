@@ -31,7 +31,7 @@ from styloweave.streaming import rebuild_stream as rs
 TYPES = ["acad", "blog", "fic", "news", "spok", "tvm"]
 MODELS = ["chunk_1", "chunk_2", "gpt-4o-mini-2024-07-18", "gpt-4o-2024-08-06",
           "Meta-Llama-3-70B-Instruct", "Meta-Llama-3-8B-Instruct", "Meta-Llama-3-70B",
-          "Meta-Llama-3-8B", "claude"]
+          "Meta-Llama-3-8B", "other-model"]
 
 
 def _pick(values, of):
