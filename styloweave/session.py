@@ -28,16 +28,27 @@ def local_session(app: str = "styloweave", cores: str = "8", partitions: int = 8
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors see: `spark.checkpoint.dir`.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    Where the session names none, a local session gets a temporary folder; elsewhere executors
+    could not see one, so that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
