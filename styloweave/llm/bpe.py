@@ -20,7 +20,8 @@ from styloweave.llm.words import LOWER, Words, split
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # fixed value: the split pattern of the tokenizer file
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT_OR_BLANK = regex.compile(SPLIT + "| ")
 ORDINARY = regex.compile(r"[!-~¡-įı-ɏ]+")
 SLOTS = 600_000
 ASCII_WORD = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
@@ -56,20 +57,17 @@ class WordEncoder:
 
     def encode(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """An order of these words, the ids of all of them in that order, and each one's number of ids."""
-        plain, other, pieces, sizes = [], [], [], []
-        for i, word in enumerate(words):
-            if ORDINARY.fullmatch(word) and "<|" not in word:
-                found = SPLIT.findall(word.lower())
-                plain.append(i)
-                sizes.append(len(found))
-                pieces += found
-            else:
-                other.append(i)
-        mapped = " ".join(pieces)
+        plain = [i for i, w in enumerate(words) if ORDINARY.fullmatch(w) and "<|" not in w]
+        other = [] if len(plain) == len(words) else sorted(set(range(len(words))) - set(plain))
+        # pieces of all words at once; a blank piece ends each word
+        pieces = SPLIT_OR_BLANK.findall(" ".join([words[i] for i in plain] + [""]).lower())
+        blank = np.flatnonzero(np.array([p == " " for p in pieces], bool))
+        sizes = np.diff(blank, prepend=-1) - 1
+        mapped = " ".join(p for p in pieces if p != " ")
         if not mapped.isascii():
             mapped = " ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-                              for p in pieces)
-        ids = np.array(self.bare.encode(mapped, add_special_tokens=False).ids if plain else [], np.uint32)
+                              for p in mapped.split(" "))
+        ids = np.array(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, np.uint32)
         cut = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))  # the end of each piece
         at = cut[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))]
         rest = [e.ids for e in self.whole.encode_batch([words[i] for i in other], add_special_tokens=False)]
@@ -87,8 +85,7 @@ class WordEncoder:
         fresh = np.flatnonzero(known < 0)
         for a in range(0, len(fresh), 5000):
             part = fresh[a:a + 5000]
-            order, ids, sizes = self.encode([words.text_of(w).decode("utf-8", "replace")
-                                             for w in sample[part].tolist()])
+            order, ids, sizes = self.encode(words.texts(sample[part]))
             part, n = part[order], len(self.at) - 1
             known[part] = np.arange(n, n + len(part))
             self.slot.update(zip(distinct[part].tolist(), range(n, n + len(part))))

@@ -56,8 +56,14 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def text_of(self, w: int) -> bytes:
-        return self.data[self.start[w]:self.end[w]].tobytes()
+    def texts(self, which: np.ndarray) -> list[str]:
+        """These words, which must hold no blank."""
+        start, size = self.start[which], (self.end - self.start)[which] + 1
+        at = np.cumsum(size)
+        source = np.arange(at[-1] if len(at) else 0) + np.repeat(start - (at - size), size)
+        out = self.data[np.minimum(source, len(self.data) - 1)]
+        out[at - 1] = 0x20
+        return out.tobytes().decode("utf-8", "replace").split(" ")[:-1]
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
