@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from styloweave.llm import op02_token_counts, op09_packing, op10_decontamination
+from styloweave.llm import op02_token_counts, op09_packing
+from styloweave.llm import op10_decontamination as decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,5 +37,5 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return op10_decontamination.report(op10_decontamination.matches(
+    return decontamination.report(decontamination.matches(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")))
