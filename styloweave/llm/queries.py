@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from styloweave.llm import op02_token_counts, op09_packing
+from styloweave.llm import op02_token_counts as token_counts
+from styloweave.llm import op04_near_dedup as near
+from styloweave.llm import op05_substring_dedup as substrings
+from styloweave.llm import op09_packing as packing
 from styloweave.llm import op10_decontamination as decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,13 +29,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return op02_token_counts.token_counts(table(spark, folder, "documents"),
+    return token_counts.token_counts(table(spark, folder, "documents"),
                                           public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_classes(table(spark, folder, "documents")).select("doc_id", "class_id", "n_words")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.report(substrings.removals(table(spark, folder, "documents")))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return op09_packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 @query

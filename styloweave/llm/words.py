@@ -117,7 +117,6 @@ def windows(hashes: np.ndarray, length: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, U64)
     out, done, step, run = np.zeros(n, U64), 0, 1, hashes
-    scale = BASE
     scales = _powers(BASE, length + 1)
     left = length
     while left:
@@ -126,8 +125,8 @@ def windows(hashes: np.ndarray, length: int) -> np.ndarray:
             done += step
         left >>= 1
         if left:
-            run = run[:len(run) - step] + run[step:] * scale
-            step, scale = 2 * step, scale * scale
+            run = run[:len(run) - step] + run[step:] * scales[step]
+            step *= 2
     return mix(out)
 
 
