@@ -133,8 +133,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          F.first("bands").alias("bands"))
                     .select("digest", F.col("rep.doc_id").alias("doc"), "rep.text_key", "size", "bands"))
     members = copies.select("doc", "size", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")) \
-        .where("leader < last").select("bucket", "leader")
+    # tables of their own, so that hot keys are split in the joins
+    shared = stored(members.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
+                    .where("leader < last").select("bucket", "leader"))
     members = stored(members.join(shared, "bucket"))
     wanted = members.select("doc").distinct().join(copies.select("doc", "text_key"), "doc")
     held = stored(texts.withColumnRenamed("doc_id", "doc").join(wanted, ["doc", "text_key"])
@@ -185,8 +186,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .join(tried, ["a", "b"], "left_anti")
     edges = edges.union(stored(verify(cross)))
     labels = components(edges)
-    classes = copies.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left") \
-        .select("digest", F.coalesce("label", "doc").alias("class"))
+    classes = stored(copies.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left")
+                     .select("digest", F.coalesce("label", "doc").alias("class")))
     return signed.join(classes, "digest", "left") \
         .select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
                 .when(F.col("n_words") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),

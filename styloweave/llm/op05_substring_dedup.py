@@ -166,9 +166,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                        F.col(text_col).alias("text"))
     base = stored(rows.mapInArrow(_base, BASE))
     # whole copies: all but those of the smallest id lose every word
-    least = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()) \
+    # (a table of its own, so that a hot digest is split in the join)
+    least = stored(base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()) \
         .groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")) \
-        .where("least < most")
+        .where("least < most"))
     copies = base.select("doc_id", "digest").join(least, "digest").where("doc_id > least") \
         .select("doc_id", "digest").distinct()
     copies = stored(copies)

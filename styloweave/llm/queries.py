@@ -7,9 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from styloweave.llm import op01_html as pages
 from styloweave.llm import op02_token_counts as token_counts
+from styloweave.llm import op03_divergence as divergence
 from styloweave.llm import op04_near_dedup as near
 from styloweave.llm import op05_substring_dedup as substrings
+from styloweave.llm import op07_chat as chat
+from styloweave.llm import op08_classifier as classifier
 from styloweave.llm import op09_packing as packing
 from styloweave.llm import op10_decontamination as decontamination
 
@@ -27,12 +31,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
 @query
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"),
                                           public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op3_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.judge(table(spark, folder, "documents")).drop("char_distance", "word_distance")
+
+
 @query
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_classes(table(spark, folder, "documents")).select("doc_id", "class_id", "n_words")
@@ -43,6 +57,20 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.report(substrings.removals(table(spark, folder, "documents")))
 
 
+@query
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.report(chat.conversations(chat.threads(rows)))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
