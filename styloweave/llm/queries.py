@@ -12,6 +12,7 @@ from styloweave.llm import op02_token_counts as token_counts
 from styloweave.llm import op03_divergence as divergence
 from styloweave.llm import op04_near_dedup as near
 from styloweave.llm import op05_substring_dedup as substrings
+from styloweave.llm import op06_masked_lm as masked
 from styloweave.llm import op07_chat as chat
 from styloweave.llm import op08_classifier as classifier
 from styloweave.llm import op09_packing as packing
@@ -57,6 +58,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.report(substrings.removals(table(spark, folder, "documents")))
 
 
+@query
+def op6_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return masked.pseudo_likelihood(table(spark, folder, "documents"))
+
+
 @query
 def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
