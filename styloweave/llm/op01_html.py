@@ -214,7 +214,7 @@ def _nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before = score(r.host, r.path, r.prev_host, r.prev_path)
             after = score(r.host, r.path, r.next_host, r.next_path)
             if max(before, after) >= 0:
-                picked.append((r.page_key, int(r.prev_page_key if before >= after else r.next_page_key)))
+                picked.append((r.page_key, r.prev_page_key if before >= after else r.next_page_key))
         yield pd.DataFrame(picked, columns=["page_key", "other"])
 
 
@@ -229,17 +229,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of `pages`: page_id, url, text, n_chars.
 
     Null or empty html gives an empty text. A null URL is a page of the host ''. A page alone on
-    its host is not differenced. Repeated rows give equal results. Other columns are not carried.
+    its host (or with no other page that has lines) is not differenced. Repeated rows give equal results. Other columns are not carried.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.col(html_col).alias("html")) \
-        .withColumn("page_key", F.xxhash64("page_id", "url", "html"))
+        .withColumn("page_key", F.xxhash64("page_id", "url", "html").cast("string"))
     outlines = rows.select("page_key", "url", "html").mapInPandas(
-        _outlines, "page_key long, host string, path string, lines array<long>").dropDuplicates(["page_key"])
+        _outlines, "page_key string, host string, path string, lines array<long>").dropDuplicates(["page_key"])
     outlines = stored(outlines)
-    placed = with_neighbours(outlines.select("host", "path", "page_key"), ["host", "path", "page_key"],
+    placed = with_neighbours(outlines.where(F.size("lines") > 0).select("host", "path", "page_key"), ["host", "path", "page_key"],
                              ["host", "path", "page_key"])
-    pairs = placed.mapInPandas(_nearest, "page_key long, other long")
+    pairs = placed.mapInPandas(_nearest, "page_key string, other string")
     lines = pairs.join(outlines.select(F.col("page_key").alias("other"), "lines"), "other").select("page_key", "lines")
     return rows.join(lines, "page_key", "left").select("page_id", "url", "html", "lines") \
         .mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
