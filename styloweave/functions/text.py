@@ -30,6 +30,9 @@ EMOJI = (
     rf"|{_ONE}(?:\x{{200D}}{_ONE})*"
 )
 
+# Tokens that can be a part of an emoji sequence.
+EMOJI_PART = rf"[{_PICTO}\x{{1F1E6}}-\x{{1F1FF}}\x{{1F3FB}}-\x{{1F3FF}}\x{{FE0F}}\x{{200D}}\x{{20E3}}]"
+
 
 def sentences_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))

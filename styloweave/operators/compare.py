@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def column_overlap(a: DataFrame, b: DataFrame, prefix_length: int | None = None) -> DataFrame:
+def column_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """`feature, side`: names only in A, only in B, or in both.
 
     Names are reduced to their distinct values before they meet.
@@ -17,6 +17,13 @@ def column_overlap(a: DataFrame, b: DataFrame, prefix_length: int | None = None)
     return names(a, "a").unionByName(names(b, "b")).groupBy("feature").agg(side.alias("side"))
 
 
+def overlap_by_prefix(a: DataFrame, b: DataFrame, separator: str = ":") -> DataFrame:
+    """`prefix, only_a, only_b, both`: the overlap of names, by the part before the separator."""
+    prefix = F.substring_index("feature", separator, 1)
+    return column_overlap(a, b).groupBy(prefix.alias("prefix")).agg(
+        *[F.count_if(F.col("side") == s).alias(n) for s, n in (("a", "only_a"), ("b", "only_b"), ("both", "both"))])
+
+
 def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Absolute difference per document and feature; a missing value is zero.
 

@@ -27,9 +27,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
-def cross_table(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
-    """Counts of `rows` x `columns`, zero filled. The column values are given, not discovered."""
-    return df.groupBy(rows).agg(*[F.count_if(F.col(columns) == v).alias(v) for v in values])
+def cross_table(df: DataFrame, rows: str, columns: str, values: list[str], rest: str = "other") -> DataFrame:
+    """Counts of `rows` x `columns`, zero filled; column `rest` counts values not listed, and null."""
+    listed = F.coalesce(F.col(columns).isin(values), F.lit(False))
+    return df.groupBy(rows).agg(*[F.count_if(F.col(columns) == v).alias(v) for v in values],
+                                F.count_if(~listed).alias(rest))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

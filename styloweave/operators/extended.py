@@ -119,7 +119,7 @@ def richness(words: DataFrame) -> DataFrame:
 
 
 def global_legomena(words: DataFrame, prefix: str = "token") -> DataFrame:
-    """Per document, words that occur once (twice) in the whole corpus.
+    """Per document with words, how many occur once (twice) in the whole corpus.
 
     A word with corpus frequency at most two lives in at most two documents, so the first
     and last document id say it all: one aggregation keyed by word, and no join on words,
@@ -128,10 +128,11 @@ def global_legomena(words: DataFrame, prefix: str = "token") -> DataFrame:
     rare = (words.groupBy("word")
             .agg(F.sum("n").alias("total"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
             .where("total <= 2"))
-    return (rare.select("total", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id"))
-            .groupBy("doc_id").agg(
-                F.count_if(F.col("total") == 1).alias(f"n_global_{prefix}_hapax_legomena"),
-                F.count_if(F.col("total") == 2).alias(f"n_global_{prefix}_hapax_dislegomena")))
+    once, twice = f"n_global_{prefix}_hapax_legomena", f"n_global_{prefix}_hapax_dislegomena"
+    found = (rare.select("total", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id"))
+             .groupBy("doc_id").agg(F.count_if(F.col("total") == 1).alias(once),
+                                    F.count_if(F.col("total") == 2).alias(twice)))
+    return words.select("doc_id").distinct().join(found, "doc_id", "left").na.fill(0, [once, twice])
 
 
 def global_sichel(words: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -187,18 +188,17 @@ def hypergeometric_diversity(words: DataFrame, sample: int = 42) -> DataFrame:
     """`hdd`: mean chance that a type shows up in a sample; null for shorter documents.
 
     Types of a document with the same frequency share their term, so the product runs once
-    per distinct frequency.
+    per distinct frequency; a document has at most sqrt(2 n) of them, gathered in its row.
     """
-    freq = words.groupBy("doc_id", "n").agg(F.count("*").alias("types"))
-    lengths = words.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    total = F.col("total")
+    spectrum = words.groupBy("doc_id", "n").agg(F.count("*").alias("types")).groupBy("doc_id").agg(
+        F.sum(F.col("n") * F.col("types")).alias("total"), F.sort_array(F.collect_list(F.struct("n", "types"))).alias("f"))
+    total, draws = F.col("total"), F.sequence(F.lit(0), F.lit(sample - 1))
+
     # chance that no draw hits: product of (total - n - k) / (total - k)
-    missed = F.aggregate(F.sequence(F.lit(0), F.lit(sample - 1)), F.lit(1.0), lambda acc, k:
-                         acc * F.greatest(total - F.col("n") - k, F.lit(0)) / (total - k))
-    each = freq.join(lengths, "doc_id").where(total >= sample).select(
-        "doc_id", (F.col("types") * (1 - missed) / sample).alias("share"))
-    return words.select("doc_id").distinct().join(
-        each.groupBy("doc_id").agg(F.sum("share").alias("hdd")), "doc_id", "left")
+    def missed(n: Column) -> Column:
+        return F.aggregate(draws, F.lit(1.0), lambda acc, k: acc * F.greatest(total - n - k, F.lit(0)) / (total - k))
+    share = F.aggregate("f", F.lit(0.0), lambda acc, x: acc + x["types"] * (1 - missed(x["n"])) / sample)
+    return spectrum.select("doc_id", F.when(total >= sample, share).alias("hdd"))
 
 
 def _factors(words: list[str], threshold: float) -> float:

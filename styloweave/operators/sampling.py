@@ -1,6 +1,7 @@
 """Exact stratified splits, samples and limits without sorting a class in one task.
 
-Rows are ordered within their class by a key: a hash of seed and id, or an arrival column. A
+Rows are ordered within their class by a key: a hash of seed and id, or an arrival column. A null
+label is a class too. A
 histogram of key buckets tells in which bucket each quota is reached; only that bucket is
 ranked, which yields one cut point per class and quota. Assigning rows is then a filter
 against the cut points. So there are three passes over label and id, texts and other payload
@@ -23,11 +24,21 @@ def hash_key(id_column: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_column).cast("string")))
 
 
+def class_key(label: str) -> Column:
+    """The class as text that is never null; a null label is a class of its own, before all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+
+
+def row_key(df: DataFrame) -> Column:
+    """Tells rows of the same id apart by all their columns."""
+    return F.xxhash64(*[F.col(c) if not t.startswith("map") else F.to_json(c) for c, t in df.dtypes])
+
+
 def hash_keyed(df: DataFrame, label: str, id_column: str, seed: int) -> DataFrame:
     key = hash_key(id_column, seed)
-    return df.select(F.col(label).alias("label"), key.alias("key"),
-                     F.conv(F.substring(key, 1, PREFIX), 16, 10).cast("int").alias("bucket"),
-                     F.col(id_column).alias("id"))
+    return df.select(class_key(label).alias("label"), key.alias("key"),
+                     F.coalesce(F.conv(F.substring(key, 1, PREFIX), 16, 10).cast("int"), F.lit(0)).alias("bucket"),
+                     F.col(id_column).alias("id"), row_key(df).alias("row"))
 
 
 def histogram_of(keyed: DataFrame) -> DataFrame:
@@ -60,28 +71,33 @@ def held_out_quotas(sizes: DataFrame, fraction: float, size: str = "size",
 
 
 def cut_points(keyed: DataFrame, histogram: DataFrame, quotas: DataFrame) -> DataFrame:
-    """`label, cut, key, id`: the last row within each quota, by key.
+    """`label, cut, key, id, row`: the last row within each quota, by key.
 
-    `quotas` has `label, cut, quota`. Quotas of zero have no cut point.
+    `quotas` has `label, cut, quota`. Quotas of zero have no cut point. `again` tells that the
+    next row can't be told from the last one.
     """
     upto = F.sum("n").over(W.partitionBy("label").orderBy("bucket"))
     reached = pinned(histogram.withColumn("upto", upto).join(quotas, "label")
                      .where("quota > upto - n and quota <= upto")
                      .select("label", "cut", "bucket",
                              (F.col("quota") - F.col("upto") + F.col("n")).alias("take")))
-    place = F.row_number().over(W.partitionBy("label", "cut", "bucket").orderBy("key", "id"))
+    order = W.partitionBy("label", "cut", "bucket").orderBy("key", "id", "row")
+    this, following = F.struct("key", "id", "row"), F.lead(F.struct("key", "id", "row")).over(order)
     return (keyed.join(reached, ["label", "bucket"])
-            .withColumn("place", place).where("place = take")
-            .select("label", "cut", "key", "id"))
+            .withColumns({"place": F.row_number().over(order),
+                          "again": F.coalesce(this == following, F.lit(False))}).where("place = take")
+            .select("label", "cut", "key", "id", "row", "again"))
 
 
 def _within(df: DataFrame, label: str, here: Column, points: DataFrame,
             cuts: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """Rows beside their class's cut points, and per cut whether a row is within its quota."""
     per_class = pinned(points.groupBy(F.col("label").alias("_label")).agg(*[
-        F.max(F.when(F.col("cut") == c, F.struct("key", "id"))).alias(f"_cut_{c}")
-        for c in cuts]))
-    joined = df.join(per_class, F.col(label).eqNullSafe(F.col("_label")), "left")
+        F.max(F.when(F.col("cut") == c, F.struct("key", "id", "row"))).alias(f"_cut_{c}")
+        for c in cuts], F.bool_or("again").alias("_again")))
+    if per_class.where("_again").limit(1).count():
+        raise ValueError("equal rows of one id lie on both sides of a cut; drop repeated rows first")
+    joined = df.join(per_class, class_key(label) == F.col("_label"), "left")
     return joined, {c: F.coalesce(here <= F.col(f"_cut_{c}"), F.lit(False)) for c in cuts}
 
 
@@ -90,7 +106,7 @@ def _by_hash(df: DataFrame, label: str, id_column: str, seed: int, quotas_of,
     keyed = hash_keyed(df, label, id_column, seed)
     histogram = histogram_of(keyed)
     points = cut_points(keyed, histogram, quotas_of(sizes_of(histogram)))
-    here = F.struct(hash_key(id_column, seed).alias("key"), F.col(id_column).alias("id"))
+    here = F.struct(hash_key(id_column, seed).alias("key"), F.col(id_column).alias("id"), row_key(df).alias("row"))
     return _within(df, label, here, points, cuts)
 
 
@@ -145,13 +161,17 @@ def first_per_class(df: DataFrame, label: str, n: int, arrival: str,
     """The first `n` rows of each class by a numeric or time arrival column, ties by id.
 
     Approximate quantiles bracket the arrival of the n-th row of each class, within their
-    guaranteed error; the bracket is cut into equal buckets. The histogram then finds the
-    one bucket to rank, so the result is exact for any `n`.
+    guaranteed error; the bracket is cut into equal buckets, whose histogram finds the one
+    bucket that holds it. There arrivals are counted before they are ranked, so rows that
+    share an arrival are one row. Those at the last arrival are dealt by ranges of their id,
+    and only the range in which the quota ends is ranked. Rows without an arrival are never
+    among the first.
     """
     at = F.col(arrival)
     number = at.cast("double")
+    arrived = df.where(at.isNotNull())
     grid = [i / 1000 for i in range(1001)]
-    sketch = df.groupBy(F.col(label).alias("label")).agg(
+    sketch = arrived.groupBy(class_key(label).alias("label")).agg(
         F.count("*").alias("size"), F.min(number).alias("first"), F.max(number).alias("last"),
         F.percentile_approx(number, grid, accuracy).alias("q"))
     rank = F.least(F.col("size"), F.lit(n)) / F.col("size")
@@ -166,12 +186,29 @@ def first_per_class(df: DataFrame, label: str, n: int, arrival: str,
     bucket = (F.when(F.col("number") < F.col("low"), -1)
               .when(F.col("number") > F.col("high"), BUCKETS + 1)
               .otherwise(F.floor(F.coalesce(share, F.lit(0.0)) * BUCKETS).cast("int")))
-    keyed = (df.select(F.col(label).alias("label"), at.alias("key"), number.alias("number"),
-                       F.col(id_column).alias("id"))
-             .join(bracket, F.col("label").eqNullSafe(F.col("_label")))
-             .select("label", "key", bucket.alias("bucket"), "id"))
+    keyed = (arrived.select(class_key(label).alias("label"), at.alias("key"), number.alias("number"))
+             .join(bracket, F.col("label") == F.col("_label"))
+             .select("label", "key", bucket.alias("bucket")))
     histogram = histogram_of(keyed)
-    points = cut_points(keyed, histogram, _at_most(n)(sizes_of(histogram)))
-    here = F.struct(at.alias("key"), F.col(id_column).alias("id"))
-    rows, within = _within(df, label, here, points, ["n"])
-    return rows.where(within["n"]).select(*df.columns)
+    quotas = _at_most(n)(sizes_of(histogram))
+    upto = F.sum("n").over(W.partitionBy("label").orderBy("bucket"))
+    reached = pinned(histogram.withColumn("upto", upto).join(quotas, "label")
+                     .where("quota > upto - n and quota <= upto")
+                     .select("label", "bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("take")))
+    counted = keyed.join(reached, ["label", "bucket"]).groupBy("label", "key", "take").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(W.partitionBy("label").orderBy("key"))
+    last = pinned(counted.withColumn("upto", so_far).where("take > upto - n and take <= upto")
+                  .select(F.col("label").alias("_class"), F.col("key").alias("_last"),
+                          (F.col("take") - F.col("upto") + F.col("n")).alias("rest")))
+    joined = df.join(last, class_key(label) == F.col("_class"))
+    before = joined.where(at < F.col("_last")).select(*df.columns)
+    tied = joined.where(at == F.col("_last")).select(*df.columns)
+    # ranges of the order by id are its buckets
+    ranges = checkpointed(tied.select(class_key(label).alias("label"), F.lit("").alias("key"),
+                                      F.col(id_column).alias("id"), row_key(df).alias("row"))
+                          .repartitionByRange("label", "id").withColumn("bucket", F.spark_partition_id()))
+    rest = last.select(F.col("_class").alias("label"), F.lit("n").alias("cut"), F.col("rest").alias("quota"))
+    points = cut_points(ranges, histogram_of(ranges), rest)
+    here = F.struct(F.lit("").alias("key"), F.col(id_column).alias("id"), row_key(df).alias("row"))
+    rows, within = _within(tied, label, here, points, ["n"])
+    return before.unionByName(rows.where(within["n"]).select(*df.columns))

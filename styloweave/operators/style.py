@@ -32,10 +32,10 @@ ITEM = "struct<feature:string,item:string,idx:int,n:bigint>"
 def default_vocabs() -> dict[str, list[str]]:
     return {
         "pos_unigrams": fv.POS_TAGS,
-        "pos_bigrams": [f"{a} {b}" for a in fv.POS_TAGS for b in fv.POS_TAGS],
+        "pos_bigrams": fv.pos_bigrams_vocab(),
         "dep_labels": fv.DEP_LABELS,
         "morph_tags": fv.MORPH_TAGS,
-        "sentences": list(fv.ENGLISH_PATTERNS),
+        "sentences": fv.CONSTRUCTIONS,
         "emojis": fv.EMOJIS,
         "func_words": fv.func_words_vocab(),
         "punctuation": fv.PUNCTUATION,
@@ -80,7 +80,7 @@ def _pair(feature: str, item: Column) -> Column:
     return F.struct(F.lit(feature).alias("feature"), item.alias("item"))
 
 
-# Larger vocabularies are looked up after counting only.
+# Larger vocabularies are looked up after counting only; the rows are the same.
 LITERAL_VOCAB = 2_000
 
 
@@ -123,9 +123,10 @@ def _emissions(features: list[str], vocabs: dict[str, list[str]], open_features:
     if "morph_tags" in features:
         emit("morph_tags", F.col("morph"), F.col("morph") != "")
     if "punctuation" in features:
-        # plain words hold no punctuation
+        # plain words hold no punctuation, unless the vocabulary names letters
+        letters = any(c.isascii() and c.isalpha() for i in vocabs.get("punctuation", []) for c in i)
         emit("punctuation", token, F.col("is_punct") if simple
-             else ~token.rlike(r"^[a-zA-Z]+$"))
+             else None if letters else ~token.rlike(r"^[a-zA-Z]+$"))
     if "letters" in features:
         emit("letters", token)
     return F.array(*pairs)
@@ -190,6 +191,13 @@ def _counted(pairs: DataFrame, table: DataFrame, open_features: list[str]) -> Da
             .select("doc_id", "feature", "item", "idx", "n"))
 
 
+def _unnamed(counts: DataFrame, open_features: list[str]) -> DataFrame:
+    """One row without a name for the unlisted items of a feature, as for small vocabularies."""
+    unlisted = F.col("idx").isNull() & F.col("feature").isin(open_features)
+    return (counts.withColumn("item", F.when(~unlisted, F.col("item")))
+            .groupBy("doc_id", "feature", "item", "idx").agg(F.sum("n").alias("n")))
+
+
 def transition_matches(tok: DataFrame, transitions: list[str] | None = None,
                        quote_ok: bool = False) -> DataFrame:
     """Sentences opened by a transition and a comma, also after `and` or `but`.
@@ -237,6 +245,14 @@ def transition_matches(tok: DataFrame, transitions: list[str] | None = None,
             .agg(F.min_by("transition", "ord").alias("transition")))
 
 
+def _emoji_runs(tok: DataFrame) -> DataFrame:
+    """`doc_id, t`: runs of adjacent emoji tokens, so that sequences a tokenizer has cut are whole."""
+    cut = tok.where(F.col("token").rlike(tx.EMOJI_PART)).groupBy("doc_id", "sentence_id").agg(
+        F.sort_array(F.collect_list(F.struct("token_id", "token"))).alias("c"))
+    return cut.select("doc_id", F.array_join(F.transform("c", lambda x, i: F.concat(F.when(
+        F.coalesce(F.get("c", i - 1).token_id, F.lit(-2)) == x.token_id - 1, "").otherwise(" "), x.token)), "").alias("t"))
+
+
 def doc_bigrams(tok: DataFrame) -> DataFrame:
     """Adjacent part-of-speech pairs over the document, across sentence ends.
 
@@ -302,8 +318,7 @@ def feature_counts(tok: DataFrame, *, docs: DataFrame | None = None,
     if profile == "simple" and "pos_bigrams" in features:
         also(doc_bigrams(tok), "pos_bigrams")
     if "emojis" in features:
-        texts = docs.select("doc_id", F.col("text").alias("t")) if docs is not None else \
-            tok.select("doc_id", F.col("token").alias("t"))
+        texts = docs.select("doc_id", F.col("text").alias("t")) if docs is not None else _emoji_runs(tok)
         also(texts.select("doc_id", F.explode(tx.emojis_of(F.col("t"))).alias("item")), "emojis")
     if {"transitions", "unique_transitions"} & set(features):
         also(transition_matches(tok, vocabs.get("transitions"), quote_ok)
@@ -314,7 +329,10 @@ def feature_counts(tok: DataFrame, *, docs: DataFrame | None = None,
     for more in extra:
         pairs = pairs.unionByName(more.select("doc_id", "feature", "item",
                                               F.col("n").cast("long").alias("n")))
-    return _counted(pairs, table, open_features)
+    counts = _counted(pairs, table, open_features)
+    late = any(len(set(vocabs.get(f, []))) > LITERAL_VOCAB for f in open_features) or not \
+        set(open_features) <= set(vocabs) | {"letters"}
+    return _unnamed(counts, open_features) if late else counts
 
 
 def _user_features(vocabs: dict[str, list[str]]) -> list[str]:

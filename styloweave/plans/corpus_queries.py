@@ -177,10 +177,11 @@ def rename(spark, folder):
 @query("a13_config_hash", """SELECT lang, substring(md5('{"features": 18, "lang": "' || lang || '"}'), 1, 12)
   AS key FROM (SELECT DISTINCT lang FROM documents)""")
 def config_hash(spark, folder):
-    """The column form of the key of stored vectors."""
-    text = F.concat(F.lit('{"features": 18, "lang": "'), "lang", F.lit('"}'))
-    return table(spark, folder, "documents").select("lang").distinct().select(
-        "lang", F.substring(F.md5(text), 1, 12).alias("key"))
+    """The key of stored vectors, for one configuration per language."""
+    def keys(frames):
+        for f in frames:
+            yield f.assign(key=[mt.config_hash({"lang": x, "features": 18}) for x in f["lang"]])
+    return table(spark, folder, "documents").select("lang").distinct().mapInPandas(keys, "lang string, key string")
 
 
 # ------------------------------------------------------------------------- rebuild
@@ -276,7 +277,8 @@ def value_counts(spark, folder):
 
 
 @query("k2_cross_table", f"WITH {META} SELECT model_category, " + ", ".join(
-    f"count(*) FILTER (text_type = '{t}') AS {t}" for t in TYPES) + " FROM meta GROUP BY model_category")
+    f"count(*) FILTER (text_type = '{t}') AS {t}" for t in TYPES) +
+    f", count(*) FILTER (coalesce(text_type NOT IN {in_list(TYPES)}, true)) AS other FROM meta GROUP BY model_category")
 def cross_table(spark, folder):
     return cs.cross_table(meta(spark, folder), "model_category", "text_type", TYPES)
 
@@ -653,6 +655,14 @@ def overlap(spark, folder):
     return cp.column_overlap(*_two_sets(spark, folder))
 
 
+@query("o1_overlap_by_prefix", f"""WITH {_OTHER}, s AS (SELECT feature, CASE WHEN max(a) > 0 AND max(b) > 0 THEN 'both'
+  WHEN max(a) > 0 THEN 'a' ELSE 'b' END AS side FROM ab GROUP BY feature)
+SELECT split_part(feature, ':', 1) AS prefix, count(*) FILTER (side = 'a') AS only_a,
+  count(*) FILTER (side = 'b') AS only_b, count(*) FILTER (side = 'both') AS both FROM s GROUP BY 1""")
+def overlap_by_prefix(spark, folder):
+    return cp.overlap_by_prefix(*_two_sets(spark, folder))
+
+
 @query("o2_differences", f"""WITH {_OTHER} SELECT round(max(diff), 9) AS max_diff,
   round(sum(diff) / count(*), 9) AS mean_diff, count(*) FILTER (diff > 1e-6) AS over FROM d""")
 def differences(spark, folder):

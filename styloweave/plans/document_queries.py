@@ -403,7 +403,7 @@ w AS (SELECT doc_id, {_col} AS word, count(*) AS n FROM {"tok" if _on == "token"
 g AS (SELECT word, sum(n) AS total FROM w GROUP BY word HAVING sum(n) <= 2)
 SELECT doc_id, CAST(count(*) FILTER (total = 1) AS BIGINT) AS n_global_{_on}_hapax_legomena,
   CAST(count(*) FILTER (total = 2) AS BIGINT) AS n_global_{_on}_hapax_dislegomena
-FROM w JOIN g ON w.word = g.word GROUP BY doc_id""")
+FROM w LEFT JOIN g ON w.word = g.word GROUP BY doc_id""")
     def _global(spark, folder, on=_on):
         tok = lexical_tokens(spark, folder) if on == "token" else annotated_tokens(spark, folder)
         return ex.global_legomena(ex.word_counts(tok, on), on)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 PINNED_ROWS = 10_000
 
 
@@ -22,6 +23,7 @@ def local_session(app: str = "styloweave", cores: str = "8", partitions: int = 8
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.maxPartitionBytes", "4m")  # small inputs, all cores
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -52,12 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when `df` has at most `max_rows` rows; else leave the join to shuffle.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the rows of `df`, as JSON text, have at most `max_bytes`; else the join shuffles.
 
-    The check reads at most `max_rows + 1` rows.
+    The check is one aggregation over the table; nothing but its total reaches the driver.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.select(F.length(F.to_json(F.struct(*df.columns))).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def pinned(df: DataFrame, max_rows: int = PINNED_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from styloweave.functions import fixed_values as fv
 from styloweave.functions import labels as lb
+from styloweave.operators import sampling
 
 DOCS = "doc_id string, text string"
 TOKENS = ("doc_id string, sentence_id int, token_id int, token string, lemma string, pos string, "
@@ -19,28 +20,31 @@ def read_parquet_folder(spark: SparkSession, folder: str) -> DataFrame:
             .parquet(folder))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a freshly read table over all cores if it came in fewer partitions.
-
-    Only small inputs do; a large table is left as it was split, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCS).parquet(path)
 
 
 def read_parallel_corpus(spark: SparkSession, path: str,
-                         include_models: list[str] | None = None) -> DataFrame:
-    """Documents with category and author: human second chunks and model rows."""
-    return lb.with_author(read_documents(spark, path), include_models)
+                         include_models: list[str] | None = None,
+                         limit_per_class: int | None = None) -> DataFrame:
+    """Documents with category and author: human second chunks and model rows.
+
+    `limit_per_class` keeps that many documents of each category, chosen by hash of the id.
+    """
+    return _limited(lb.with_author(read_documents(spark, path), include_models), limit_per_class)
+
+
+def _limited(docs: DataFrame, n: int | None) -> DataFrame:
+    return docs if n is None else sampling.sample_per_class(docs, "model_category", n)
 
 
 def read_category_files(spark: SparkSession, files: dict[str, str],
-                        include_models: list[str] | None = None) -> DataFrame:
-    """One file (or folder) per category. With no category left, an empty table."""
+                        include_models: list[str] | None = None,
+                        limit_per_class: int | None = None) -> DataFrame:
+    """One file (or folder) per category. With no category left, an empty table.
+
+    `limit_per_class` keeps that many documents of each category, chosen by hash of the id.
+    """
     chosen = {c: p for c, p in files.items()
               if c == "human" or include_models is None or c in include_models}
     empty = spark.createDataFrame([], DOCS + ", model_category string, author_id string")
@@ -50,12 +54,17 @@ def read_category_files(spark: SparkSession, files: dict[str, str],
         part = read_documents(spark, path).withColumns(
             {"model_category": F.lit(category), "author_id": F.lit(author)})
         out = part if out is empty else out.unionByName(part)
-    return out
+    return _limited(out, limit_per_class)
 
 
-def read_csv_texts(spark: SparkSession, path: str, text_column: str = "text") -> DataFrame:
-    """The text column of a CSV file with a header; quoted line breaks are kept."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv_texts(spark: SparkSession, path: str, text_column: str = "text",
+                   line_breaks: bool = True) -> DataFrame:
+    """The text column of CSV files with headers; quoted line breaks are kept.
+
+    Each file is then read by one task. Where no text has line breaks, `line_breaks=False`
+    lets large files be split.
+    """
+    df = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"')
     if text_column not in df.columns:
         raise ValueError(f"column {text_column!r} not found; the file has {df.columns}")
     return df.select(F.col(text_column).cast("string").alias("text"))
@@ -64,16 +73,29 @@ def read_csv_texts(spark: SparkSession, path: str, text_column: str = "text") ->
 def read_text_lines(spark: SparkSession, path: str, n_docs: int | None = None) -> DataFrame:
     """Stripped, non-blank lines as documents; repeated up to `n_docs` where given.
 
-    Each line is repeated in place, and the copy number is part of the id.
+    Each line is repeated in place: no sort, no limit, nothing shuffled.
     """
     lines = (spark.read.text(path).select(F.trim("value").alias("text"))
              .where("text <> ''"))
     if n_docs is None:
         return lines
     have = lines.count()
-    copies = -(-n_docs // have) if have else 0
-    return (lines.select("text", F.explode(F.sequence(F.lit(1), F.lit(max(copies, 1))))
-                         .alias("copy")).orderBy("copy").limit(n_docs).drop("copy"))
+    if not have:
+        return lines
+    # every line gets the whole share; the first of each part of the input get one more
+    share, rest = divmod(n_docs, have)
+    part = F.spark_partition_id()
+    sizes = lines.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row a split
+    more, left = {}, rest
+    for row in sizes:
+        more[row["part"]] = min(left, row["count"])
+        left -= more[row["part"]]
+    extra = F.create_map(*[F.lit(x) for kv in more.items() for x in kv])
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    copies = F.lit(share) + (place < extra[part]).cast("int")
+    return (lines.select("text", copies.alias("copies"))
+            .select("text", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))).alias("copy"))
+            .drop("copy"))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

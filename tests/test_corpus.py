@@ -288,3 +288,46 @@ def test_lines_and_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([("f", [1, 2])], "a string, b array<int>")
     wr.write_csv(wr.flattened(df), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).first()["b"] == "[1,2]"
+
+
+def test_null_labels_and_repeated_ids(spark):
+    rows = [(i % 80, "a" if i % 4 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, label string, n int")
+    counts = {(r["label"], r["split"]): r["count"] for r in
+              sp.stratified_split(df, "label", 0.2).groupBy("label", "split").count().collect()}
+    assert counts == {("a", "train"): 120, ("a", "test"): 30, (None, "train"): 40, (None, "test"): 10}
+    got = {r["label"]: r["count"] for r in sp.sample_per_class(df, "label", 25).groupBy("label").count().collect()}
+    assert got == {"a": 25, None: 25}
+    same = spark.createDataFrame([(1, "a")] * 10, "doc_id int, label string")
+    with pytest.raises(ValueError):
+        sp.sample_per_class(same, "label", 4)
+
+
+def test_first_per_class_with_one_arrival(spark):
+    rows = [(i, "a" if i % 3 else None, 7 if i < 90 else 9) for i in range(120)] + [(999, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id int, label string, arrival int")
+    for n in (10, 60, 65, 500):
+        got = sp.first_per_class(df, "label", n, "arrival").collect()
+        for label, tied, late in (("a", 60, 20), (None, 30, 10)):
+            own = [r for r in got if r["label"] == label]
+            assert len(own) == min(n, tied + late) and sum(r["arrival"] == 7 for r in own) == min(n, tied)
+            assert len({r["doc_id"] for r in own}) == len(own)
+
+
+def test_cross_table_keeps_the_rest(spark):
+    df = spark.createDataFrame([("x", "a"), ("y", "z"), ("y", None)], "r string, c string")
+    got = {r["r"]: (r["a"], r["b"], r["other"]) for r in cs.cross_table(df, "r", "c", ["a", "b"]).collect()}
+    assert got == {"x": (1, 0, 0), "y": (0, 0, 2)}
+
+
+def test_text_lines_in_place(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\n two \nthree\n")
+    for n in (2, 3, 8, 10):
+        got = sorted(r["text"] for r in rd.read_text_lines(spark, str(tmp_path), n).collect())
+        assert len(got) == n and all(n // 3 <= got.count(x) <= -(-n // 3) for x in ("one", "two", "three"))
+
+
+def test_overlap_by_prefix(spark):
+    a = spark.createDataFrame([("p:x",), ("p:y",)], "feature string")
+    b = spark.createDataFrame([("p:y",), ("q:z",)], "feature string")
+    assert {tuple(r) for r in cp.overlap_by_prefix(a, b).collect()} == {("p", 1, 0, 1), ("q", 0, 1, 0)}

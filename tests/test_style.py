@@ -167,3 +167,12 @@ def test_bucketed_table_needs_no_shuffle(spark, tokens):
         assert "Exchange hashpartitioning" not in plan, plan
     finally:
         spark.sql("DROP TABLE IF EXISTS bucketed_tokens")
+
+
+def test_emoji_sequences_without_texts(spark):
+    docs = spark.createDataFrame([("d", "ok 👍🏽 👩‍👧 fine 👍 👍")], "doc_id string, text string")
+    config = {f: 0 for f in style.fv.STYLE_FEATURES} | {"emojis": 1}
+    tok = tk.tokenize(docs)
+    with_docs, without = (style.sparse_long(style.vectorize(tok, docs=d, config=config)).where("feature = 'emojis'")
+                          .select("item", "n").collect() for d in (docs, None))
+    assert sorted(map(tuple, with_docs)) == sorted(map(tuple, without)) == [("👍", 2)]
