@@ -11,7 +11,7 @@ With 28 bands of 4 registers a pair of similarity 0.8 is missed with a chance of
 
 A band that holds thousands of documents is never expanded into all pairs: first each document is
 verified against one leader, then against the leaders of its other bands where those are not yet of
-its class, and at last pairs of one band whose members are still of different classes.
+its class. Documents of bands that still hold several classes go through an exact prefix join.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ BANDS, ROWS = 28, 4
 SIGNED = "doc_id long, text_key long, n_words long, n_shingles long, digest string, bands array<long>"
 U64 = np.uint64
 ID_BITS = U64(44)
+SKETCH = 1 << 18
 
 
 def shingles(words: Words, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +118,55 @@ def _verified(threshold: float):
     return run
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SKETCH, np.int64)
+    for block in blocks(batches, text=2):
+        _, ids, _ = shingles(split(block.column(2)))
+        total += np.bincount((ids % U64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+
+def prefix_pairs(docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of `docs` (doc, label, text) that may reach the threshold and differ in label; none is missed.
+
+    With the shingles of each set in one order, from rare to frequent, two similar sets have a
+    common shingle among the first n - ceil(threshold n) + 1 of each; and at the first common one,
+    at places i and j, min(n_a - i, n_b - j) is at least their overlap. Passages that many documents
+    share come last in the order, so they make no pairs of documents that differ elsewhere. The
+    order uses frequencies in a table of fixed size; any order gives whole results.
+    """
+    counted = docs.mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")) \
+        .toArrow()  # at most SKETCH rows
+    frequency = np.zeros(SKETCH, np.int64)
+    frequency[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text=2):
+            row, ids, _ = shingles(split(block.column(2)))
+            order = np.lexsort((ids, shared.value[(ids % U64(SKETCH)).astype(np.int64)], row))
+            row, ids = row[order], ids[order]
+            size = np.bincount(row, minlength=len(block))
+            place = np.arange(len(row)) - np.concatenate(([0], np.cumsum(size)))[row]
+            first = place < (size - np.ceil(threshold * size - 1e-9) + 1)[row]
+            row, ids, place = row[first], ids[first], place[first]
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0).take(pa.array(row)), block.column(1).take(pa.array(row)), pa.array(size[row]),
+                 pa.array(place), pa.array(ids.view(np.int64))], names=["doc", "label", "size", "place", "shingle"])
+
+    rows = stored(docs.mapInArrow(prefixes, "doc long, label long, size long, place long, shingle long"))
+    several = stored(rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                     .where("low < high").select("shingle"))
+    rows = stored(rows.join(several, "shingle"))
+    x, y = rows.alias("x"), rows.alias("y")
+    need = F.lit(threshold / (1 + threshold)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6)
+    possible = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label"))
+                  & (F.col("x.doc") < F.col("y.doc")) & possible) \
+        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, class_id (smallest id of its class), n_words, text_key.
@@ -172,18 +222,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = stored(verify(apart(tried.join(best, ["a", "b"], "left_anti"))))
     edges = edges.union(more)
     labels = components(edges)
-    # bands that still hold several classes: pairs across classes
+    # bands that still hold several classes: an exact join of the sets of their documents
     marked = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left") \
-        .select("bucket", "doc", "size", F.coalesce("label", "doc").alias("label"))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")) \
-        .where("low < high").select("bucket")
-    open_ = stored(marked.join(mixed, "bucket"))
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label"))
-                   & (F.col("x.doc") < F.col("y.doc"))
-                   & (F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size"))) \
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct() \
-        .join(tried, ["a", "b"], "left_anti")
+        .select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    mixed = stored(marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                   .where("low < high").select("bucket"))
+    contested = stored(marked.join(mixed, "bucket").select("doc", "label").distinct().join(held, "doc")
+                       .select("doc", "label", "text"))
+    cross = prefix_pairs(contested, threshold).join(tried, ["a", "b"], "left_anti")
     edges = edges.union(stored(verify(cross)))
     labels = components(edges)
     classes = stored(copies.select("digest", "doc").join(labels, F.col("doc") == F.col("node"), "left")

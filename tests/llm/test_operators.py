@@ -415,3 +415,19 @@ def test_empty_tables(spark):
         assert df.count() == 0
     some = classifier.quality_scores(fx.documents(spark), labels).collect()
     assert {r["score"] for r in some} == {0.5} and len(some) == len(fx.texts())
+
+
+def test_prefix_pairs_miss_none(spark):
+    r, rows = random.Random(12), []
+    for g in range(12):
+        shared = fx.prose(200 + g, 90).split()
+        for k in range(12):
+            words = list(shared)
+            for _ in range(r.randrange(3)):
+                words[r.randrange(90)] = f"v{r.randrange(10**6)}"
+            rows.append((20 * g + k, " ".join(words + fx.prose(900 + 20 * g + k, r.randrange(12)).split())))
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(i, i, t) for i, t in rows], "doc long, label long, text string")
+    got = {tuple(x) for x in near.prefix_pairs(df, 0.8).collect()}
+    assert want <= got and len(want) > 30 and len(got) < len(rows) ** 2 / 8
