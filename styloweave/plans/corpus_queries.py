@@ -5,7 +5,6 @@ Document ids such as `acad_12@gpt-4o-2024-08-06` are derived from the given tabl
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from styloweave.plans import flows
 from styloweave.plans.oracle_sql import in_list, q, tokens_cte, values_table
 from styloweave.plans.registry import query, table
 from styloweave.plans.style_queries import TOK, VOCABS, lexical_tokens, only
+from styloweave.session import fresh_folder
 from styloweave.sources import materialise as mt
 from styloweave.streaming import rebuild_stream as rs
 
@@ -234,19 +234,11 @@ def binary_labels(spark, folder):
     return lb.with_author(corpus(spark, folder).select("doc_id"))
 
 
-def _work_folder(spark) -> str:
-    """A fresh folder under the session's shared checkpoint folder, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        return tempfile.mkdtemp(prefix="stream-")
-    return f"{shared.rstrip('/')}/stream-{spark.sql('SELECT uuid()').first()[0]}"
-
-
 @query("c2_stream", f"""WITH {tokens_cte("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations")},
 {_REBUILD} SELECT doc_id, text FROM built""")
 def stream(spark, folder):
     """Token rows of `conversations` as a stream; documents come out as they finish."""
-    work = _work_folder(spark)
+    work = fresh_folder(spark)
     turns = table(spark, folder, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     tok = tk.tokenize(turns)
@@ -476,7 +468,7 @@ def _vectors_of(spark, docs, name):
                                    docs=docs.select("doc_id", "author_id", "model_category"))
         columns = style.vector_columns(MODEL_CONFIG)
         return md.model_vectors(profiles, len(columns), ["author_id", "model_category"])
-    return mt.get_or_compute(spark, _work_folder(spark), name, MODEL_CONFIG, build,
+    return mt.get_or_compute(spark, fresh_folder(spark), name, MODEL_CONFIG, build,
                              depends_on=[mt.input_fingerprint(docs), mt.vocab_fingerprint(VOCABS)])
 
 

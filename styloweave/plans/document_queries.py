@@ -230,21 +230,27 @@ def linear_tree(spark, folder):
     return syntax.linear_trees(constructed_tokens(spark, folder))
 
 
-PLAIN_PATTERNS = {n: p for n, p in fv.ENGLISH_PATTERNS.items() if n != "parenthetical"}
-_MATCHES = " UNION ALL ".join(
-    f"SELECT doc_id, sentence_id, '{n}' AS pattern_name, regexp_extract(tree, {q(p)}, 0) AS matched, "
-    f"sentence FROM trees WHERE regexp_matches(tree, {q(p)})" for n, p in PLAIN_PATTERNS.items())
+def _matches_sql(patterns: dict[str, str]) -> str:
+    """A look-ahead group that may match zero times changes nothing; the SQL engine has none."""
+    plain = {n: p.replace("(?!(.*-VB.*))*", "") for n, p in patterns.items()}
+    return " UNION ALL ".join(
+        f"SELECT doc_id, sentence_id, '{n}' AS pattern_name, regexp_extract(tree, {q(p)}, 0) AS matched, "
+        f"sentence FROM trees WHERE regexp_matches(tree, {q(p)})" for n, p in plain.items())
+
+
+_MATCHES = _matches_sql(fv.ENGLISH_PATTERNS)
 
 
 @query("h2_matches_en", f"""WITH {_TREES}, m AS ({_MATCHES})
 SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, pattern_name, matched, sentence FROM m""")
 def matches_en(spark, folder):
-    return syntax.construction_matches(constructed_tokens(spark, folder), PLAIN_PATTERNS)
+    return syntax.construction_matches(constructed_tokens(spark, folder))
 
 
-@query("h2_parenthetical")
+@query("h2_parenthetical", f"""WITH {_TREES}, m AS (
+{_matches_sql({"parenthetical": fv.ENGLISH_PATTERNS["parenthetical"]})})
+SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, pattern_name, matched, sentence FROM m""")
 def parenthetical(spark, folder):
-    """Needs look-ahead, which the SQL engine's expressions lack."""
     patterns = {"parenthetical": fv.ENGLISH_PATTERNS["parenthetical"]}
     return syntax.construction_matches(constructed_tokens(spark, folder), patterns)
 
@@ -262,6 +268,18 @@ def custom_patterns(spark, folder):
     return syntax.construction_matches(constructed_tokens(spark, folder), patterns)
 
 
+PLAIN_RUSSIAN = {n: fv.RUSSIAN_PATTERNS[n] for n in (
+    "passive_rus", "parataxis_rus", "nested_structure_rus", "one_word_sent_rus", "diminutive_rus",
+    "additional_info_rus")}
+
+
+@query("h8_matches_ru_plain", f"""WITH {_TREES}, m AS ({_matches_sql(PLAIN_RUSSIAN)})
+SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, pattern_name, matched, sentence FROM m""")
+def matches_ru_plain(spark, folder):
+    """The Russian patterns that the SQL engine can run too."""
+    return syntax.construction_matches(constructed_tokens(spark, folder), PLAIN_RUSSIAN)
+
+
 @query("h8_matches_ru")
 def matches_ru(spark, folder):
     """Russian patterns; look-behind and back-references keep them out of the SQL engine."""
@@ -275,8 +293,7 @@ SELECT c.doc_id, 'sentences' AS feature, item, CAST(n AS BIGINT) AS n, CAST(deno
        CAST(n AS DOUBLE) / denom AS value FROM c JOIN d ON c.doc_id = d.doc_id""")
 def sentences(spark, folder):
     from styloweave.plans.style_queries import _present, long_vectors, only
-    return _present(long_vectors(constructed_tokens(spark, folder), config=only("sentences"),
-                                 patterns=PLAIN_PATTERNS), "sentences")
+    return _present(long_vectors(constructed_tokens(spark, folder), config=only("sentences")), "sentences")
 
 
 @query("f03_sentence_types", f"""WITH {_TREES}, m AS ({_MATCHES}),
@@ -286,7 +303,7 @@ fall AS (SELECT doc_id, CASE WHEN t LIKE '%?' THEN 'interrogative' WHEN t LIKE '
 e AS (SELECT doc_id, pattern_name AS item FROM m UNION ALL SELECT doc_id, item FROM fall)
 SELECT doc_id, item, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY doc_id, item""")
 def sentence_types(spark, folder):
-    return syntax.sentence_types(constructed_tokens(spark, folder), PLAIN_PATTERNS)
+    return syntax.sentence_types(constructed_tokens(spark, folder))
 
 
 # ------------------------------------------------------------------------- extended

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder name inside the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/work/{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
     shared_folder(df.sparkSession)
