@@ -7,6 +7,7 @@ from __future__ import annotations
 
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from styloweave.functions import fixed_values as fv
@@ -24,7 +25,7 @@ from styloweave.plans import flows
 from styloweave.plans.oracle_sql import in_list, q, tokens_cte, values_table
 from styloweave.plans.registry import query, table
 from styloweave.plans.style_queries import TOK, VOCABS, lexical_tokens, only
-from styloweave.session import fresh_folder
+from styloweave.session import fresh_folder, shared_folder
 from styloweave.sources import materialise as mt
 from styloweave.streaming import rebuild_stream as rs
 
@@ -458,17 +459,19 @@ def report(spark, folder):
                      "support")
 
 
-MODEL_CONFIG = only("func_words", "punctuation", "tokens", "types", "sentence_count")
+#: All features but letters: 825 columns.
+MODEL_CONFIG = style.default_config(letters=0)
+MODEL_COLUMNS = style.vector_columns(MODEL_CONFIG)
 
 
 def _vectors_of(spark, docs, name):
     """Vectors of `doc_id, text, author_id, model_category`, computed once and stored."""
     def build():
-        profiles = style.vectorize(tk.tokenize(docs), config=MODEL_CONFIG,
-                                   docs=docs.select("doc_id", "author_id", "model_category"))
-        columns = style.vector_columns(MODEL_CONFIG)
-        return md.model_vectors(profiles, len(columns), ["author_id", "model_category"])
-    return mt.get_or_compute(spark, fresh_folder(spark), name, MODEL_CONFIG, build,
+        given = docs.select("doc_id", "text", "author_id", "model_category")
+        profiles = style.vectorize(tk.annotate_fixture(given), config=MODEL_CONFIG, docs=given)
+        return md.model_vectors(profiles, len(MODEL_COLUMNS), ["author_id", "model_category"])
+    # one folder: later queries read what the first has stored for the same input
+    return mt.get_or_compute(spark, f"{shared_folder(spark)}/vectors", name, MODEL_CONFIG, build,
                              depends_on=[mt.input_fingerprint(docs), mt.vocab_fingerprint(VOCABS)])
 
 
@@ -482,15 +485,53 @@ def conversation_vectors(spark, folder):
     docs = table(spark, folder, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text",
         F.when(role == "user", "human").otherwise("llm").alias("author_id"),
-        F.when(role == "user", "human").when(role == "assistant", "gpt-4o")
-        .otherwise("gpt-4o-mini").alias("model_category"))
+        F.when(role == "user", "human").otherwise(_pick(fv.CORPUS_CATEGORIES[1:], F.col("conv_id")))
+        .alias("model_category"))
     return _vectors_of(spark, docs, "conversations")
 
 
 @query("m2_coefficients")
 def coefficients(spark, folder):
     vectors = stored_vectors(spark, folder)
-    return md.train_model(vectors).coefficients(spark, style.vector_columns(MODEL_CONFIG))
+    return md.train_model(vectors).coefficients(spark, MODEL_COLUMNS)
+
+
+@query("m2_optimum", "SELECT feature, true AS at_optimum FROM (VALUES "
+       + values_table([(f"{f}:{i}",) for f, i in MODEL_COLUMNS]) + ") v(feature), "
+       "(SELECT count(*) AS n FROM documents) WHERE n > 0")
+def optimum(spark, folder):
+    """Whether the slope of summed log loss and half the squared norm vanishes at each coefficient."""
+    vectors = stored_vectors(spark, folder)
+    model = md.train_model(vectors)
+    w = [float(c) for c in model.fitted.coefficients]
+    scaled = md.scale(vectors, model.factors).select(
+        vector_to_array("features").alias("x"), (F.col("author_id") == model.classes[1]).cast("double").alias("y"))
+    weights = F.array(*map(F.lit, w))
+    margin = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(float(model.fitted.intercept)),
+                         lambda t, v: t + v)
+    residual = 1 / (1 + F.exp(-margin)) - F.col("y")
+    slopes = scaled.withColumn("r", residual).select(F.posexplode("x").alias("ord", "v"), "r") \
+        .groupBy("ord").agg(F.sum(F.col("v") * F.col("r")).alias("slope"))
+    names = spark.createDataFrame([(n, f"{f}:{i}", w[n]) for n, (f, i) in enumerate(MODEL_COLUMNS)],
+                                  "ord int, feature string, w double")
+    return slopes.join(names, "ord").select("feature", (F.abs(F.col("slope") + F.col("w")) < 1e-2).alias("at_optimum"))
+
+
+_LABELLED = f"""{CAT}, labelled AS (SELECT *, CASE WHEN model_category = 'human' THEN 'human' ELSE 'llm' END AS author_id
+FROM cat WHERE model_category NOT IN {in_list(fv.DROPPED_CATEGORIES)})"""
+
+
+@query("m3_predictions", f"""WITH {_LABELLED} SELECT author_id, count(*) AS n, true AS by_sign FROM labelled GROUP BY author_id""")
+def predictions_by_sign(spark, folder):
+    """Every prediction is the side of the fitted plane on which the vector lies."""
+    vectors = stored_vectors(spark, folder)
+    model = md.train_model(vectors)
+    sides = md.scale(vectors, model.factors).select("doc_id", F.aggregate(
+        F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(c)) for c in model.fitted.coefficients]),
+                   lambda a, b: a * b), F.lit(float(model.fitted.intercept)), lambda t, v: t + v).alias("m"))
+    side = F.when(F.col("m") > 0, model.classes[1]).otherwise(model.classes[0])
+    return model.predict(vectors).join(sides, "doc_id").groupBy("author_id").agg(
+        F.count("*").alias("n"), F.bool_and(side == F.col("predicted")).alias("by_sign"))
 
 
 @query("m3_train_and_report")
@@ -503,6 +544,16 @@ def pairwise(spark, folder):
     return flows.pairwise(stored_vectors(spark, folder))
 
 
+@query("m7_sizes", f"""WITH {_LABELLED}, h AS (SELECT count(*) AS n FROM labelled WHERE author_id = 'human'),
+c AS (SELECT model_category AS llm, count(*) AS n FROM labelled WHERE author_id <> 'human' GROUP BY model_category)
+SELECT llm, CAST(h.n + c.n - ceil(0.2 * (h.n + c.n)) AS BIGINT) AS n_train, CAST(ceil(0.2 * (h.n + c.n)) AS BIGINT) AS n_test,
+  true AS in_range FROM c, h""")
+def pairwise_model_sizes(spark, folder):
+    """Sizes of each pair's parts; accuracies between 0 and 1."""
+    ok = F.col("train_accuracy").between(0, 1) & F.col("test_accuracy").between(0, 1)
+    return flows.pairwise(stored_vectors(spark, folder)).select("llm", "n_train", "n_test", ok.alias("in_range"))
+
+
 @query("m8_across_corpora")
 def across_corpora(spark, folder):
     """Train on documents, test on conversations, as a whole."""
@@ -513,7 +564,7 @@ def across_corpora(spark, folder):
 def per_model(spark, folder):
     """Train on documents, test on conversations, per category both have."""
     return flows.across_corpora(stored_vectors(spark, folder), conversation_vectors(spark, folder),
-                                ["gpt-4o", "gpt-4o-mini"])
+                                fv.CORPUS_CATEGORIES[1:])
 
 
 @query("m9_within_corpus")
