@@ -17,9 +17,9 @@ from styloweave.llm import op07_chat as chat
 from styloweave.llm import op08_classifier as classifier
 from styloweave.llm import op09_packing as packing
 from styloweave.llm import op10_decontamination as decontamination
+from styloweave.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 TOKENIZER = "word_bpe_49k.json"
 
 
