@@ -1,8 +1,8 @@
 """Headline timings as one JSON line.
 
 BENCH_SF_DIR names the folder of input tables, BENCH_CPUS the local cores. Annotation is an
-input of the engine, so annotated tokens and model vectors are stored first, untimed; their
-timings are given beside the others with the prefix `prepare_`.
+input of the engine, so annotated tokens are stored first; that and the warm-up are given beside
+the others with the prefix `prepare_`. All else counts in the total.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from styloweave.operators import counters, extended, modeling, rebuild, sampling, style, syntax
 from styloweave.operators import tokens as tk
+from styloweave.functions import fixed_values as fv
+from styloweave.plans import flows
 from styloweave.plans.registry import table
 from styloweave.plans.style_queries import only
 from styloweave.session import local_session
@@ -68,11 +70,20 @@ def main() -> None:
             "doc_id", F.when(F.col("lang") == "en", "human").otherwise("gpt").alias("author_id"))
         modeling.model_vectors(profiles, len(columns)).join(langs, "doc_id") \
             .write.parquet(f"{work}/vectors")
-    timed("prepare_vectors", vectors)
+    timed("vectors", vectors)
     stored = spark.read.parquet(f"{work}/vectors")
     timed("stratified_split", lambda: sampling.three_way_split(
         stored.select("doc_id", "author_id"), "author_id"))
-    timed("fit_on_stored_vectors", lambda: modeling.train_model(stored) and None)
+    fitted = []
+    timed("fit_on_stored_vectors", lambda: fitted.append(modeling.train_model(stored)))
+    for n in (5, 10):
+        timed(f"refit_on_top_{n}", lambda: modeling.train_model(flows.on_top_features(stored, fitted[0], n)) and None)
+
+    models = F.get(F.array(*map(F.lit, fv.CORPUS_CATEGORIES[1:])), (F.col("doc_id") % 6).cast("int"))
+    labelled = stored.withColumn("model_category", F.when(F.col("author_id") == "human", "human").otherwise(models)) \
+        .withColumn("author_id", F.when(F.col("author_id") == "human", "human").otherwise("llm"))
+    timed("pairwise_6_categories", lambda: flows.pairwise(labelled))
+    timed("across_corpora", lambda: flows.across_corpora(labelled, labelled.sample(0.5, 1)))
 
     queries = {k: v for k, v in spent.items() if not k.startswith("prepare_")}
     n_docs = docs.count()

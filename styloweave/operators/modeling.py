@@ -89,6 +89,8 @@ def train_model(train: DataFrame, label: str = "author_id", c: float = 1.0,
     times the summed loss.
     """
     sizes = {r[0]: r[1] for r in train.groupBy(label).count().limit(3).collect()}
+    if None in sizes:
+        raise ValueError(f"column {label} has nulls; drop or label those rows")
     classes = sorted(str(x) for x in sizes)
     if len(classes) != 2:
         raise ValueError(f"two classes are needed, found {classes}")

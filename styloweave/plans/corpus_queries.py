@@ -544,6 +544,16 @@ def pairwise(spark, folder):
     return flows.pairwise(stored_vectors(spark, folder))
 
 
+@query("m3_refit_on_top", f"""WITH {_LABELLED}, n AS (SELECT count(*) AS n FROM labelled)
+SELECT CAST(n - ceil(0.2 * n) AS BIGINT) AS n_train, CAST(ceil(0.2 * n) AS BIGINT) AS n_test, 10 AS features FROM n""")
+def refit_on_top(spark, folder):
+    """Train, select the ten strongest features, train on them alone."""
+    e = flows.refit_on_top(stored_vectors(spark, folder), 10)
+    return e.predictions.agg(F.count("*").alias("n_test")).select(
+        F.lit(e.n_train).cast("long").alias("n_train"), "n_test",
+        F.lit(e.model.fitted.numFeatures).alias("features"))
+
+
 @query("m7_sizes", f"""WITH {_LABELLED}, h AS (SELECT count(*) AS n FROM labelled WHERE author_id = 'human'),
 c AS (SELECT model_category AS llm, count(*) AS n FROM labelled WHERE author_id <> 'human' GROUP BY model_category)
 SELECT llm, CAST(h.n + c.n - ceil(0.2 * (h.n + c.n)) AS BIGINT) AS n_train, CAST(ceil(0.2 * (h.n + c.n)) AS BIGINT) AS n_test,

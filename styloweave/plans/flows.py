@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,22 @@ def train_and_report(vectors: DataFrame, held_out: float = 0.4, seed: int = 42)
                     parts.where("split = 'test'").drop("split"))
 
 
+def on_top_features(vectors: DataFrame, model: md.AuthorshipModel, n: int) -> DataFrame:
+    """The vectors restricted to the `n` features of largest weight, ties in column order."""
+    weights = model.fitted.coefficients
+    order = sorted(range(len(weights)), key=lambda i: (-abs(weights[i]), i))[:n]
+    return VectorSlicer(inputCol="features", outputCol="_top", indices=sorted(order)).transform(vectors) \
+        .drop("features").withColumnRenamed("_top", "features")
+
+
+def refit_on_top(vectors: DataFrame, n: int, fraction: float = 0.2, seed: int = 42) -> Evaluation:
+    """Select on the training part, restrict both parts, fit again and report."""
+    parts = sp.stratified_split(vectors, "author_id", fraction, seed)
+    train, test = (parts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    model = md.train_model(train)
+    return evaluate(on_top_features(train, model, n), on_top_features(test, model, n))
+
+
 def _against(vectors: DataFrame, category: str) -> DataFrame:
     return vectors.where((F.col("model_category") == category) | (F.col("author_id") == "human"))
 
