@@ -331,3 +331,26 @@ def test_overlap_by_prefix(spark):
     a = spark.createDataFrame([("p:x",), ("p:y",)], "feature string")
     b = spark.createDataFrame([("p:y",), ("q:z",)], "feature string")
     assert {tuple(r) for r in cp.overlap_by_prefix(a, b).collect()} == {("p", 1, 0, 1), ("q", 0, 1, 0)}
+
+
+def test_late_tokens_and_long_pauses_are_reconciled(spark, tmp_path):
+    tok = token_rows(spark, CORPUS)
+    start = F.lit("2024-01-01").cast("timestamp")
+    first = F.col("doc_id") == "a@chunk_2"
+    # the first document pauses for two hours after its second token
+    offset = F.when(first & (F.col("token_id") > 1), 7200).when(first, 0).otherwise(60)
+    timed = tok.withColumn("ingested", F.timestamp_add("SECOND", offset + F.col("token_id"), start))
+    end = timed.limit(1).withColumn("doc_id", F.lit("end")).withColumn("ingested", F.timestamp_add("DAY", F.lit(1), start))
+    late = timed.where(first).limit(1).withColumn("token", F.lit("late")).withColumn("token_id", F.lit(99)) \
+        .withColumn("sentence_id", F.lit(9))
+    for n, part in enumerate((timed, end, late)):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"p={n}"))
+        stream = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in" / "*"))
+        docs = rs.rebuild_stream(stream, "ingested", "5 minutes", "1 minute")
+        rs.write_documents(docs, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    table = spark.read.parquet(str(tmp_path / "in")).select(timed.columns).where("doc_id <> 'end'")
+    finished = spark.read.parquet(str(tmp_path / "out")).where("doc_id <> 'end'")
+    assert finished.where(first).count() == 2
+    got = {r["doc_id"]: r["text"] for r in rs.reconciled(finished, table).collect()}
+    assert set(got) == set(CORPUS) and got == {r["doc_id"]: r["text"] for r in rb.rebuild_documents(table).collect()}
+    assert got["a@chunk_2"].endswith("late")
