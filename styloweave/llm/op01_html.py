@@ -33,15 +33,19 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 BLOCK = frozenset("html head body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
                   "section article main nav header footer aside form fieldset legend figure figcaption blockquote pre "
                   "address hr details summary dialog menu option center".split())
-HELD = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr option dt dd".split()) | {"button", "label", "span"}
+HELD = BLOCK - frozenset("hr option".split()) | {"button", "label", "span", "a", "ins"}
+#: Elements that end where the next block begins, closed or not.
+BRIEF = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 ASIDE_TAGS = frozenset("head nav footer aside form menu dialog button label".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu "
                         "menubar toolbar".split())
 ASIDE_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar breadcrumb breadcrumbs ad ads advert "
                         "adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies "
-                        "consent gdpr notice popup modal newsletter subscribe subscription signup login "
-                        "search comment comments disqus replies respond share sharing social related widget toolbar "
+                        "consent gdpr notice popup modal newsletter subscribe subscription signup login alert "
+                        "notices overlay topbar subnav reply responses discussion search comment comments disqus replies respond share sharing social related widget toolbar "
                         "pagination pager".split())
+ASIDE_STEMS = ("advert", "breadcrumb", "comment", "consent", "cookie", "disqus", "footer", "masthead", "navbar",
+               "newsletter", "pagina", "popup", "promo", "recommend", "sidebar", "sponsor", "subscri")
 HEADER_WORDS = frozenset(("header", "banner"))
 COMMENT_WORDS = frozenset(("comment", "comments", "reply", "replies"))
 
@@ -62,7 +66,8 @@ def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
     if tag == "article":
         return bool(words & COMMENT_WORDS)
-    return bool(words & ASIDE_WORDS) or not in_main and bool(words & HEADER_WORDS)
+    return bool(words & ASIDE_WORDS) or any(w.startswith(ASIDE_STEMS) and w != "commentary" for w in words) \
+        or not in_main and bool(words & HEADER_WORDS)
 
 
 def page_blocks(text: str | None) -> list[tuple[str, str]]:
@@ -93,6 +98,8 @@ def page_blocks(text: str | None) -> list[tuple[str, str]]:
             flush()
         if tag not in HELD or m[4].endswith("/"):
             continue
+        if not m[2] and tag in BLOCK and len(stack) > 1 and stack[-1][0] in BRIEF:
+            stack.pop()
         zone = stack[-1][1]
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):

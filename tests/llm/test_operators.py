@@ -111,12 +111,12 @@ def test_differencing_decides_where_a_page_marks_no_main_part(spark):
             (3, "http://h/zz", page.format("far", "away").replace("About us", "Contact")), (4, "http://other/a/1", "<p>alone</p>"),
             (5, "http://copy/1", "<p>twin</p>"), (6, "http://copy/2", "<p>twin</p>"), (7, None, None), (None, "http://h/a/3", ""),
             (8, "http://x/", "<nav>menu</nav><article><header><h1>T&eacute;</h1></header><p>a<b>b</b>&nbsp; c<br>d"
-                             "<div class='share'>tweet</div><section id=comments><p>first!</p></section></article><aside>s</aside>"),
+                             "<p class=advert-box>buy<p>e</p><h2 class='related-posts'>more<div class='share'>tweet</div><section id=comments><p>first!</p></section></article><aside>s</aside>"),
             (8, "http://x/", "<main><form>f</form><div role='alert'>!</div><p>in main</p><script>x='</p>'</script></main><p>out</p>")]
     df = spark.createDataFrame([(*r, "extra", 1) for r in rows], "page_id long, url string, html string, text string, lines int")
     got = rows_of(pages.extract(df))
     texts = {(1, "first story its end"), (2, "second more"), (3, "Contact far away"), (4, "alone"), (5, "twin"), (6, "twin"),
-             (7, ""), (None, ""), (8, "Té ab c d"), (8, "in main")}
+             (7, ""), (None, ""), (8, "Té ab c d e"), (8, "in main")}
     assert {(g[0], g[2]) for g in got} == texts and len(got) == 10 and all(g[3] == len(g[2]) for g in got)
 
 
