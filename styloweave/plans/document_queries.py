@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from styloweave.functions import fixed_values as fv
 from styloweave.operators import counters as ct
 from styloweave.operators import extended as ex
 from styloweave.operators import lexicon as lx
-from styloweave.operators import syntax
+from styloweave.operators import style, syntax
 from styloweave.operators import tokens as tk
 from styloweave.plans.oracle_sql import annotated_cte, in_list, q
-from styloweave.plans.registry import query, table
+from styloweave.plans.registry import ORACLES, query, table
 from styloweave.plans.style_queries import (
     ANN, STATIVE, SUASIVE, TOK, VOCABS, annotated_tokens, lexical_tokens, opened_documents,
     tokens_cte, _OPENED, _TRANSITIONS)
@@ -296,6 +298,43 @@ def sentences(spark, folder):
     return _present(long_vectors(constructed_tokens(spark, folder), config=only("sentences")), "sentences")
 
 
+# ------------------------------------------------------------------------- all features
+def _full_sql() -> str:
+    """The sparse vectors of all features but letters: the checks of the single features, united."""
+    from styloweave.plans.style_queries import _OPENED
+
+    names = [n for n in ORACLES if re.fullmatch(r"e(0[1-9]|1[0-5])_\w+", n)
+             and n not in ("e06_emojis", "e09_letters", "e09_letters_single")]
+    parts = [ORACLES[n].replace(_CONSTRUCTED, "SELECT doc_id, text FROM documents")
+             .replace(_OPENED, "SELECT doc_id, text FROM documents") for n in names]
+    columns = "doc_id, feature, item, n, denom, value"
+    return " UNION ALL ".join(f"SELECT {columns} FROM ({x})" for x in parts)
+
+
+@query("i2_full_vectors", _full_sql())
+def full_vectors(spark, folder):
+    """All features, constructions included: sparse long vectors of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return style.sparse_long(style.vectorize(annotated_tokens(spark, folder), docs=docs,
+                                             config=style.default_config(letters=0)))
+
+
+@query("i3_wide_with_authors", f"""WITH v AS ({_full_sql()}), d AS (SELECT doc_id, lang AS author_id FROM documents)
+SELECT d.doc_id, author_id, """ + ", ".join(
+    'coalesce(max(value) FILTER (feature = {} AND item = {}), 0.0) AS "{}"'.format(
+        q(f), q(i), f"{f}:{i}".replace('"', '""'))
+    for f, i in style.vector_columns(style.default_config(letters=0, emojis=0)) if f != "pos_bigrams")
+    + " FROM d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id, author_id")
+def wide_with_authors(spark, folder):
+    """Wide frame with author and document ids, zeros filled, columns in the order of the vocabularies."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("author_id"))
+    config = style.default_config(letters=0, emojis=0)
+    columns = style.vector_columns(config)
+    chosen = [f"{f}:{i}" for f, i in columns if f != "pos_bigrams"]
+    return style.wide(style.vectorize(annotated_tokens(spark, folder), docs=docs, config=config), columns, chosen,
+                      ["author_id"])
+
+
 @query("f03_sentence_types", f"""WITH {_TREES}, m AS ({_MATCHES}),
 last AS (SELECT doc_id, sentence_id, arg_max(token, token_id) AS t FROM ann GROUP BY doc_id, sentence_id),
 fall AS (SELECT doc_id, CASE WHEN t LIKE '%?' THEN 'interrogative' WHEN t LIKE '%!' THEN 'exclamatory'

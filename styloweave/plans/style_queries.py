@@ -278,12 +278,3 @@ def dense_long(spark, folder):
     config = only("pos_unigrams")
     profiles = style.vectorize(annotated_tokens(spark, folder), config=config)
     return style.dense_long(profiles, style.vector_columns(config))
-
-
-@query("i2_full_vectors")
-def full_vectors(spark, folder):
-    """All features, constructions included: sparse long vectors of every document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    config = style.default_config(letters=0)
-    return style.sparse_long(style.vectorize(annotated_tokens(spark, folder), docs=docs,
-                                             config=config))
