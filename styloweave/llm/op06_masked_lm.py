@@ -3,7 +3,9 @@
 Each word is predicted from the two words on either side. Position-wise embeddings of the four are
 summed and pass through tanh; the prediction is a two-level softmax, first over groups of words and
 then over the words of the group. The vocabulary is the most frequent words of the whole corpus;
-all others share hash buckets, within which every distinct word is as likely as any other.
+all others share hash buckets, within which a word is as likely as its share of the bucket's
+occurrences. Vocabulary and buckets grow with the square root of the distinct words; the counts of
+words outside the vocabulary stay in Spark and reach the documents by a join.
 
 Each partition trains on all its words from the same start; the parameters are averaged by words,
 summed in groups of bounded size. The score of a document is the sum of the conditional log
@@ -17,43 +19,60 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from styloweave.llm.storage import stored
-from styloweave.llm.words import Words, blocks, split
+from styloweave.llm.words import Words, blocks, mix, split
 
 GROUPS, GROUP_SIZE, BUCKETS, WIDTH, CONTEXT = 32, 32, 64, 16, (-2, -1, 1, 2)
 BATCH, RATE = 16_384, 0.2
-LISTED = GROUPS * GROUP_SIZE - BUCKETS
+#: Distinct words that a corpus may have before groups and buckets double; then at every fourfold.
+FEW = 1 << 19
 PAD = GROUPS * GROUP_SIZE
 PIECE = 2_048
+SCORED_SQL = "block long, hash long, places binary, doc_id array<long>, n_words array<long>, log_prob array<double>"
+SCORED = pa.schema([("block", pa.int64()), ("hash", pa.int64()), ("places", pa.binary()), ("doc_id", pa.list_(pa.int64())),
+                    ("n_words", pa.list_(pa.int64())), ("log_prob", pa.list_(pa.float64()))])
+
+
+def buckets_for(distinct: int) -> int:
+    """A power of two that grows with the square root of the distinct words."""
+    n = BUCKETS
+    while distinct > FEW * (n // BUCKETS) ** 2:
+        n *= 2
+    return n
 
 
 class Vocabulary:
     """Ids of words by their hash: listed words by frequency, then hash buckets."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, bucket_counts: np.ndarray, bucket_words: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, bucket_counts: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order.astype(np.int32)
-        listed = np.zeros(LISTED)
+        self.buckets = len(bucket_counts)
+        self.pad = self.buckets * (PAD // BUCKETS)
+        self.listed = self.pad - self.buckets
+        listed = np.zeros(self.listed)
         listed[:len(counts)] = counts
         #: add-one smoothed frequency of each id
         self.frequency = np.concatenate([listed, bucket_counts]) + 1.0
-        self.inside = np.concatenate([np.zeros(LISTED), -np.log(np.maximum(bucket_words, 1))])
+        #: log of the occurrences of each bucket
+        self.log_bucket = np.log(np.maximum(bucket_counts, 1))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = LISTED + (hashes % np.uint64(BUCKETS)).astype(np.int32)
+        bucket = self.listed + (hashes % np.uint64(self.buckets)).astype(np.int32)
         if not len(self.hashes):
             return bucket
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ids[at], bucket)
 
 
-def contexts(ids: np.ndarray, words: Words) -> np.ndarray:
-    """The ids around each word, `PAD` beyond the ends of its row."""
-    out = np.full((len(ids), len(CONTEXT)), PAD, np.int32)
+def contexts(ids: np.ndarray, words: Words, pad: int = PAD) -> np.ndarray:
+    """The ids around each word, `pad` beyond the ends of its row."""
+    out = np.full((len(ids), len(CONTEXT)), pad, np.int32)
     at, n = np.arange(len(ids)), len(ids)
     for k, step in enumerate(CONTEXT):
         place = at + step
@@ -68,11 +87,12 @@ class Network:
 
     def __init__(self, frequency: np.ndarray, seed: int = 6):
         rng = np.random.default_rng(seed)
-        share = frequency.reshape(GROUPS, GROUP_SIZE)
+        share = frequency.reshape(-1, GROUP_SIZE)
+        self.groups = groups = len(share)
         self.p = {
-            "embed": rng.normal(0, 0.1, (len(CONTEXT), PAD + 1, WIDTH)), "bias": np.zeros(WIDTH),
-            "group": rng.normal(0, 0.1, (WIDTH, GROUPS)), "group_bias": np.log(share.sum(1) / share.sum()),
-            "word": rng.normal(0, 0.1, (GROUPS, WIDTH, GROUP_SIZE)),
+            "embed": rng.normal(0, 0.1, (len(CONTEXT), len(frequency) + 1, WIDTH)), "bias": np.zeros(WIDTH),
+            "group": rng.normal(0, 0.1, (WIDTH, groups)), "group_bias": np.log(share.sum(1) / share.sum()),
+            "word": rng.normal(0, 0.1, (groups, WIDTH, GROUP_SIZE)),
             "word_bias": np.log(share / share.sum(1, keepdims=True)),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
@@ -104,14 +124,14 @@ class Network:
     def _by_group(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group = ids // GROUP_SIZE
         order = np.argsort(group, kind="stable")
-        return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
+        return order, np.searchsorted(group[order], np.arange(self.groups + 1))
 
     def log_probabilities(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
         hidden = self._hidden(near)
         groups = self._softmax(hidden @ self.p["group"] + self.p["group_bias"])
         out = np.log(groups[np.arange(len(ids)), ids // GROUP_SIZE] + 1e-30).astype(np.float64)
         order, bounds = self._by_group(ids)
-        for g in range(GROUPS):
+        for g in range(self.groups):
             own = order[bounds[g]:bounds[g + 1]]
             if len(own):
                 inside = self._softmax(hidden[own] @ self.p["word"][g] + self.p["word_bias"][g])
@@ -128,7 +148,7 @@ class Network:
         slope = {"group": hidden.T @ error, "group_bias": error.sum(0),
                  "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
         order, bounds = self._by_group(ids)
-        for g in range(GROUPS):
+        for g in range(self.groups):
             own = order[bounds[g]:bounds[g + 1]]
             if len(own):
                 inside = self._softmax(hidden[own] @ self.p["word"][g] + self.p["word_bias"][g])
@@ -163,22 +183,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["hash", "n"])
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(hash, n) of every distinct word of the corpus, stored."""
+    return stored(texts.mapInArrow(_word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(texts: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     """Counts over the whole corpus; only the listed words and the sums of buckets leave Spark."""
-    counts = stored(texts.mapInArrow(_word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.col("n").desc(), "hash").limit(LISTED).collect()  # the vocabulary, of fixed size
+    counts = word_counts(texts) if counts is None else counts
+    buckets = buckets_for(counts.count())
+    top = counts.orderBy(F.col("n").desc(), "hash").limit(buckets * (PAD // BUCKETS) - buckets).collect()  # the vocabulary
     hashes = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in top], np.float64)
-    # the residue of the hash as an unsigned number: BUCKETS divides 2^64
-    sums = counts.groupBy(F.pmod("hash", F.lit(BUCKETS)).alias("bucket")) \
-        .agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
-    total, words = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    # the residue of the hash as an unsigned number: a power of two divides 2^64
+    sums = counts.groupBy(F.pmod("hash", F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(buckets)
     for r in sums:
-        total[r["bucket"]], words[r["bucket"]] = r["n"], r["words"]
-    listed = (hashes % np.uint64(BUCKETS)).astype(np.int64)
-    total -= np.bincount(listed, n, BUCKETS)
-    words -= np.bincount(listed, minlength=BUCKETS)
-    return Vocabulary(hashes, n, total, words)
+        total[r["bucket"]] = r["n"]
+    total -= np.bincount((hashes % np.uint64(buckets)).astype(np.int64), n, buckets)
+    return Vocabulary(hashes, n, total)
 
 
 def trained(texts: DataFrame, words: Vocabulary, batch: int = BATCH, rate: float = RATE) -> Network:
@@ -197,7 +220,7 @@ def trained(texts: DataFrame, words: Vocabulary, batch: int = BATCH, rate: float
         for block in blocks(frames):
             text = split(block.column(1))
             ids = words.of(text.hashes())
-            held.append((ids, contexts(ids, text)))
+            held.append((ids, contexts(ids, text, words.pad)))
             waiting += len(ids)
             seen += len(ids)
             if waiting >= batch:
@@ -220,7 +243,7 @@ def trained(texts: DataFrame, words: Vocabulary, batch: int = BATCH, rate: float
 
     schema = "piece int, part int, weight double, values array<double>"
     rows = texts.mapInArrow(local, schema).groupBy("piece", "part").applyInPandas(averaged, schema) \
-        .groupBy("piece").applyInPandas(averaged, schema).orderBy("piece").collect()  # the model, of fixed size
+        .groupBy("piece").applyInPandas(averaged, schema).orderBy("piece").collect()  # the model
     network = Network(words.frequency)
     return network.load(np.concatenate([r["values"] for r in rows])) if rows else network
 
@@ -233,21 +256,57 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other columns are not carried.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = vocabulary(texts)
+    counts = word_counts(texts)
+    words = vocabulary(texts, counts)
     network = trained(texts, words, batch, rate)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        """For each block one row of its documents, and one row for each distinct word outside the vocabulary."""
+        for k, block in enumerate(blocks(batches)):
             text = split(block.column(1))
-            ids = words.of(text.hashes())
-            near = contexts(ids, text)
+            hashes = text.hashes()
+            ids = words.of(hashes)
+            near = contexts(ids, text, words.pad)
             each = np.concatenate([np.zeros(0), *(network.log_probabilities(ids[a:a + BATCH], near[a:a + BATCH])
-                                                  for a in range(0, len(ids), BATCH))]) + words.inside[ids]
+                                                  for a in range(0, len(ids), BATCH))])
+            each -= np.concatenate([np.zeros(words.listed), words.log_bucket])[ids]
             total = np.concatenate(([0.0], np.cumsum(each)))
             total = total[text.first[1:]] - total[text.first[:-1]]
-            n = text.counts()
+            name = TaskContext.get().partitionId() << 32 | k
+            head = int(mix(np.array([name], np.uint64)).view(np.int64)[0])  # spreads these rows; no word is looked up
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1))],
-                names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return texts.mapInArrow(score, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+                [pa.array([name]), pa.array([head]), pa.array([None], pa.binary()),
+                 pa.array([block.column(0).to_pylist()], pa.list_(pa.int64())),
+                 pa.array([text.counts().astype(np.int64)], pa.list_(pa.int64())), pa.array([total], pa.list_(pa.float64()))],
+                schema=SCORED)
+            rare = np.flatnonzero(ids >= words.listed)
+            order = rare[np.argsort(hashes[rare], kind="stable")]
+            if len(order):
+                found = hashes[order]
+                start = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+                offsets = (4 * np.append(start, len(found))).astype(np.int32)
+                places = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(
+                    text.row[order].astype(np.int32))])
+                for a in range(0, len(start), 1 << 14):
+                    part = places.slice(a, 1 << 14)
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, name)), pa.array(found[start[a:a + n]].view(np.int64)), part,
+                         *(pa.nulls(n, f.type) for f in list(SCORED)[3:])], schema=SCORED)
+
+    def finish(rows: pa.Table) -> pa.Table:
+        """The documents of a block, with the counts of their words outside the vocabulary added."""
+        heads = rows.filter(rows["places"].is_null())
+        total = heads["log_prob"].combine_chunks().flatten().to_numpy().copy()
+        n = heads["n_words"].combine_chunks().flatten()
+        rare = rows.filter(rows["places"].is_valid())
+        if len(rare):
+            size = pa.compute.binary_length(rare["places"]).to_numpy() // 4
+            places = np.frombuffer(b"".join(rare["places"].to_pylist()), np.int32)
+            total += np.bincount(places, np.repeat(np.log(rare["n"].to_numpy()), size), len(total))
+        return pa.table({"doc_id": heads["doc_id"].combine_chunks().flatten(), "n_words": n, "log_prob": total,
+                         "mean_log_prob": total / np.maximum(n.to_numpy(), 1)})
+
+    # a word outside the vocabulary is one row for each block, and no word there is frequent: no key is hot
+    return texts.mapInArrow(score, SCORED_SQL).join(counts, "hash", "left").select("block", "places", "doc_id", "n_words", "log_prob", "n") \
+        .groupBy("block").applyInArrow(finish, "doc_id long, n_words long, log_prob double, mean_log_prob double")

@@ -260,6 +260,34 @@ def test_masked_model(spark):
     assert quick.mean() > start
 
 
+def test_words_outside_the_vocabulary_count_by_their_share(spark):
+    common = " ".join(f"c{i % 960}" for i in range(960 * 60))
+    rare = {f"r{i}": 1 + 7 * (i % 5) for i in range(300)}
+    rows = [(0, common), (1, " ".join(w for w, n in rare.items() for _ in range(n - 1)))]
+    rows += [(10 + i, w) for i, w in enumerate(rare)] + [(10, "r0"), (None, "r1 r1"), (9, None)]
+    docs = fx.documents(spark, rows).repartition(3)
+    got = masked.pseudo_likelihood(docs, batch=256).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r["log_prob"] for r in got}
+    buckets = {}
+    hashes = dict(zip(rare, split(pa.array([" ".join(rare)])).hashes()))
+    for i, w in enumerate(rare):
+        buckets.setdefault(int(hashes[w] % np.uint64(masked.BUCKETS)), []).append((by[10 + i], rare[w] + (w in ("r0", "r1")) * (1 if w == "r0" else 2)))
+    pairs = [(a, b) for found in buckets.values() for a in found for b in found if a[1] > b[1]]
+    assert len(pairs) > 100
+    for (p, n), (q, m) in pairs:  # one context, one bucket: only the counts differ
+        assert abs((p - q) - np.log(n / m)) < 1e-3
+
+
+def test_vocabulary_grows_with_the_distinct_words():
+    sizes = [masked.buckets_for(n) for n in (0, masked.FEW, masked.FEW + 1, 4 * masked.FEW + 1, 400 * masked.FEW)]
+    assert sizes == [64, 64, 128, 256, 2048]
+    words = masked.Vocabulary(np.arange(100, dtype=np.uint64), np.ones(100), np.ones(256))
+    network = masked.Network(words.frequency)
+    ids, around = np.array([0, words.listed, words.pad - 1]), np.full((3, 4), words.pad)
+    assert np.isfinite(network.log_probabilities(ids, around)).all() and len(network.p["group_bias"]) == 128
+
+
 def test_training_follows_the_gradient():
     network = masked.Network(np.ones(masked.PAD))
     r = np.random.default_rng(0)
