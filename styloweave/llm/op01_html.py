@@ -3,10 +3,12 @@
 Pages of a host are ordered by URL path; each is paired with the neighbour that shares the longer
 path prefix. Their text lines (blocks) are aligned by longest common subsequence, and lines that
 both have are template and deleted. What a page marks itself decides first: blocks of navigation,
-forms, comments and the like never are text, and blocks of an `article` (or else of `main`) always
-are, as copies of an article and shared passages are not template. Differencing decides for the
-rest, so for all of a page that marks no main part. A page whose lines all recur in its neighbour
-is a copy of it; then nothing is deleted.
+forms, comments and the like never are text, and blocks of an `article` (or, on a page without one,
+of `main`) always are, as copies of an article and shared passages are not template. Differencing
+decides for the rest: all of a page that marks no main part, and on a page with an article the rest
+of `main`, or without `main` what lies around the article, if the neighbour shares some line and so
+its template. A page whose lines all recur in its neighbour, or whose articles do, is a copy of it;
+then nothing is deleted.
 """
 
 from __future__ import annotations
@@ -170,17 +172,29 @@ def _align(a: list, b: list, base: int, kept: np.ndarray) -> None:
             j -= 1
 
 
+def outline(blocks: list[tuple[str, str]]) -> list[int]:
+    """Hashes of the lines outside articles, and last one hash of all article text, if there is any."""
+    lines = [line_hash(t) for t, z in blocks if z != "article"]
+    own = "\n".join(t for t, z in blocks if z == "article")
+    return [*lines, line_hash("article\n" + own)] if lines and own else lines
+
+
 def main_text(blocks: list[tuple[str, str]], neighbour: list[int] | None) -> str:
-    """Join the blocks that are text, given the line hashes of the neighbouring page."""
+    """Join the blocks that are text, given the outline of the neighbouring page."""
     zones = {z for _, z in blocks}
-    lines = [i for i, (_, z) in enumerate(blocks) if z in ("aside", "open")]
+    lines = [i for i, (_, z) in enumerate(blocks) if z != "article"]
     shared: set[int] = set()
     if neighbour is not None and lines:
-        hit = common_lines([line_hash(blocks[i][0]) for i in lines], list(neighbour))
+        own = outline(blocks)
+        hit = common_lines(own[:len(lines)], list(neighbour))
         shared = {i for i, h in zip(lines, hit) if h}
-    for zone in ("article", "main"):
-        if zone in zones:
-            return " ".join(t for t, z in blocks if z == zone)
+        if "article" in zones and own[-1] in neighbour:  # a copy of its neighbour
+            shared = set()
+    if "article" in zones:
+        rest = "main" if "main" in zones else "open" if shared else ""
+        return " ".join(t for i, (t, z) in enumerate(blocks) if z == "article" or z == rest and i not in shared)
+    if "main" in zones:
+        return " ".join(t for t, z in blocks if z == "main")
     own = [i for i, (_, z) in enumerate(blocks) if z == "open"]
     if shared.issuperset(own):  # a copy of its neighbour
         shared = set()
@@ -200,7 +214,7 @@ def _outlines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                  for u in frame["url"]]
         yield pd.DataFrame({
             "page_key": frame["page_key"], "host": [h.lower() for h, _ in parts], "path": [p for _, p in parts],
-            "lines": [[line_hash(t) for t, z in page_blocks(x) if z in ("aside", "open")] for x in frame["html"]]})
+            "lines": [outline(page_blocks(x)) for x in frame["html"]]})
 
 
 def _nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -120,6 +120,20 @@ def test_differencing_decides_where_a_page_marks_no_main_part(spark):
     assert {(g[0], g[2]) for g in got} == texts and len(got) == 10 and all(g[3] == len(g[2]) for g in got)
 
 
+def test_differencing_decides_around_articles(spark):
+    inside = "<nav>menu</nav><main><h1>{0}</h1><p>lead of {0}</p><p>Read more</p><article>body of {0}</article></main><footer>f</footer>"
+    around = "<div>Site</div><h1>{0}</h1><article>text of {0}</article><div>Imprint</div>"
+    rows = [(1, "http://m/1", inside.format("one")), (2, "http://m/2", inside.format("two")),
+            (3, "http://o/1", around.format("three")), (4, "http://o/2", around.format("four")),
+            (5, "http://c/1", inside.format("twin")), (6, "http://c/2", inside.format("twin")),
+            (7, "http://cards/1", "<main><div>All of the story</div><article>teaser</article></main>"),
+            (8, "http://u/1", "<div>Other</div><article>lone</article>"), (9, "http://u/2", "<div>Unlike</div><article>pair</article>")]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    twin = "twin lead of twin Read more body of twin"
+    assert got == {1: "one lead of one body of one", 2: "two lead of two body of two", 3: "three text of three", 4: "four text of four",
+                   5: twin, 6: twin, 7: "All of the story teaser", 8: "lone", 9: "pair"}
+
+
 def test_pages_of_the_table(spark):
     folder = "/root/testdata/sf0.001"
     got = {r["page_id"]: r["text"] for r in pages.extract(spark.read.parquet(f"{folder}/pages.parquet")).collect()}
