@@ -27,6 +27,7 @@ from styloweave.llm.storage import stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?/>"
     r"|<(script|style|noscript|template|iframe|svg|math|object|textarea|title|select)\b"
     r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
@@ -48,32 +49,45 @@ ASIDE_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar brea
                         "pagination pager".split())
 ASIDE_STEMS = ("advert", "breadcrumb", "comment", "consent", "cookie", "disqus", "footer", "masthead", "navbar",
                "newsletter", "pagina", "popup", "promo", "recommend", "sidebar", "sponsor", "subscri")
+#: Words that inside an article as often name a part of its text.
+DOUBTFUL_WORDS = frozenset("alert consent discussion menu notice notices promo promotion reply responses search "
+                           "subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset(("header", "banner"))
 COMMENT_WORDS = frozenset(("comment", "comments", "reply", "replies"))
 
 
-def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
+def _mark(tag: str, attributes: str, in_main: bool) -> str:
+    """What an element marks itself as: aside, or inside a main part doubt, or nothing.
+
+    Inside a main part ids (made from headings) and stems raise doubt only, and the neighbouring page decides.
+    """
     if tag in ASIDE_TAGS or tag == "header" and not in_main:
-        return True
+        return "aside"
     if not attributes.strip():
-        return False
+        return ""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" \
             or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+        return "aside"
     if set(found.get("role", "").lower().split()) & ASIDE_ROLES:
-        return True
+        return "aside"
     if tag in ("html", "body", "main"):
-        return False
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        return ""
+    classes, ids = (set(re.split(r"[^a-z0-9]+", found.get(k, "").lower())) for k in ("class", "id"))
+    words = classes | ids
     if tag == "article":
-        return bool(words & COMMENT_WORDS)
-    return bool(words & ASIDE_WORDS) or any(w.startswith(ASIDE_STEMS) and w != "commentary" for w in words) \
-        or not in_main and bool(words & HEADER_WORDS)
+        return "aside" if words & COMMENT_WORDS else ""
+    named = words & ASIDE_WORDS or any(w.startswith(ASIDE_STEMS) and w != "commentary" for w in words)
+    if not in_main:
+        return "aside" if named or words & HEADER_WORDS else ""
+    if classes & (ASIDE_WORDS - DOUBTFUL_WORDS) or tag not in HEADINGS and found.get("id", "").lower() in COMMENT_WORDS:
+        return "aside"
+    return "doubt" if named else ""
 
 
 def page_blocks(text: str | None) -> list[tuple[str, str]]:
-    """(text, zone) of each text block; zone is aside, article, main or open."""
+    """(text, zone) of each text block; zone is aside, doubt, article, main or open."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = [("", "open")]
     parts: list[str] = []
@@ -112,9 +126,10 @@ def page_blocks(text: str | None) -> list[tuple[str, str]]:
                     break
             continue
         if zone != "aside":
-            if _is_aside(tag, m[4], zone in ("article", "main")):
+            mark = _mark(tag, m[4], zone in ("article", "main", "doubt"))
+            if mark:
                 flush()
-                zone = "aside"
+                zone = mark
             elif tag == "article":
                 zone = "article"
             elif (tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", m[4])) and zone == "open":
@@ -192,9 +207,9 @@ def main_text(blocks: list[tuple[str, str]], neighbour: list[int] | None) -> str
             shared = set()
     if "article" in zones:
         rest = "main" if "main" in zones else "open" if shared else ""
-        return " ".join(t for i, (t, z) in enumerate(blocks) if z == "article" or z == rest and i not in shared)
+        return " ".join(t for i, (t, z) in enumerate(blocks) if z == "article" or z in (rest, "doubt") and i not in shared)
     if "main" in zones:
-        return " ".join(t for t, z in blocks if z == "main")
+        return " ".join(t for i, (t, z) in enumerate(blocks) if z == "main" or z == "doubt" and i not in shared)
     own = [i for i, (_, z) in enumerate(blocks) if z == "open"]
     if shared.issuperset(own):  # a copy of its neighbour
         shared = set()

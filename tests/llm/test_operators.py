@@ -134,6 +134,20 @@ def test_differencing_decides_around_articles(spark):
                    5: twin, 6: twin, 7: "All of the story teaser", 8: "lone", 9: "pair"}
 
 
+def test_article_text_is_not_cut():
+    def text(page, other=None):
+        return pages.main_text(pages.page_blocks(page), other and pages.outline(pages.page_blocks(other)))
+
+    for icon in ('<svg class="icon"/>', "<math />", '<svg title="a>b"/>', "<svg><svg/><path/></svg>", "<svg>x</svg>"):
+        assert text(f"<article><h1>T</h1>{icon}<p>All of the article.</p></article>") == "T All of the article."
+    for mark in ('id="discussion"', 'id="recommendations"', 'id="consent-and-ethics"', 'class="discussion"', 'class="recommended"'):
+        assert text(f"<article><p>a</p><section {mark}><p>b</p></section></article>") == "a b"
+    assert text('<article><h2 id="search">Search</h2><h2 id="comments">Comments</h2><p>a</p></article>') == "Search Comments a"
+    page = '<nav>n</nav><article><p>{}</p><div id="promo-box">Get the app</div></article>'
+    assert text(page.format("a"), page.format("b")) == "a" and text(page.format("a"), page.format("a")) == "a Get the app"
+    assert text('<article><p>a</p><div class="sidebar">s</div><div role="search">s</div></article>') == "a"
+
+
 def test_pages_of_the_table(spark):
     folder = "/root/testdata/sf0.001"
     got = {r["page_id"]: r["text"] for r in pages.extract(spark.read.parquet(f"{folder}/pages.parquet")).collect()}
