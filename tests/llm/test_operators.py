@@ -240,6 +240,18 @@ def test_near_classes(spark):
     assert kept == sorted([*set(classes.values()), None, None], key=repr)
 
 
+def test_near_classes_of_texts_that_repeat_passages(spark):
+    rows = []
+    for k in range(24):  # similar sets; a quarter of the shared shingles 200 times in one text
+        words = fx.prose(500 + k, 10).split()[:1] + [f"p{k}x{i}" for i in range(300)]
+        rows.append((2 * k, " ".join(words + [f"a{k}x{i}" for i in range(20)])))
+        rows.append((2 * k + 1, " ".join(words[:75] * 200 + words + [f"b{k}x{i}" for i in range(20)])))
+    classes = fx.jaccard_classes(rows)
+    assert all(classes[2 * k + 1] == 2 * k for k in range(24))
+    got = {r["doc_id"]: r["class_id"] for r in near.near_classes(fx.documents(spark, rows)).collect()}
+    assert got == classes
+
+
 def test_difference_cover():
     assert substrings.is_cover(substrings.COVER, substrings.PERIOD) and not substrings.is_cover((0, 1), 7)
 
