@@ -354,3 +354,13 @@ def test_late_tokens_and_long_pauses_are_reconciled(spark, tmp_path):
     got = {r["doc_id"]: r["text"] for r in rs.reconciled(finished, table).collect()}
     assert set(got) == set(CORPUS) and got == {r["doc_id"]: r["text"] for r in rb.rebuild_documents(table).collect()}
     assert got["a@chunk_2"].endswith("late")
+
+
+def test_lines_are_replicated_at_every_size(spark, tmp_path):
+    from styloweave.plans import source_queries
+
+    text = "\n".join(f"line {i}" for i in range(70_000))
+    spark.createDataFrame([(k, text.replace("line", f"line {k}")) for k in range(3)], "doc_id long, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = source_queries.replicated_lines(spark, str(tmp_path))
+    assert got.count() == 210_000 and got.where("NOT in_share").count() == 0
