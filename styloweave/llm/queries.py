@@ -17,8 +17,10 @@ from styloweave.llm import op07_chat as chat
 from styloweave.llm import op08_classifier as classifier
 from styloweave.llm import op09_packing as packing
 from styloweave.llm import op10_decontamination as decontamination
-from styloweave.llm.oracles import ORACLES  # noqa: F401
+from styloweave.llm import op12_merkle as merkle
+from styloweave.llm import oracles, oracles_b
 
+ORACLES = oracles.ORACLES | oracles_b.ORACLES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = "word_bpe_49k.json"
 
@@ -86,3 +88,8 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(decontamination.matches(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.report(merkle.manifest(table(spark, folder, "documents"), tampered=merkle.tampering()))
