@@ -18,6 +18,7 @@ from styloweave.llm import op08_classifier as classifier
 from styloweave.llm import op09_packing as packing
 from styloweave.llm import op10_decontamination as decontamination
 from styloweave.llm import op12_merkle as merkle
+from styloweave.llm import op13_config_packing as config_packing
 from styloweave.llm import oracles, oracles_b
 
 ORACLES = oracles.ORACLES | oracles_b.ORACLES
@@ -93,3 +94,8 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.report(merkle.manifest(table(spark, folder, "documents"), tampered=merkle.tampering()))
+
+
+@query
+def op13_config_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return config_packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
