@@ -55,4 +55,47 @@ SELECT o.doc_id, o.leaf, subroots.h AS subroot, u.h AS root, sha256(coalesce(p,
 FROM o JOIN subroots ON subroots.k = o.k JOIN (SELECT h FROM u WHERE n = 1) u ON true JOIN last ON last.r = o.r
 LEFT JOIN proof ON proof.r = o.r"""
 
-ORACLES = {"op12_merkle_manifest": MERKLE}
+_KEEP_OR_NAME = {c: f"CASE WHEN f IN (0, 3) THEN CASE WHEN first = '{c}' THEN 0 ELSE 2 END + t ELSE 1000000 END" for c in "ua"}
+# costs to go (b0 to b3) of the four states: nothing yet, after s, after u, after a
+REPAIR = rf"""WITH RECURSIVE {_CRC_TABLE},
+n AS (SELECT coalesce('1' || conv_id, '0') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS d FROM conversations, crc),
+r AS (SELECT k, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+  CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM n, LATERAL (SELECT unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) c),
+p AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS c, left(role, 1) AS first FROM
+  (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i FROM r)),
+o AS (SELECT *, CASE f WHEN 3 THEN 1 ELSE 0 END AS t, lag(first) OVER (PARTITION BY k ORDER BY i) AS prev FROM (SELECT *,
+  CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN c > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS f FROM p)),
+s AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank,
+  count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+  count(*) FILTER (prev IS NOT NULL AND prev || first NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY k),
+b(k, i, b0, b1, b2, b3) AS (SELECT k, n + 1, 0, 4, 2, 0 FROM s UNION ALL
+  SELECT k, i, least(c0, 2 + c2, 4 + c3), least(c1, 2 + c2, 4 + c3), least(c2, 2 + c3), least(c3, 2 + c2) FROM (
+    SELECT b.k, o.i, least(3 + b0, {_KEEP_OR_NAME['u']} + b2, CASE WHEN f IN (0, 3) AND first = 's' THEN t + b1 ELSE 1000000 END) AS c0,
+      least(3 + b1, {_KEEP_OR_NAME['u']} + b2) AS c1, least(3 + b2, {_KEEP_OR_NAME['a']} + b3) AS c2,
+      least(3 + b3, {_KEEP_OR_NAME['u']} + b2) AS c3 FROM b JOIN o ON o.k = b.k AND o.i = b.i - 1)),
+v AS (SELECT k, i, unnest([0, 1, 2, 3]) AS s, unnest([b0, b1, b2, b3]) AS cost, unnest([2, 2, 3, 2]) AS nxt,
+  unnest([b2, b2, b3, b2]) AS after_nxt, b1 FROM b),
+q AS (SELECT v.k, v.i, v.s, v.nxt, o.i IS NULL AS over, role, text, first, coalesce(t, 0) AS t, v.cost,
+  CASE WHEN o.i IS NULL THEN CASE WHEN v.s IN (0, 3) THEN 'E' ELSE 'I' END WHEN 3 + w.cost = v.cost THEN 'D'
+    WHEN 2 + v.after_nxt = v.cost THEN 'I'
+    WHEN f IN (0, 3) AND v.s = 0 AND first = 's' AND t + w.b1 = v.cost THEN 'S'
+    WHEN f IN (0, 3) AND first = CASE v.nxt WHEN 2 THEN 'u' ELSE 'a' END AND t + w.after_nxt = v.cost THEN 'K' ELSE 'R' END AS e
+  FROM v LEFT JOIN o ON o.k = v.k AND o.i = v.i LEFT JOIN v w ON w.k = v.k AND w.i = v.i + 1 AND w.s = v.s),
+g(k, i, s, audit, body, made) AS (SELECT k, 1, 0, '', '', 0 FROM s UNION ALL
+  SELECT g.k, CASE e WHEN 'I' THEN g.i ELSE g.i + 1 END, CASE e WHEN 'D' THEN g.s WHEN 'S' THEN 1 ELSE nxt END,
+    audit || CASE e WHEN 'S' THEN 'K' ELSE e END, CASE WHEN e = 'D' THEN body ELSE body || CASE WHEN body = '' THEN '' ELSE chr(10) END
+      || CASE WHEN e IN ('S', 'K') THEN role WHEN nxt = 2 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END END, made + 1
+  FROM g JOIN q ON q.k = g.k AND q.i = g.i AND q.s = g.s WHERE e <> 'E'),
+e AS (SELECT k, arg_max(audit, made) AS audit, arg_max(body, made) AS body FROM g GROUP BY k)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b0, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('1' || conv_id, '0') AS k FROM conversations) ids LEFT JOIN s ON s.k = ids.k
+LEFT JOIN e ON e.k = ids.k LEFT JOIN b ON b.k = ids.k AND b.i = 1"""
+
+ORACLES = {"op11_structure_repair": REPAIR, "op12_merkle_manifest": MERKLE}

@@ -17,6 +17,7 @@ from styloweave.llm import op07_chat as chat
 from styloweave.llm import op08_classifier as classifier
 from styloweave.llm import op09_packing as packing
 from styloweave.llm import op10_decontamination as decontamination
+from styloweave.llm import op11_structure_repair as structure
 from styloweave.llm import op12_merkle as merkle
 from styloweave.llm import op13_config_packing as config_packing
 from styloweave.llm import oracles, oracles_b
@@ -91,6 +92,11 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+@query
+def op11_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.report(table(spark, folder, "conversations"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.report(merkle.manifest(table(spark, folder, "documents"), tampered=merkle.tampering()))
