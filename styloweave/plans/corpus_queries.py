@@ -235,10 +235,10 @@ def binary_labels(spark, folder):
     return lb.with_author(corpus(spark, folder).select("doc_id"))
 
 
-@query("c2_stream", f"""WITH {tokens_cte("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations")},
+@query("c2_stream_sessions", f"""WITH {tokens_cte("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations")},
 {_REBUILD} SELECT doc_id, text FROM built""")
-def stream(spark, folder):
-    """Token rows of `conversations` as a stream; documents come out as they finish."""
+def stream_sessions(spark, folder):
+    """Token rows of `conversations` as a stream; documents end at a pause."""
     work = fresh_folder(spark)
     turns = table(spark, folder, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")

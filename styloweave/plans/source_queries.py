@@ -75,7 +75,7 @@ def text_lines(spark, folder):
     return rd.read_text_lines(spark, f"{work}/x").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
 
 
-@query("a5_replicated", f"{_LINES} SELECT md5(line) AS digest, true AS in_share FROM s, t WHERE total <= 200000")
+@query("a5_replicated", f"{_LINES} SELECT md5(line) AS digest, true AS in_share FROM s")
 def replicated_lines(spark, folder):
     """Three documents a line and seven more: every line as often as its share, or once more."""
     work = fresh_folder(spark)
@@ -143,9 +143,31 @@ def stored_vectors(spark, folder):
     return stored.select("doc_id", "n", F.lit(built).alias("built"))
 
 
-@query("a14_inventory", "SELECT 1 AS keys, CAST(count(*) > 0 AS INTEGER) AS some FROM documents")
+def _by_lang(spark, folder, work):
+    """Vectors of each language, stored under keys of their own."""
+    docs = table(spark, folder, "documents")
+    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(100).collect()]
+    for lang in langs:
+        part = docs.where(F.col("lang").eqNullSafe(F.lit(lang)))
+        mt.get_or_compute(spark, work, "all", {"lang": lang}, lambda part=part: tk.tokenize(
+            part.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n")).coalesce(1))
+    return langs
+
+
+@query("a14_inventory", f"""WITH {tokens_cte("SELECT doc_id, text FROM documents")}
+SELECT substr(md5('{{"lang": ' || coalesce('"' || lang || '"', 'null') || '}}'), 1, 12) AS key, 1 AS files,
+  CAST(count(DISTINCT doc_id) AS BIGINT) AS n_rows, true AS sized FROM documents
+WHERE doc_id IN (SELECT doc_id FROM tok) GROUP BY lang""")
 def inventory(spark, folder):
+    """Files, rows and bytes of every key that is stored."""
     work = fresh_folder(spark)
-    _store(spark, folder, work)
-    return mt.inventory(spark, work).agg(F.count("*").cast("int").alias("keys"),
-                                         (F.min("bytes") > 0).cast("int").alias("some"))
+    langs = _by_lang(spark, folder, work)
+    held = mt.inventory(spark, work)
+    rows = None
+    for lang in langs:
+        key = mt.config_hash({"lang": lang})
+        own = spark.read.parquet(mt.vectors_path(work, "all", key)).agg(F.count("*").alias("n_rows")) \
+            .select(F.lit(key).alias("key"), "n_rows")
+        rows = own if rows is None else rows.unionByName(own)
+    return held.join(rows, "key").where("n_rows > 0").select("key", F.col("files").cast("int").alias("files"), "n_rows",
+                                                             (F.col("bytes") > 0).alias("sized"))

@@ -108,9 +108,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_tokens(spark: SparkSession, path: str, time_column: str = "ingested",
-                  files_per_trigger: int = 100) -> DataFrame:
-    """Token rows as a stream of parquet files with an ingest time."""
-    return (spark.readStream.schema(f"{TOKENS}, {time_column} timestamp")
+                  files_per_trigger: int = 100, more: str = "") -> DataFrame:
+    """Token rows as a stream of parquet files with an ingest time; `more` names further columns."""
+    return (spark.readStream.schema(f"{TOKENS}, {time_column} timestamp" + (f", {more}" if more else ""))
             .option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
@@ -120,7 +120,7 @@ def read_vocabs(spark: SparkSession, folder: str) -> DataFrame:
     Lines are stripped and blanks dropped; a repeated item keeps its first place. Files are
     word lists: each is one row when read.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     feature = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
     lines = files.select(feature.alias("feature"),
                          F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))

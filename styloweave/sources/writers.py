@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,15 @@ def flattened(df: DataFrame) -> DataFrame:
     """Arrays and maps as JSON text, for sinks such as CSV."""
     return df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct"))
                        else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def write_vocabs(spark: SparkSession, vocabs: dict[str, list[str]], folder: str) -> None:
+    """One word list `<feature>.txt` per vocabulary, in any store that Spark can write to."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for feature, words in vocabs.items():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{feature}.txt")
+        out = path.getFileSystem(conf).create(path, True)
+        try:
+            out.write(bytearray("".join(f"{w}\n" for w in words).encode()))
+        finally:
+            out.close()
