@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from styloweave.operators import newton
 from styloweave.operators.style import dense_array
 
 
@@ -28,16 +26,10 @@ def array_vectors(df: DataFrame, column: str, keep: list[str] = ()) -> DataFrame
 
 
 # ------------------------------------------------------------------------------- scaling
-def scale_factors(train: DataFrame, column: str = "features") -> list[float]:
-    """One over the population deviation of each position; 1 for constant positions.
-
-    One tree aggregation; the result has one number per vector position.
-    """
-    row = train.select(Summarizer.metrics("std", "count").summary(F.col(column)).alias("s")) \
-        .select("s.std", "s.count").first()
-    n = row["count"]
-    to_population = math.sqrt((n - 1) / n) if n > 1 else 0.0
-    return [1.0 / (s * to_population) if s * to_population > 0 else 1.0 for s in row["std"]]
+def scale_factors(train: DataFrame) -> list[float]:
+    """One over the population deviation of each position; 1 for constant positions."""
+    rows = newton.packed(train, F.lit(0.0), F.array(F.lit(newton.TRAIN)))
+    return newton.factors(rows, 1, newton.width_of(train))[0][0].tolist()
 
 
 def scale(df: DataFrame, factors: list[float], column: str = "features") -> DataFrame:
@@ -56,52 +48,71 @@ def scale_long(vectors: DataFrame, keys: list[str], value: str = "value") -> Dat
 
 
 # ------------------------------------------------------------------------------- models
+def dot(vector: Column, weights: list[float], intercept: float) -> Column:
+    """Intercept and weighted sum of a vector column, over its entries only."""
+    v, w = F.unwrap_udt(vector), F.array(*[F.lit(float(x)) for x in weights])
+    indices = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    return F.aggregate(F.zip_with(indices, v["values"], lambda i, x: x * F.get(w, i)), F.lit(float(intercept)),
+                       lambda t, x: t + x)
+
+
 @dataclass
 class AuthorshipModel:
-    """A fitted model with its classes in alphabetical order; the second one is positive."""
+    """A fitted model with its classes in alphabetical order; the second one is positive.
+
+    `slope` is the largest slope of the penalised loss at `weights`, of scaled columns.
+    """
 
     classes: list[str]
     factors: list[float]
-    fitted: LogisticRegressionModel
+    weights: list[float]
+    intercept: float
+    slope: float
+    iterations: int
+
+    def margin(self, column: str = "features") -> Column:
+        """Side and distance of a vector as it was before scaling."""
+        return dot(F.col(column), [f * w for f, w in zip(self.factors, self.weights)], self.intercept)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds `predicted`."""
         negative, positive = self.classes
-        out = self.fitted.transform(scale(df, self.factors))
-        return (out.withColumn("predicted", F.when(F.col("prediction") == 1.0, positive)
-                               .otherwise(negative))
-                .drop("rawPrediction", "probability", "prediction", "_y", "features"))
+        side = F.when(self.margin() > 0, positive).otherwise(negative)
+        return df.withColumn("predicted", side).drop("features")
 
     def coefficients(self, spark, columns: list[tuple[str, str]]) -> DataFrame:
         """`feature, <positive>, <negative>, ord` by magnitude: opposite signs per class."""
         negative, positive = self.classes
-        rows = [(f"{f}:{i}", float(c), -float(c), n)
-                for n, ((f, i), c) in enumerate(zip(columns, self.fitted.coefficients))]
+        rows = [(f"{f}:{i}", float(c), -float(c), n) for n, ((f, i), c) in enumerate(zip(columns, self.weights))]
         schema = f"feature string, `{positive}` double, `{negative}` double, ord int"
         return spark.createDataFrame(rows, schema).orderBy(F.abs(positive).desc(), "ord")
 
 
-def train_model(train: DataFrame, label: str = "author_id", c: float = 1.0,
-                max_iter: int = 1000, tol: float = 1e-6) -> AuthorshipModel:
-    """L2 logistic regression with inverse strength `c` on scaled vectors.
+def as_model(classes: list[str], fit: newton.Fit) -> AuthorshipModel:
+    return AuthorshipModel(classes, fit.factors.tolist(), fit.weights.tolist(), fit.intercept, fit.slope, fit.iterations)
 
-    The penalty `1 / (c n)` equals a penalty of one half of the squared norm against `c`
-    times the summed loss.
-    """
-    sizes = {r[0]: r[1] for r in train.groupBy(label).count().limit(3).collect()}
-    if None in sizes:
+
+def two_classes(rows: DataFrame, label: str) -> list[str]:
+    """The two labels in alphabetical order; anything else is an error."""
+    found = [r[0] for r in rows.select(F.col(label).cast("string")).distinct().limit(3).collect()]
+    if None in found:
         raise ValueError(f"column {label} has nulls; drop or label those rows")
-    classes = sorted(str(x) for x in sizes)
-    if len(classes) != 2:
-        raise ValueError(f"two classes are needed, found {classes}")
-    n = sum(sizes.values())
-    factors = scale_factors(train)
-    y = (F.col(label).cast("string") == classes[1]).cast("double")
-    learner = LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / (c * n),
-                                 elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-                                 tol=tol)
-    fitted = learner.fit(scale(train, factors).withColumn("_y", y))
-    return AuthorshipModel(classes, factors, fitted)
+    if len(found) != 2:
+        raise ValueError(f"two classes are needed, found {sorted(found)}")
+    return sorted(found)
+
+
+def train_model(train: DataFrame, label: str = "author_id", c: float = 1.0, max_iter: int = 60,
+                tol: float = 1e-7) -> AuthorshipModel:
+    """L2 logistic regression with inverse strength `c` on scaled vectors, by Newton steps.
+
+    Half the squared norm against `c` times the summed loss. Each step reads `train`, so store
+    what is costly to make.
+    """
+    classes = two_classes(train, label)
+    rows = newton.packed(train, F.col(label).cast("string") == classes[1], F.array(F.lit(newton.TRAIN)))
+    fit, = newton.fit_many(rows, 1, newton.width_of(train), c, max_iter, tol)
+    return as_model(classes, fit)
 
 
 # ------------------------------------------------------------------------------- reports
@@ -113,11 +124,14 @@ def classification_report(df: DataFrame, actual: str = "author_id",
                           predicted: str = "predicted") -> DataFrame:
     """`class, precision, recall, f1, support` per class, then accuracy and averages.
 
-    All rows follow from the confusion counts, one row per pair of classes. Undefined
-    ratios are zero.
+    All rows follow from the confusion counts, one row per pair of classes.
     """
-    confusion = df.groupBy(F.col(actual).cast("string").alias("y"),
-                           F.col(predicted).cast("string").alias("p")).agg(F.count("*").alias("n"))
+    return report_of(df.groupBy(F.col(actual).cast("string").alias("y"),
+                                F.col(predicted).cast("string").alias("p")).agg(F.count("*").alias("n")))
+
+
+def report_of(confusion: DataFrame) -> DataFrame:
+    """The report of confusion counts `y, p, n`. Undefined ratios are zero."""
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
     sides = confusion.select(F.explode(F.array(
         F.struct(F.col("y").alias("class"), hit.alias("tp"), F.col("n").alias("support"),

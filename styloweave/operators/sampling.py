@@ -50,21 +50,21 @@ def sizes_of(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy("label").agg(F.sum("n").alias("size"))
 
 
-def held_out_quotas(sizes: DataFrame, fraction: float, size: str = "size",
-                    quota: str = "quota") -> DataFrame:
+def held_out_quotas(sizes: DataFrame, fraction: float, size: str = "size", quota: str = "quota",
+                    by: list[str] = (), ties: str = "label") -> DataFrame:
     """Held-out rows per class: `ceil(fraction * n)` in total, in proportion to the classes.
 
     Each class gets the whole part of its share; the largest remainders get one more, ties
-    by label. The table has one row per class.
+    by label. The table has one row per class; with `by`, each group of rows is shared out by itself.
     """
-    everyone = W.partitionBy()
+    everyone = W.partitionBy(*by)
     total = F.sum(size).over(everyone)
     held = F.ceil(F.lit(fraction) * total)
     shared = sizes.withColumns({"_n": total, "_held": held})
     parts = shared.withColumns({
         "_base": F.expr(f"(_held * {size}) div _n"), "_rest": F.expr(f"(_held * {size}) % _n")})
     left = F.col("_held") - F.sum("_base").over(everyone)
-    order = F.row_number().over(W.partitionBy().orderBy(F.desc("_rest"), "label"))
+    order = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_rest"), ties))
     return (parts.withColumns({"_left": left, "_rank": order})
             .withColumn(quota, F.col("_base") + (F.col("_rank") <= F.col("_left")).cast("long"))
             .drop("_n", "_held", "_base", "_rest", "_left", "_rank"))
@@ -121,6 +121,27 @@ def stratified_split(df: DataFrame, label: str, fraction: float = 0.2, seed: int
         *df.columns, "split")
 
 
+def paired_splits(df: DataFrame, label: str, common: str, others: list[str], fraction: float = 0.2, seed: int = 42,
+                  id_column: str = "doc_id") -> DataFrame:
+    """`parts`: for each of `others`, set against the rows of class `common`: 0 absent, 1 train, 2 test.
+
+    As `stratified_split` of each pair by itself, but with one histogram and one pass for all pairs.
+    """
+    pairs = df.sparkSession.createDataFrame(
+        [(f"p{k}", f"={name}", side) for k, other in enumerate(others) for side, name in ((0, common), (1, other))],
+        "cut string, label string, side int")
+
+    def quotas(sizes):
+        shares = held_out_quotas(sizes.join(F.broadcast(pairs), "label"), fraction, by=["cut"], ties="side")
+        return shares.select("label", "cut", (F.col("size") - F.col("quota")).alias("quota"))
+
+    cuts = [f"p{k}" for k in range(len(others))]
+    rows, within = _by_hash(df, label, id_column, seed, quotas, cuts)
+    parts = [F.when(F.col(label).isin(common, other), F.when(within[cut], 1).otherwise(2)).otherwise(0)
+             for cut, other in zip(cuts, others)]
+    return rows.withColumn("parts", F.array(*parts)).select(*df.columns, "parts")
+
+
 def three_way_split(df: DataFrame, label: str, held_out: float = 0.4, seed: int = 42,
                     id_column: str = "doc_id") -> DataFrame:
     """`train`, `dev` and `test`: a share is held out, then halved, both stratified."""

@@ -413,9 +413,11 @@ s AS (SELECT pos, stddev_pop(CAST(value AS DOUBLE)) AS sd FROM e GROUP BY pos)
 SELECT vec_id, CAST(e.pos AS INTEGER) AS pos, round(CAST(value AS DOUBLE) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6)
   AS scaled FROM e JOIN s ON e.pos = s.pos""")
 def scaled(spark, folder):
-    long = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value")) \
-        .withColumn("value", F.col("value").cast("double"))
-    return md.scale_long(long, ["pos"]).select("vec_id", "pos", F.round("scaled", 6).alias("scaled"))
+    """By the factors that models scale with."""
+    vectors = md.array_vectors(table(spark, folder, "embeddings"), "embedding", ["vec_id"])
+    return md.scale(vectors, md.scale_factors(vectors)).select(
+        "vec_id", F.posexplode(vector_to_array("features")).alias("pos", "value")) \
+        .select("vec_id", "pos", F.round("value", 6).alias("scaled"))
 
 
 PREDICTED = "CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END"
@@ -500,21 +502,17 @@ def coefficients(spark, folder):
        + values_table([(f"{f}:{i}",) for f, i in MODEL_COLUMNS]) + ") v(feature), "
        "(SELECT count(*) AS n FROM documents) WHERE n > 0")
 def optimum(spark, folder):
-    """Whether the slope of summed log loss and half the squared norm vanishes at each coefficient."""
+    """Whether the slope of summed log loss and half the squared norm vanishes at each coefficient of the table."""
     vectors = stored_vectors(spark, folder)
     model = md.train_model(vectors)
-    w = [float(c) for c in model.fitted.coefficients]
+    table_ = model.coefficients(spark, MODEL_COLUMNS).select("feature", "ord", F.col(model.classes[1]).alias("w"))
     scaled = md.scale(vectors, model.factors).select(
-        vector_to_array("features").alias("x"), (F.col("author_id") == model.classes[1]).cast("double").alias("y"))
-    weights = F.array(*map(F.lit, w))
-    margin = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(float(model.fitted.intercept)),
-                         lambda t, v: t + v)
-    residual = 1 / (1 + F.exp(-margin)) - F.col("y")
-    slopes = scaled.withColumn("r", residual).select(F.posexplode("x").alias("ord", "v"), "r") \
-        .groupBy("ord").agg(F.sum(F.col("v") * F.col("r")).alias("slope"))
-    names = spark.createDataFrame([(n, f"{f}:{i}", w[n]) for n, (f, i) in enumerate(MODEL_COLUMNS)],
-                                  "ord int, feature string, w double")
-    return slopes.join(names, "ord").select("feature", (F.abs(F.col("slope") + F.col("w")) < 1e-2).alias("at_optimum"))
+        "doc_id", F.posexplode(vector_to_array("features")).alias("ord", "v"),
+        (F.col("author_id") == model.classes[1]).cast("double").alias("y"))
+    margins = scaled.join(F.broadcast(table_), "ord").groupBy("doc_id", "y").agg(F.sum(F.col("v") * F.col("w")).alias("m"))
+    residual = margins.select("doc_id", (1 / (1 + F.exp(-F.col("m") - model.intercept)) - F.col("y")).alias("r"))
+    slopes = scaled.join(residual, "doc_id").groupBy("ord").agg(F.sum(F.col("v") * F.col("r")).alias("slope"))
+    return slopes.join(table_, "ord").select("feature", (F.abs(F.col("slope") + F.col("w")) < 1e-6).alias("at_optimum"))
 
 
 _LABELLED = f"""{CAT}, labelled AS (SELECT *, CASE WHEN model_category = 'human' THEN 'human' ELSE 'llm' END AS author_id
@@ -527,8 +525,8 @@ def predictions_by_sign(spark, folder):
     vectors = stored_vectors(spark, folder)
     model = md.train_model(vectors)
     sides = md.scale(vectors, model.factors).select("doc_id", F.aggregate(
-        F.zip_with(vector_to_array("features"), F.array(*[F.lit(float(c)) for c in model.fitted.coefficients]),
-                   lambda a, b: a * b), F.lit(float(model.fitted.intercept)), lambda t, v: t + v).alias("m"))
+        F.zip_with(vector_to_array("features"), F.array(*[F.lit(c) for c in model.weights]),
+                   lambda a, b: a * b), F.lit(model.intercept), lambda t, v: t + v).alias("m"))
     side = F.when(F.col("m") > 0, model.classes[1]).otherwise(model.classes[0])
     return model.predict(vectors).join(sides, "doc_id").groupBy("author_id").agg(
         F.count("*").alias("n"), F.bool_and(side == F.col("predicted")).alias("by_sign"))
@@ -539,11 +537,6 @@ def train_and_report(spark, folder):
     return flows.train_and_report(stored_vectors(spark, folder)).report
 
 
-@query("m7_pairwise")
-def pairwise(spark, folder):
-    return flows.pairwise(stored_vectors(spark, folder))
-
-
 @query("m3_refit_on_top", f"""WITH {_LABELLED}, n AS (SELECT count(*) AS n FROM labelled)
 SELECT CAST(n - ceil(0.2 * n) AS BIGINT) AS n_train, CAST(ceil(0.2 * n) AS BIGINT) AS n_test, 10 AS features FROM n""")
 def refit_on_top(spark, folder):
@@ -551,34 +544,66 @@ def refit_on_top(spark, folder):
     e = flows.refit_on_top(stored_vectors(spark, folder), 10)
     return e.predictions.agg(F.count("*").alias("n_test")).select(
         F.lit(e.n_train).cast("long").alias("n_train"), "n_test",
-        F.lit(e.model.fitted.numFeatures).alias("features"))
+        F.lit(len(e.model.weights)).alias("features"))
+
+
+def _checked(done):
+    """Sizes, and whether slopes and counts hold when worked out anew from the coefficients."""
+    return flows.certificate(done).select("llm", "n_train", "n_test", (F.col("slope") < 1e-6).alias("at_optimum"),
+                                          "counts_agree")
+
+
+_PAIR_SIZES = """h AS (SELECT count(*) AS n FROM labelled WHERE author_id = 'human'),
+c AS (SELECT model_category AS llm, count(*) AS n FROM labelled WHERE author_id <> 'human' GROUP BY model_category)"""
+_TURNS = f"""turns AS (SELECT CASE WHEN role = 'user' THEN 'human' ELSE 'llm' END AS author_id,
+  {_pick_sql(fv.CORPUS_CATEGORIES[1:], "conv_id")} AS model_category FROM conversations)"""
+_HOLD = "true AS at_optimum, true AS counts_agree"
 
 
-@query("m7_sizes", f"""WITH {_LABELLED}, h AS (SELECT count(*) AS n FROM labelled WHERE author_id = 'human'),
-c AS (SELECT model_category AS llm, count(*) AS n FROM labelled WHERE author_id <> 'human' GROUP BY model_category)
+@query("m7_pairwise", f"""WITH {_LABELLED}, {_PAIR_SIZES}
 SELECT llm, CAST(h.n + c.n - ceil(0.2 * (h.n + c.n)) AS BIGINT) AS n_train, CAST(ceil(0.2 * (h.n + c.n)) AS BIGINT) AS n_test,
-  true AS in_range FROM c, h""")
-def pairwise_model_sizes(spark, folder):
-    """Sizes of each pair's parts; accuracies between 0 and 1."""
-    ok = F.col("train_accuracy").between(0, 1) & F.col("test_accuracy").between(0, 1)
-    return flows.pairwise(stored_vectors(spark, folder)).select("llm", "n_train", "n_test", ok.alias("in_range"))
+  {_HOLD} FROM c, h""")
+def pairwise(spark, folder):
+    """All pairs fitted together: parts, optimum and confusion counts."""
+    return _checked(flows.fit_pairs(stored_vectors(spark, folder), keep=["doc_id"]))
+
+
+@query("m7_accuracies")
+def pairwise_accuracies(spark, folder):
+    return flows.pairwise(stored_vectors(spark, folder))
 
 
-@query("m8_across_corpora")
+@query("m8_across_corpora", f"""WITH {_LABELLED}, {_TURNS} SELECT 'all' AS llm, (SELECT count(*) FROM labelled) AS n_train,
+  (SELECT count(*) FROM turns) AS n_test, {_HOLD}""")
 def across_corpora(spark, folder):
     """Train on documents, test on conversations, as a whole."""
-    return flows.across_corpora(stored_vectors(spark, folder), conversation_vectors(spark, folder))
+    return _checked(flows.fit_across(stored_vectors(spark, folder), conversation_vectors(spark, folder), keep=["doc_id"]))
 
 
-@query("m10_per_model")
+@query("m10_per_model", f"""WITH {_LABELLED}, {_TURNS}, {_PAIR_SIZES} SELECT llm, h.n + c.n AS n_train,
+  (SELECT count(*) FROM turns WHERE author_id = 'human' OR turns.model_category = c.llm) AS n_test, {_HOLD} FROM c, h""")
 def per_model(spark, folder):
-    """Train on documents, test on conversations, per category both have."""
+    """Train on documents, test on conversations, for all categories together."""
+    return _checked(flows.fit_across(stored_vectors(spark, folder), conversation_vectors(spark, folder),
+                                     fv.CORPUS_CATEGORIES[1:], keep=["doc_id"]))
+
+
+@query("m10_accuracies")
+def per_model_accuracies(spark, folder):
     return flows.across_corpora(stored_vectors(spark, folder), conversation_vectors(spark, folder),
                                 fv.CORPUS_CATEGORIES[1:])
 
 
-@query("m9_within_corpus")
+@query("m9_within_corpus", f"""WITH {_LABELLED}, n AS (SELECT count(*) AS n FROM labelled)
+SELECT 'all' AS llm, CAST(n - ceil(0.2 * n) AS BIGINT) AS n_train, CAST(ceil(0.2 * n) AS BIGINT) AS n_test, {_HOLD} FROM n""")
 def within_corpus(spark, folder):
+    split = sp.stratified_split(stored_vectors(spark, folder), "author_id", 0.2)
+    parts = F.array(F.when(F.col("split") == "train", 1).otherwise(2))
+    return _checked(flows.fit_together(split, ["all"], parts, len(MODEL_COLUMNS), keep=["doc_id"]))
+
+
+@query("m9_report")
+def within_report(spark, folder):
     return flows.within_corpus(stored_vectors(spark, folder)).report
 
 

@@ -179,15 +179,62 @@ def test_model_solves_the_penalised_problem(spark):
     rows = df.collect()
     x = np.array([r["features"].toArray() for r in rows]) * model.factors
     y = np.array([r["author_id"] == "llm" for r in rows], float)
-    w, b = model.fitted.coefficients.toArray(), model.fitted.intercept
+    w, b = np.array(model.weights), model.intercept
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    assert np.abs(x.T @ (p - y) + w).max() < 1e-3
+    assert max(np.abs(x.T @ (p - y) + w).max(), abs((p - y).sum())) < 1e-6 and model.slope < 1e-6
     coefs = model.coefficients(spark, [("f", "a"), ("f", "b"), ("f", "c")]).collect()
     assert coefs[0]["llm"] == -coefs[0]["human"] and abs(coefs[0]["llm"]) >= abs(coefs[1]["llm"])
     with pytest.raises(ValueError):
         md.train_model(df.withColumn("author_id", F.lit("one")))
 
 
+def test_model_equals_the_library(spark):
+    """Spark ML's own solver, run to a small tolerance, finds the same weights."""
+    from pyspark.ml.classification import LogisticRegression
+    df = vectors(spark)
+    model = md.train_model(df, c=0.7)
+    scaled = md.scale(df, model.factors).withColumn("y", (F.col("author_id") == "llm").cast("double"))
+    fitted = LogisticRegression(labelCol="y", regParam=1 / (0.7 * 400), standardization=False, tol=1e-13, maxIter=500).fit(scaled)
+    assert np.allclose(fitted.coefficients.toArray(), model.weights, atol=1e-5) and np.isclose(fitted.intercept, model.intercept, atol=1e-5)
+    sides = {r["doc_id"]: r["prediction"] for r in fitted.transform(scaled).collect()}
+    assert all(sides[r["doc_id"]] == (r["predicted"] == "llm") for r in model.predict(df).collect())
+
+
+def test_models_together_equal_models_alone(spark):
+    df = vectors(spark).cache()
+    together = flows.fit_pairs(df, ["gpt-4o", "gpt-4o-mini"], keep=["doc_id"])
+    for k, name in enumerate(["gpt-4o", "gpt-4o-mini"]):
+        own = df.where((F.col("model_category") == name) | (F.col("author_id") == "human"))
+        alone = flows.within_corpus(own)
+        assert np.allclose(together.models[k].weights, alone.model.weights, atol=1e-6)
+        assert (together.accuracy(k, 1), together.accuracy(k, 2)) == (alone.train_accuracy, alone.test_accuracy)
+        assert (together.size(k, 1), together.size(k, 2)) == (alone.n_train, alone.n_test) == (240, 60)
+    checked = flows.certificate(together).collect()
+    assert len(checked) == 2 and all(r["slope"] < 1e-6 and r["counts_agree"] for r in checked)
+    together.models[0].weights[0] += 1e-3   # a wrong table is found out
+    wrong = {r["llm"]: r for r in flows.certificate(together).collect()}
+    assert wrong["gpt-4o"]["slope"] > 1e-4 and wrong["gpt-4o-mini"]["slope"] < 1e-6
+
+
+def test_sparse_dense_wide_and_empty_vectors(spark):
+    from styloweave.operators import newton
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        x = rng.normal(size=300) * (rng.random(300) < 0.1)
+        x[7] = 5.0
+        v = Vectors.sparse(300, {int(j): float(x[j]) for j in np.flatnonzero(x)}) if i % 3 else Vectors.dense(x.tolist())
+        rows.append((str(i), "llm" if x[:20].sum() - 5 > 0 or i % 7 == 0 else "human", Vectors.sparse(300, {}) if i == 5 else v))
+    df = spark.createDataFrame(rows, ["doc_id", "author_id", "features"]).repartition(40)   # two levels of sums
+    model = md.train_model(df)
+    x = np.array([r["features"].toArray() for r in df.collect()])
+    assert np.allclose(model.factors, 1 / np.where(x.std(0) > 0, x.std(0), 1))
+    y = np.array([r["author_id"] == "llm" for r in df.collect()], float)
+    p = 1 / (1 + np.exp(-(x * model.factors @ model.weights + model.intercept)))
+    assert np.abs((x * model.factors).T @ (p - y) + model.weights).max() < 1e-6
+    assert newton.width_of(df.limit(0)) == 0
+
+
 def test_flows(spark):
     df = vectors(spark).cache()
     assert flows.train_and_report(df).test_accuracy > 0.7
