@@ -5,7 +5,9 @@ summed and pass through tanh; the prediction is a two-level softmax, first over
 then over the words of the group. The vocabulary is the most frequent words of the whole corpus;
 all others share hash buckets, within which a word is as likely as its share of the bucket's
 occurrences. Vocabulary and buckets grow with the square root of the distinct words; the counts of
-words outside the vocabulary stay in Spark and reach the documents by a join.
+words outside the vocabulary stay in Spark. They meet the documents' words in ranges of hashes, whose
+number grows with the words of the corpus: a block of documents sends each range one row of sorted hashes, and gets
+back a sum for each document.
 
 Each partition trains on all its words from the same start; the parameters are averaged by words,
 summed in groups of bounded size. The score of a document is the sum of the conditional log
@@ -33,9 +35,15 @@ BATCH, RATE = 16_384, 0.2
 FEW = 1 << 19
 PAD = GROUPS * GROUP_SIZE
 PIECE = 2_048
-SCORED_SQL = "block long, hash long, places binary, doc_id array<long>, n_words array<long>, log_prob array<double>"
-SCORED = pa.schema([("block", pa.int64()), ("hash", pa.int64()), ("places", pa.binary()), ("doc_id", pa.list_(pa.int64())),
-                    ("n_words", pa.list_(pa.int64())), ("log_prob", pa.list_(pa.float64()))])
+#: Words of the corpus for each range of hashes, and the fewest ranges.
+RANGE_WORDS, RANGES = 1 << 21, 256
+SCORED = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("hashes", pa.binary()), ("times", pa.binary()),
+                    ("places", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())),
+                    ("log_prob", pa.list_(pa.float64()))])
+SCORED_SQL = ("block long, range long, hashes binary, times binary, places binary, doc_id array<long>, "
+              "n_words array<long>, log_prob array<double>")
+ADDED = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), *list(SCORED)[5:]])
+ADDED_SQL = "block long, places binary, sums binary, doc_id array<long>, n_words array<long>, log_prob array<double>"
 
 
 def buckets_for(distinct: int) -> int:
@@ -122,47 +130,58 @@ class Network:
         return logits
 
     def _by_group(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the words by group, and the bounds of groups in it."""
         group = ids // GROUP_SIZE
-        order = np.argsort(group, kind="stable")
-        return order, np.searchsorted(group[order], np.arange(self.groups + 1))
+        order = np.argsort(group.astype(np.uint16) if self.groups < 1 << 16 else group, kind="stable")
+        return order, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=self.groups))))
+
+    def _inside(self, hidden: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Probabilities within the group of each word, of words in order of their groups."""
+        logits = np.empty((len(hidden), GROUP_SIZE), np.float32)
+        for g in np.flatnonzero(np.diff(bounds)):
+            a, b = bounds[g], bounds[g + 1]
+            np.matmul(hidden[a:b], self.p["word"][g], out=logits[a:b])
+            logits[a:b] += self.p["word_bias"][g]
+        return self._softmax(logits)
 
     def log_probabilities(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-        hidden = self._hidden(near)
-        groups = self._softmax(hidden @ self.p["group"] + self.p["group_bias"])
-        out = np.log(groups[np.arange(len(ids)), ids // GROUP_SIZE] + 1e-30).astype(np.float64)
         order, bounds = self._by_group(ids)
-        for g in range(self.groups):
-            own = order[bounds[g]:bounds[g + 1]]
-            if len(own):
-                inside = self._softmax(hidden[own] @ self.p["word"][g] + self.p["word_bias"][g])
-                out[own] += np.log(inside[np.arange(len(own)), ids[own] % GROUP_SIZE] + 1e-30)
+        ids, line = ids[order], np.arange(len(ids))
+        hidden = self._hidden(near[order])
+        groups = self._softmax(hidden @ self.p["group"] + self.p["group_bias"])
+        inside = self._inside(hidden, bounds)
+        out = np.empty(len(ids))
+        out[order] = np.log(groups[line, ids // GROUP_SIZE].astype(np.float64) + 1e-30) \
+            + np.log(inside[line, ids % GROUP_SIZE].astype(np.float64) + 1e-30)
         return out
 
     def train(self, ids: np.ndarray, near: np.ndarray, rate: float = RATE) -> None:
         """One Adagrad step on the mean loss of a batch."""
         n = np.float32(len(ids))
+        order, bounds = self._by_group(ids)
+        ids, near, line = ids[order], near[order], np.arange(len(ids))
         hidden = self._hidden(near)
         error = self._softmax(hidden @ self.p["group"] + self.p["group_bias"])
-        error[np.arange(len(ids)), ids // GROUP_SIZE] -= 1
+        error[line, ids // GROUP_SIZE] -= 1
+        inside = self._inside(hidden, bounds)
+        inside[line, ids % GROUP_SIZE] -= 1
         back = error @ self.p["group"].T
         slope = {"group": hidden.T @ error, "group_bias": error.sum(0),
                  "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
-        order, bounds = self._by_group(ids)
-        for g in range(self.groups):
-            own = order[bounds[g]:bounds[g + 1]]
-            if len(own):
-                inside = self._softmax(hidden[own] @ self.p["word"][g] + self.p["word_bias"][g])
-                inside[np.arange(len(own)), ids[own] % GROUP_SIZE] -= 1
-                back[own] += inside @ self.p["word"][g].T
-                slope["word"][g] = hidden[own].T @ inside
-                slope["word_bias"][g] = inside.sum(0)
+        for g in np.flatnonzero(np.diff(bounds)):
+            a, b = bounds[g], bounds[g + 1]
+            back[a:b] += inside[a:b] @ self.p["word"][g].T
+            slope["word"][g] = hidden[a:b].T @ inside[a:b]
+            slope["word_bias"][g] = inside[a:b].sum(0)
         back *= 1 - hidden * hidden
         slope["bias"] = back.sum(0)
         for k, v in slope.items():
             self._step(self.p[k], self.seen[k], v / n, rate)
+        small = self.p["embed"].shape[1] < 1 << 16
         for k in range(len(CONTEXT)):
-            order = np.argsort(near[:, k], kind="stable")
-            sorted_ = near[order, k]
+            own = near[:, k]
+            order = np.argsort(own.astype(np.uint16) if small else own, kind="stable")  # 16 bits sort by radix
+            sorted_ = own[order]
             start = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
             touched = sorted_[start]
             total = np.add.reduceat(back[order], start, axis=0) / n
@@ -259,9 +278,10 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts = word_counts(texts)
     words = vocabulary(texts, counts)
     network = trained(texts, words, batch, rate)
+    ranges = max(RANGES, (counts.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block one row of its documents, and one row for each distinct word outside the vocabulary."""
+        """For each block one row of its documents, and for each range one of its words outside the vocabulary."""
         for k, block in enumerate(blocks(batches)):
             text = split(block.column(1))
             hashes = text.hashes()
@@ -273,40 +293,71 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             total = np.concatenate(([0.0], np.cumsum(each)))
             total = total[text.first[1:]] - total[text.first[:-1]]
             name = TaskContext.get().partitionId() << 32 | k
-            head = int(mix(np.array([name], np.uint64)).view(np.int64)[0])  # spreads these rows; no word is looked up
+            spread = int(mix(np.array([name], np.uint64))[0]) % ranges
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([head]), pa.array([None], pa.binary()),
+                [pa.array([name]), pa.array([spread]), *(pa.nulls(1, pa.binary()) for _ in range(3)),
                  pa.array([block.column(0).to_pylist()], pa.list_(pa.int64())),
                  pa.array([text.counts().astype(np.int64)], pa.list_(pa.int64())), pa.array([total], pa.list_(pa.float64()))],
                 schema=SCORED)
             rare = np.flatnonzero(ids >= words.listed)
             order = rare[np.argsort(hashes[rare], kind="stable")]
             if len(order):
-                found = hashes[order]
+                found, places = hashes[order], text.row[order].astype(np.int32)
                 start = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-                offsets = (4 * np.append(start, len(found))).astype(np.int32)
-                places = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(
-                    text.row[order].astype(np.int32))])
-                for a in range(0, len(start), 1 << 14):
-                    part = places.slice(a, 1 << 14)
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, name)), pa.array(found[start[a:a + n]].view(np.int64)), part,
-                         *(pa.nulls(n, f.type) for f in list(SCORED)[3:])], schema=SCORED)
+                times = np.diff(start, append=len(found)).astype(np.int32)
+                distinct = found[start]
+                # ranges are in the order of hashes
+                of = ((distinct >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                ends, at = np.append(cut[1:], len(of)), np.append(start, len(found))
+                n = len(cut)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, name)), pa.array(of[cut]),
+                     pa.array([distinct[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+                     pa.array([times[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+                     pa.array([places[at[a]:at[b]].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+                     *(pa.nulls(n, f.type) for f in list(SCORED)[5:])], schema=SCORED)
+
+    def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+        """The words of one range: for each block the sum of their log counts by document."""
+        heads = rows.filter(rows["hashes"].is_null())
+        hashes = known["hash"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        hashes, logs = hashes[order], np.log(known["n"].to_numpy()[order])
+        out: list[tuple] = []
+        own = rows.filter(rows["hashes"].is_valid()).select(["block", "hashes", "times", "places"])
+        for block, found, times, places in zip(*(c.to_pylist() for c in own.columns)):
+            found = np.frombuffer(found, np.uint64)
+            at = np.minimum(np.searchsorted(hashes, found), max(len(hashes) - 1, 0))
+            value = np.where(hashes[at] == found, logs[at], 0.0) if len(hashes) else np.zeros(len(found))
+            sums = np.bincount(np.frombuffer(places, np.int32), np.repeat(value, np.frombuffer(times, np.int32)))
+            there = np.flatnonzero(sums)
+            if len(there):
+                out.append((block, there.astype(np.int32).tobytes(), sums[there].tobytes()))
+        sums = pa.Table.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*out) if out else ((), (), ()), ADDED)]
+            + [pa.nulls(len(out), f.type) for f in list(ADDED)[3:]], schema=ADDED)
+        empty = pa.nulls(len(heads), pa.binary())
+        heads = pa.Table.from_arrays([heads["block"], empty, empty, *(heads[f.name] for f in list(ADDED)[3:])], schema=ADDED)
+        return pa.concat_tables([heads, sums])
 
     def finish(rows: pa.Table) -> pa.Table:
-        """The documents of a block, with the counts of their words outside the vocabulary added."""
-        heads = rows.filter(rows["places"].is_null())
-        total = heads["log_prob"].combine_chunks().flatten().to_numpy().copy()
-        n = heads["n_words"].combine_chunks().flatten()
-        rare = rows.filter(rows["places"].is_valid())
-        if len(rare):
-            size = pa.compute.binary_length(rare["places"]).to_numpy() // 4
-            places = np.frombuffer(b"".join(rare["places"].to_pylist()), np.int32)
-            total += np.bincount(places, np.repeat(np.log(rare["n"].to_numpy()), size), len(total))
-        return pa.table({"doc_id": heads["doc_id"].combine_chunks().flatten(), "n_words": n, "log_prob": total,
+        """The documents of a block, with the sums of their words outside the vocabulary added."""
+        head = rows.filter(rows["places"].is_null())
+        total = head["log_prob"].combine_chunks().flatten().to_numpy().copy()
+        n = head["n_words"].combine_chunks().flatten()
+        sums = rows.filter(rows["places"].is_valid())
+        if len(sums):
+            # in a fixed order, so that equal runs give equal sums
+            parts = sorted(zip(sums["places"].to_pylist(), sums["sums"].to_pylist()))
+            total += np.bincount(np.frombuffer(b"".join(p for p, _ in parts), np.int32),
+                                 np.frombuffer(b"".join(s for _, s in parts)), len(total))
+        return pa.table({"doc_id": head["doc_id"].combine_chunks().flatten(), "n_words": n, "log_prob": total,
                          "mean_log_prob": total / np.maximum(n.to_numpy(), 1)})
 
-    # a word outside the vocabulary is one row for each block, and no word there is frequent: no key is hot
-    return texts.mapInArrow(score, SCORED_SQL).join(counts, "hash", "left").select("block", "places", "doc_id", "n_words", "log_prob", "n") \
-        .groupBy("block").applyInArrow(finish, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    # a word that occurs once adds nothing, as the logarithm of 1 is 0
+    several = counts.where("n > 1").withColumn(
+        "range", F.shiftright(F.shiftrightunsigned("hash", 32) * F.lit(ranges), 32))
+    return texts.mapInArrow(score, SCORED_SQL).groupBy("range").cogroup(several.groupBy("range")) \
+        .applyInArrow(look_up, ADDED_SQL).groupBy("block") \
+        .applyInArrow(finish, "doc_id long, n_words long, log_prob double, mean_log_prob double")
