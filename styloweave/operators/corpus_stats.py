@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from styloweave.functions import labels as lb
 from styloweave.functions import text as tx
+from styloweave.operators import newton
 
 
 def with_metadata(docs: DataFrame) -> DataFrame:
@@ -90,10 +92,35 @@ def feature_variance(vectors: DataFrame, n_docs: int | None = None) -> DataFrame
         .orderBy(F.desc("variance"), "feature", "item")
 
 
-def feature_correlation(vectors: DataFrame, names: list[str], column: str = "features",
-                        method: str = "pearson") -> DataFrame:
-    """Correlation matrix of a vector column as `a, b, r`; one row per pair of names."""
-    matrix = Correlation.corr(vectors, column, method).first()[0].toArray()
-    rows = [(names[i], names[j], float(matrix[i, j]))
-            for i in range(len(names)) for j in range(len(names))]
-    return vectors.sparkSession.createDataFrame(rows, "a string, b string, r double")
+def feature_correlation(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """Pearson correlation of all pairs of positions of `features`, as `a, b, r`; null beside a constant.
+
+    Three passes, so store what is costly: means, deviations, and products of standardised columns. Products are summed in
+    bands of the matrix by a tree of tasks; the matrix stays a table, and only one number a column
+    reaches the driver.
+    """
+    width = len(names)
+    rows = newton.packed(vectors, F.lit(0.0), F.array(F.lit(newton.TRAIN)))
+    scale, means, n = newton.moments(rows, 1, width)
+    scale, means, n = scale[0], means[0], int(n[0])
+
+    def products(x, y, parts):
+        z = (x[:, :width] - means) * scale
+        yield 0, z.T @ z
+
+    constant = np.isnan(scale)
+    scale = np.where(constant, 0.0, scale)
+
+    def cells(batches):
+        for batch in batches:
+            for band, payload in zip(batch.column("band").to_pylist(), batch.column("payload").to_pylist()):
+                own = np.frombuffer(payload).reshape(-1, width)
+                i, j = (x.ravel() + base for x, base in zip(np.indices(own.shape), (band, 0)))
+                r = np.where(constant[i] | constant[j], np.nan, own.ravel() / max(n, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+                                                  pa.array(r, pa.float64(), from_pandas=True)], names=["i", "j", "r"])
+
+    by_ord = vectors.sparkSession.createDataFrame(list(enumerate(names)), "i int, name string")
+    table = newton.summed_bands(rows, products, width).mapInArrow(cells, "i int, j int, r double")
+    return table.join(F.broadcast(by_ord.withColumnRenamed("name", "a")), "i") \
+        .join(F.broadcast(by_ord.toDF("j", "b")), "j").select("a", "b", "r")

@@ -201,34 +201,48 @@ def hypergeometric_diversity(words: DataFrame, sample: int = 42) -> DataFrame:
     return spectrum.select("doc_id", F.when(total >= sample, share).alias("hdd"))
 
 
-def _factors(words: list[str], threshold: float) -> float:
-    seen: set[str] = set()
-    full, n = 0.0, 0
-    for w in words:
-        n += 1
-        seen.add(w)
-        if len(seen) / n <= threshold:
-            full, n, seen = full + 1, 0, set()
-    if n:
-        full += (1 - len(seen) / n) / (1 - threshold)
-    return full
-
-
-def textual_diversity(arrays: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """`mtld` of documents given as `doc_id, tokens` rows.
-
-    The factor count restarts whenever the ratio falls to the threshold, so it needs the
-    tokens of a row in order: a small batch function, linear in the document.
+def _factor_count(steps: Column, threshold: float) -> Column:
+    """Factors of a token sequence given as `at, before`: its place, and the last one of its type.
+
+    A token is new to the factor that started at `start` if its type was last met before that, so a step
+    needs no set of types and a document is linear.
+    """
+    state = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("types"),
+                     F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("full"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = F.when(s["n"] == 0, x["at"]).otherwise(s["start"])
+        types = s["types"] + F.coalesce(x["before"] < start, F.lit(True)).cast("long")
+        n = s["n"] + 1
+        over = types / n <= threshold
+        return F.struct(start.alias("start"), F.when(over, 0).otherwise(types).cast("long").alias("types"),
+                        F.when(over, 0).otherwise(n).cast("long").alias("n"),
+                        F.when(over, s["full"] + 1).otherwise(s["full"]).alias("full"))
+
+    def finish(s: Column) -> Column:
+        return s["full"] + F.when(s["n"] > 0, (1 - s["types"] / s["n"]) / (1 - threshold)).otherwise(0.0)
+
+    return F.aggregate(steps, state, step, finish)
+
+
+def textual_diversity(tok: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """`mtld` of documents given as token rows: the mean length of stretches above the threshold, both ways.
+
+    Each token knows the places of its type's neighbours; a document's pairs of places are gathered
+    in its row, and one pass each way counts the factors.
     """
-    @F.pandas_udf(T.DoubleType())
-    def mtld(tokens: pd.Series) -> pd.Series:
-        def both_ways(words):
-            runs = [_factors(w, threshold) for w in (words, words[::-1])]
-            ratios = [len(words) / f for f in runs if f > 0]
-            return sum(ratios) / len(ratios) if ratios else None
-        return tokens.map(lambda t: both_ways([w.lower() for w in t]) if len(t) else None)
-
-    return arrays.select("doc_id", mtld("tokens").alias("mtld"))
+    line = W.partitionBy("doc_id", "word").orderBy("token_id")
+    here = F.col("token_id").cast("long")
+    linked = tok.select("doc_id", here.alias("at"), "token_id", F.lower("token").alias("word")) \
+        .select("doc_id", "at", F.lag("at").over(line).alias("before"), F.lead("at").over(line).alias("behind"))
+    rows = linked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "before", "behind"))).alias("t"))
+    there = F.transform("t", lambda x: F.struct(x["at"].alias("at"), x["before"].alias("before")))
+    back = F.transform(F.reverse("t"), lambda x: F.struct((-x["at"]).alias("at"), (-x["behind"]).alias("before")))
+    counted = rows.select("doc_id", F.size("t").alias("n"), _factor_count(there, threshold).alias("a"),
+                          _factor_count(back, threshold).alias("b"))
+    each = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.col("n") / F.col(c)) for c in ("a", "b")]))
+    return counted.select("doc_id", F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda t, x: t + x) / F.size(each))
+                          .alias("mtld"))
 
 
 # --------------------------------------------------------------------------- complexity

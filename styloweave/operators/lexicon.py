@@ -40,6 +40,32 @@ def lexicon_features(tok: DataFrame, lexicon: DataFrame, measure: str, *, low: f
     return counted.groupBy("doc_id").agg(*aggs)
 
 
+def lexicon_measures(tok: DataFrame, lexicon: DataFrame, measures: dict[str, tuple], on: str = "lemma") -> DataFrame:
+    """Several measures by one join: for each name the columns of `lexicon_features`.
+
+    `measures` maps a name to `(low, high)` or `(low, high, max_sd)`; `lexicon` has `key`, a column of each
+    name and, for the latter, `sd_<name>`. A word may lack some measures. Counts are named without
+    a leading `emotion_`, as in `n_low_intensity` beside `avg_emotion_intensity`.
+    """
+    columns = [c for name, limits in measures.items() for c in [name, f"sd_{name}"][:1 + (len(limits) > 2)]]
+    counted = _lemma_counts(tok, on).join(broadcast_if_small(lexicon.select("key", *columns)), "key", "left")
+    n = F.col("n")
+
+    def total(when):
+        return F.coalesce(F.sum(F.when(when, n)), F.lit(0)).cast("long")
+
+    aggs = []
+    for name, (low, high, *max_sd) in measures.items():
+        value, short = F.col(name), name.removeprefix("emotion_")
+        aggs += [(F.sum(n * value) / F.sum(F.when(value.isNotNull(), n))).alias(f"avg_{name}"),
+                 total(value < low).alias(f"n_low_{short}"), total(value > high).alias(f"n_high_{short}")]
+        if max_sd:
+            sd = F.col(f"sd_{name}")
+            aggs += [(F.sum(n * sd) / F.sum(F.when(sd.isNotNull(), n))).alias(f"avg_sd_{name}"),
+                     total(sd > max_sd[0]).alias(f"n_controversial_{short}")]
+    return counted.groupBy("doc_id").agg(*aggs)
+
+
 def sentiment(tok: DataFrame, lexicon: DataFrame, on: str = "lemma") -> DataFrame:
     """Polarity lexicon: mean polarity per token, and negative and positive words."""
     counted = _lemma_counts(tok, on).join(

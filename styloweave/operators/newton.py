@@ -69,8 +69,11 @@ def _dense(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.n
             yield x, own.column(2).to_numpy(zero_copy_only=False), parts
 
 
-def _summed(rows: DataFrame, per_block, shapes: dict[int, tuple[int, int]], width: int) -> dict[int, np.ndarray]:
-    """Sum over all rows of `per_block(x, y, parts)`, a matrix for each model, by a tree of tasks."""
+def summed_bands(rows: DataFrame, per_block, width: int) -> DataFrame:
+    """Sum over all rows of `per_block(x, y, parts)`, a matrix for each model, by a tree of tasks.
+
+    One row for each model and band of `BAND` matrix rows.
+    """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for x, y, parts in _dense(batches, width):
@@ -95,6 +98,12 @@ def _summed(rows: DataFrame, per_block, shapes: dict[int, tuple[int, int]], widt
         sums = sums.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
         sums = sums.groupBy("model", "band", "part").applyInPandas(add, SUMS)
         left = -(-left // FAN_IN)
+    return sums
+
+
+def _summed(rows: DataFrame, per_block, shapes: dict[int, tuple[int, int]], width: int) -> dict[int, np.ndarray]:
+    """The summed matrices, on the driver."""
+    sums = summed_bands(rows, per_block, width)
     out = {model: np.zeros(shape) for model, shape in shapes.items()}
     for r in sums.collect():
         own = np.frombuffer(r["payload"]).reshape(-1, out[r["model"]].shape[1])
@@ -102,8 +111,8 @@ def _summed(rows: DataFrame, per_block, shapes: dict[int, tuple[int, int]], widt
     return out
 
 
-def factors(rows: DataFrame, models: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """One over the population deviation of each model's training rows (1 for constant columns), and their number.
+def moments(rows: DataFrame, models: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One over the population deviation of each model's training rows (NaN for constants), means, and number of rows.
 
     Two passes, so that constants don't drown in rounding.
     """
@@ -124,7 +133,13 @@ def factors(rows: DataFrame, models: int, width: int) -> tuple[np.ndarray, np.nd
     second = _summed(rows, squares, shapes, width)
     deviation = np.array([np.sqrt(second[k][0, :width] / max(n[k], 1)) for k in range(models)])
     constant = deviation <= 1e-12 * np.abs(means)
-    return np.where(constant, 1.0, 1.0 / np.where(constant, 1.0, deviation)), n.astype(int)
+    return np.where(constant, np.nan, 1.0 / np.where(constant, 1.0, deviation)), means, n.astype(int)
+
+
+def factors(rows: DataFrame, models: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """One over the population deviation of each model's training rows, 1 for constant columns, and number of rows."""
+    scale, _, n = moments(rows, models, width)
+    return np.where(np.isnan(scale), 1.0, scale), n
 
 
 def fit_many(rows: DataFrame, models: int, width: int, c: float = 1.0, max_iter: int = 60,

@@ -6,8 +6,7 @@ Document ids such as `acad_12@gpt-4o-2024-08-06` are derived from the given tabl
 from __future__ import annotations
 
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from styloweave.functions import fixed_values as fv
@@ -25,7 +24,7 @@ from styloweave.plans import flows
 from styloweave.plans.oracle_sql import in_list, q, tokens_cte, values_table
 from styloweave.plans.registry import query, table
 from styloweave.plans.style_queries import TOK, VOCABS, lexical_tokens, only
-from styloweave.session import fresh_folder, shared_folder
+from styloweave.session import checkpointed, fresh_folder, shared_folder
 from styloweave.sources import materialise as mt
 from styloweave.streaming import rebuild_stream as rs
 
@@ -336,19 +335,27 @@ def variance(spark, folder):
     return df.withColumn("variance", F.round("variance", 9))
 
 
-CORR = ["the", "of", "is", "and"]
-_PIVOT = ", ".join(f"coalesce(max(value) FILTER (item = '{w}'), 0) AS {w}_" for w in CORR)
+_ALL_FUNC = list(dict.fromkeys(VOCABS["func_words"]))
 
 
-@query("k10_correlation", f"""WITH {_FW}, p AS (SELECT ids.doc_id, {_PIVOT} FROM ids LEFT JOIN fw
-   ON fw.doc_id = ids.doc_id GROUP BY ids.doc_id) """ + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}_, {b}_), 6) AS r FROM p" for a in CORR for b in CORR))
+@query("k10_correlation", f"""WITH {_FW}, v(item) AS (VALUES {values_table([(w,) for w in _ALL_FUNC])}),
+c AS (SELECT count(*) AS n FROM ids), s AS (SELECT item, sum(value) AS s, sum(value * value) AS q FROM fw GROUP BY item),
+p AS (SELECT x.item AS a, y.item AS b, sum(x.value * y.value) AS xy FROM fw x JOIN fw y ON x.doc_id = y.doc_id GROUP BY ALL)
+SELECT va.item AS a, vb.item AS b, round((c.n * coalesce(xy, 0) - sa.s * sb.s)
+  / nullif(sqrt(greatest(c.n * sa.q - sa.s * sa.s, 0)) * sqrt(greatest(c.n * sb.q - sb.s * sb.s, 0)), 0), 5) AS r
+FROM v va JOIN v vb ON true JOIN c ON true LEFT JOIN s sa ON sa.item = va.item LEFT JOIN s sb ON sb.item = vb.item
+LEFT JOIN p ON p.a = va.item AND p.b = vb.item""")
 def correlation(spark, folder):
+    """All pairs of function words over all documents."""
+    profiles = func_word_profiles(spark, folder)
     columns = style.vector_columns(FEW)
-    names = [f"func_words:{w}" for w in CORR]
-    wide = style.wide(func_word_profiles(spark, folder), columns, names).toDF("doc_id", *CORR)
-    vectors = VectorAssembler(inputCols=CORR, outputCol="features").transform(wide)
-    return cs.feature_correlation(vectors, CORR).withColumn("r", F.round("r", 6))
+    vectors = md.model_vectors(profiles, len(columns))
+    every = table(spark, folder, "documents").select("doc_id").join(vectors, "doc_id", "left")
+    none = F.array_repeat(F.lit(0.0), len(columns))
+    full = every.select("doc_id", array_to_vector(F.coalesce(vector_to_array("features"), none)).alias("features"))
+    df = cs.feature_correlation(checkpointed(full), [f"{f}:{i}" for f, i in columns])
+    wanted = [F.regexp_extract(c, "^func_words:(.*)$", 1).alias(c) for c in ("a", "b")]
+    return df.where("a LIKE 'func_words:%' AND b LIKE 'func_words:%'").select(*wanted, F.round("r", 5).alias("r"))
 
 
 # ------------------------------------------------------------------------- splits
@@ -677,7 +684,7 @@ def _chosen(spark, folder):
                         lb.feature_value(F.col("feature")).alias("item"), "ord")
 
 
-_VOCAB_ROWS = [(f, w, n) for f in ("func_words", "letters", "transitions", "sentences")
+_VOCAB_ROWS = [(f, w, n) for f in VOCABS
                for n, w in enumerate(dict.fromkeys(VOCABS[f]))]
 
 

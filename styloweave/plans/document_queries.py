@@ -512,9 +512,22 @@ def hdd(spark, folder):
     return _rounded(ex.hypergeometric_diversity(_word_counts(spark, folder)), ["doc_id", "hdd"])
 
 
-@query("j12_mtld")
+# one token a step, from both ends: the types of the factor so far, and the factors that are full
+@query("j12_mtld", f"""WITH RECURSIVE {TOK.replace("WITH ", "", 1) if TOK.startswith("WITH ") else TOK},
+d AS (SELECT doc_id, list(code ORDER BY token_id) AS w, count(*) AS n FROM (
+  SELECT doc_id, token_id, CAST(dense_rank() OVER (ORDER BY low) AS INTEGER) AS code FROM tok) GROUP BY doc_id),
+sides AS (SELECT doc_id, 0 AS side, w, n FROM d UNION ALL SELECT doc_id, 1, list_reverse(w), n FROM d),
+f(doc_id, side, w, total, i, n, seen, factors) AS (
+  SELECT doc_id, side, w, n, 0, 0, CAST([] AS INTEGER[]), CAST(0 AS DOUBLE) FROM sides UNION ALL
+  SELECT doc_id, side, w, total, i + 1, CASE WHEN over THEN 0 ELSE n + 1 END,
+    CASE WHEN over THEN CAST([] AS INTEGER[]) ELSE now END, factors + CASE WHEN over THEN 1 ELSE 0 END
+  FROM (SELECT *, len(now) / CAST(n + 1 AS DOUBLE) <= 0.72 AS over FROM (SELECT *,
+    CASE WHEN list_contains(seen, w[i + 1]) THEN seen ELSE list_append(seen, w[i + 1]) END AS now FROM f WHERE i < total))),
+r AS (SELECT doc_id, side, total, factors + CASE WHEN n > 0 THEN (1 - len(seen) / CAST(n AS DOUBLE)) / (1 - 0.72) ELSE 0 END AS x
+  FROM f WHERE i = total)
+SELECT doc_id, round(avg(total / x) FILTER (x > 0), 6) AS mtld FROM r GROUP BY doc_id""")
 def mtld(spark, folder):
-    return ex.textual_diversity(tk.token_arrays(table(spark, folder, "documents")))
+    return _rounded(ex.textual_diversity(lexical_tokens(spark, folder)), ["doc_id", "mtld"])
 
 
 @query("j13_compress")
@@ -575,14 +588,40 @@ def _lexicon(tok):
         (F.length("key") % 3).cast("double").alias("sd"))
 
 
-@query("j5_lexicon", f"""WITH {ANN}, {_LEXICON}
-SELECT a.doc_id, avg(value) AS avg_valence,
-  CAST(count(*) FILTER (value < 2) AS BIGINT) AS n_low_valence,
-  CAST(count(*) FILTER (value > 5) AS BIGINT) AS n_high_valence
-FROM ann a LEFT JOIN lex ON lower(a.lemma) = lex.key GROUP BY a.doc_id""")
+#: Thresholds of low and high values, and of deviations where the measure has them.
+EMOTION = {m: (2, 5) for m in fv.LEXICON_MEASURES["emotion"]}
+PSYCHO = {m: (2, 5) if m == "prevalence" else (2, 5, 1) for m in fv.LEXICON_MEASURES["psycholinguistic"]}
+
+
+def _measures_lexicon(tok, measures):
+    """A value (for some words none) and a deviation of each measure from a word's length."""
+    length = F.length("key")
+    words = tok.where(F.length("lemma") >= 3).select(F.lower("lemma").alias("key")).distinct()
+    return words.select("key", *[c for k, m in enumerate(measures) for c in (
+        F.when(length % (k + 4) != 0, (length + k) % 7).cast("double").alias(m),
+        ((length + k) % 3).cast("double").alias(f"sd_{m}"))])
+
+
+def _measures_sql(measures):
+    lex = ", ".join(f"CAST(CASE WHEN n % {k + 4} <> 0 THEN (n + {k}) % 7 END AS DOUBLE) AS {m}, "
+                    f"CAST((n + {k}) % 3 AS DOUBLE) AS sd_{m}" for k, m in enumerate(measures))
+    out = []
+    for m, (low, high, *sd) in measures.items():
+        short = m.removeprefix("emotion_")
+        out += [f"avg({m}) AS avg_{m}", f"count(*) FILTER ({m} < {low}) AS n_low_{short}",
+                f"count(*) FILTER ({m} > {high}) AS n_high_{short}"]
+        if sd:
+            out += [f"avg(sd_{m}) AS avg_sd_{m}", f"count(*) FILTER (sd_{m} > {sd[0]}) AS n_controversial_{short}"]
+    return f"""WITH {ANN}, listed AS (SELECT DISTINCT lower(lemma) AS key, length(lower(lemma)) AS n FROM ann WHERE length(lemma) >= 3),
+lex AS (SELECT key, {lex} FROM listed)
+SELECT a.doc_id, {", ".join(out)} FROM ann a LEFT JOIN lex ON lower(a.lemma) = lex.key GROUP BY a.doc_id"""
+
+
+@query("j5_lexicon", _measures_sql(EMOTION))
 def lexicon(spark, folder):
+    """All four emotion measures in one pass."""
     tok = annotated_tokens(spark, folder)
-    return lx.lexicon_features(tok, _lexicon(tok), "valence", low=2, high=5)
+    return lx.lexicon_measures(tok, _measures_lexicon(tok, EMOTION), EMOTION)
 
 
 @query("j6_sentiment", f"""WITH {ANN}, {_LEXICON}
@@ -596,25 +635,20 @@ def sentiment(spark, folder):
     return lx.sentiment(tok, polarity)
 
 
-@query("j7_psycholinguistic", f"""WITH {ANN}, {_LEXICON}
-SELECT a.doc_id, avg(value) AS avg_concreteness,
-  CAST(count(*) FILTER (value < 2) AS BIGINT) AS n_low_concreteness,
-  CAST(count(*) FILTER (value > 5) AS BIGINT) AS n_high_concreteness,
-  avg(sd) AS avg_sd_concreteness,
-  CAST(count(*) FILTER (sd > 1) AS BIGINT) AS n_controversial_concreteness
-FROM ann a LEFT JOIN lex ON lower(a.lemma) = lex.key GROUP BY a.doc_id""")
+@query("j7_psycholinguistic", _measures_sql(PSYCHO))
 def psycholinguistic(spark, folder):
+    """All six psycholinguistic measures in one pass."""
     tok = annotated_tokens(spark, folder)
-    return lx.lexicon_features(tok, _lexicon(tok), "concreteness", low=2, high=5, max_sd=1)
+    return lx.lexicon_measures(tok, _measures_lexicon(tok, PSYCHO), PSYCHO)
 
 
 @query("j17_synsets", f"""WITH {ANN}, {_LEXICON}
 SELECT a.doc_id, avg(value) AS avg_num_synsets,
   CAST(count(*) FILTER (value < 2) AS BIGINT) AS n_low_synsets,
-  CAST(count(*) FILTER (value > 5) AS BIGINT) AS n_high_synsets,
-  CAST(count(*) FILTER (value < 2 AND pos = 'NOUN') AS BIGINT) AS n_low_synsets_noun,
-  CAST(count(*) FILTER (value > 5 AND pos = 'NOUN') AS BIGINT) AS n_high_synsets_noun
+  CAST(count(*) FILTER (value > 5) AS BIGINT) AS n_high_synsets, """ + ", ".join(
+    f"count(*) FILTER (value < 2 AND pos = '{p}') AS n_low_synsets_{p.lower()}, "
+    f"count(*) FILTER (value > 5 AND pos = '{p}') AS n_high_synsets_{p.lower()}" for p in fv.LEXICAL_POS) + """
 FROM ann a LEFT JOIN lex ON lower(a.lemma) = lex.key GROUP BY a.doc_id""")
 def synsets(spark, folder):
     tok = annotated_tokens(spark, folder)
-    return lx.synset_counts(tok, _lexicon(tok), 2, 5, ["NOUN"])
+    return lx.synset_counts(tok, _lexicon(tok), 2, 5, fv.LEXICAL_POS)

@@ -9,11 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from styloweave.session import broadcast_if_small
+
 
 def config_hash(config: dict, include_items: list | None = None) -> str:
     """First 12 hex digits of the md5 of the sorted JSON and any further items."""
@@ -78,3 +81,56 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     key = F.regexp_extract("path", r"/vectors_[^/]*_([0-9a-z]+)\.parquet(?:/|$)", 1)
     return (files.select(key.alias("key"), "length").where("key <> ''").groupBy("key")
             .agg(F.count("*").alias("files"), F.sum("length").alias("bytes")))
+
+
+# ------------------------------------------------------------------------- by parts of the input
+MANIFEST = "part_key string, path string"
+
+
+@dataclass
+class Parts:
+    """Stored rows of all present files, and how many files had to be computed for them."""
+
+    rows: DataFrame
+    new: int
+    kept: int
+
+
+def part_key() -> Column:
+    """Names a file by path, size and time of change; no content is read."""
+    m = F.col("_metadata")
+    return F.md5(F.concat_ws("|", m["file_path"], m["file_size"].cast("string"),
+                             m["file_modification_time"].cast("string")))
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    held = load_vectors(spark, path)
+    return held if held is not None else spark.createDataFrame([], schema)
+
+
+def get_or_compute_parts(spark: SparkSession, folder: str, source: str, config: dict,
+                         build: Callable[[DataFrame], DataFrame], *, depends_on: list[str] = ()) -> Parts:
+    """Stored results of the Parquet files below `source`; only new or changed files are computed.
+
+    `build` gets the rows of new files with a column `part_key`, which its result must keep. A hit
+    lists files and reads the table of finished parts, never a text. Parts that a broken
+    run left behind are overwritten by the next one, as they are entered in that table last.
+    The paths of new files pass the driver, as they do in any listing.
+    """
+    base = f"{folder.rstrip('/')}/parts_{config_hash(config, list(depends_on))}"
+    docs = spark.read.parquet(source)
+    files = docs.select(part_key().alias("part_key"), F.col("_metadata.file_path").alias("path")).distinct()
+    done = _table(spark, f"{base}/manifest", MANIFEST)
+    new = [(r["part_key"], r["path"]) for r in files.join(done.select("part_key"), "part_key", "left_anti").collect()]
+    if new:
+        rows = build(spark.read.schema(docs.schema).parquet(*[path for _, path in new])
+                     .withColumn("part_key", part_key()))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("part_key").parquet(f"{base}/rows")
+        spark.createDataFrame(new, MANIFEST).coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+    present = files.select("part_key")
+    stored = load_vectors(spark, f"{base}/rows")
+    total = present.count()
+    if stored is None:          # no file has rows yet
+        return Parts(build(docs.withColumn("part_key", part_key()).limit(0)), len(new), total - len(new))
+    return Parts(stored.join(broadcast_if_small(present), "part_key", "left_semi"), len(new), total - len(new))

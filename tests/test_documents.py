@@ -104,7 +104,7 @@ def test_moving_ttr_equals_brute_force_across_blocks(spark):
 def test_hdd_and_mtld_equal_brute_force(spark):
     docs, tok, df = random_docs(spark, 2, [10, 42, 120])
     hdd = {r["doc_id"]: r["hdd"] for r in ex.hypergeometric_diversity(ex.word_counts(tok)).collect()}
-    mtld = {r["doc_id"]: r["mtld"] for r in ex.textual_diversity(tk.token_arrays(df)).collect()}
+    mtld = {r["doc_id"]: r["mtld"] for r in ex.textual_diversity(tok).collect()}
 
     def factors(ws):
         n, start = 0.0, 0
