@@ -119,14 +119,15 @@ class Network:
     def _hidden(self, near: np.ndarray) -> np.ndarray:
         total = np.repeat(self.p["bias"][None], len(near), axis=0)
         for k in range(len(CONTEXT)):
-            total += self.p["embed"][k][near[:, k]]
+            total += np.take(self.p["embed"][k], near[:, k], axis=0)
         return np.tanh(total)
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
+        # single precision holds exponentials of this range, so no maximum of the row is needed
+        np.clip(logits, -80, 60, out=logits)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
         return logits
 
     def _by_group(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,22 +160,23 @@ class Network:
         """One Adagrad step on the mean loss of a batch."""
         n = np.float32(len(ids))
         order, bounds = self._by_group(ids)
-        ids, near, line = ids[order], near[order], np.arange(len(ids))
+        ids, near, line = ids[order], np.take(near, order, axis=0), np.arange(len(ids))
         hidden = self._hidden(near)
         error = self._softmax(hidden @ self.p["group"] + self.p["group_bias"])
         error[line, ids // GROUP_SIZE] -= 1
         inside = self._inside(hidden, bounds)
         inside[line, ids % GROUP_SIZE] -= 1
         back = error @ self.p["group"].T
-        slope = {"group": hidden.T @ error, "group_bias": error.sum(0),
+        ones = np.ones(len(ids), np.float32)
+        slope = {"group": hidden.T @ error, "group_bias": ones @ error,
                  "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
         for g in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[g], bounds[g + 1]
             back[a:b] += inside[a:b] @ self.p["word"][g].T
             slope["word"][g] = hidden[a:b].T @ inside[a:b]
-            slope["word_bias"][g] = inside[a:b].sum(0)
+            slope["word_bias"][g] = ones[a:b] @ inside[a:b]
         back *= 1 - hidden * hidden
-        slope["bias"] = back.sum(0)
+        slope["bias"] = ones @ back
         for k, v in slope.items():
             self._step(self.p[k], self.seen[k], v / n, rate)
         small = self.p["embed"].shape[1] < 1 << 16
@@ -184,7 +186,7 @@ class Network:
             sorted_ = own[order]
             start = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
             touched = sorted_[start]
-            total = np.add.reduceat(back[order], start, axis=0) / n
+            total = np.add.reduceat(np.take(back, order, axis=0), start, axis=0) / n
             seen = self.seen["embed"][k]
             seen[touched] += total * total * n
             self.p["embed"][k][touched] -= rate * total * np.sqrt(n) / np.sqrt(seen[touched])
