@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 from styloweave.llm.ordering import with_neighbours
 from styloweave.llm.storage import stored
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?/>"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|textarea|title|select)\b"
-    r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|<[!?][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in
+       "script style noscript template iframe svg math object textarea title select".split()}
+SELF_CLOSING = frozenset(("svg", "math"))
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_TO_VALUE = re.compile(r"[^>=]*+")
+_BLANKS = re.compile(r"\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+ATTRIBUTE = re.compile(r"([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 BLOCK = frozenset("html head body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
                   "section article main nav header footer aside form fieldset legend figure figcaption blockquote pre "
                   "address hr details summary dialog menu option center".split())
@@ -50,13 +51,71 @@ ASIDE_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar brea
 ASIDE_STEMS = ("advert", "breadcrumb", "comment", "consent", "cookie", "disqus", "footer", "masthead", "navbar",
                "newsletter", "pagina", "popup", "promo", "recommend", "sidebar", "sponsor", "subscri")
 #: Words that inside an article as often name a part of its text.
-DOUBTFUL_WORDS = frozenset("alert consent discussion menu notice notices promo promotion reply responses search "
-                           "subscription".split())
+DOUBTFUL_WORDS = frozenset("consent discussion reply responses search subscription".split())
+#: Elements that hold comments by their id; ids of others come from headings.
+LIST_TAGS = frozenset("div ul ol dl".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset(("header", "banner"))
 COMMENT_WORDS = frozenset(("comment", "comments", "reply", "replies"))
 
 
+def _tag_end(source: str, at: int, last: int) -> int:
+    """Index of the `>` that closes a tag whose attributes begin at `at`; the last one of the page is at `last`.
+
+    Quotes count only around a value. A quote that is never closed counts as an ordinary character.
+    """
+    while True:
+        at = _TO_VALUE.match(source, at).end()
+        if source[at] == ">":
+            return at
+        at = _BLANKS.match(source, at + 1).end()
+        if source[at] in "\"'":
+            close = source.find(source[at], at + 1)
+            at = close + 1 if 0 <= close < last else at + 1
+        else:
+            at = _BARE.match(source, at).end()
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, `/` of a closing tag, lower-case name, attributes) of the markup; no name: comments and the like.
+
+    Elements without text of the page (scripts, styles, drawings) are one piece up to their closing tag, or to the page's end.
+    Each step begins where the last one ended, and what can't be closed any more ends the scan, so it is
+    linear in the page, cut-off pages included.
+    """
+    at, last = 0, source.rfind(">")
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            close = source.find("-->", start + 4)
+            at = close + 3 if close >= 0 else len(source)
+            yield start, at, "", "", ""
+            continue
+        if start > last:        # no tag can end; only a comment may still begin
+            at = source.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        follows = source[start + 1]
+        if follows in "!?":
+            at = source.find(">", start) + 1
+            yield start, at, "", "", ""
+            continue
+        closing = "/" if follows == "/" else ""
+        name = NAME.match(source, start + 1 + len(closing))
+        if not name:
+            at = start + 1
+            continue
+        end = _tag_end(source, name.end(), last)
+        tag, attributes, at = name[0].lower(), source[name.end():end], end + 1
+        if not closing and tag in RAW:
+            if not (tag in SELF_CLOSING and attributes.endswith("/")):
+                close = RAW[tag].search(source, at)
+                at = close.end() if close else len(source)
+            yield start, at, "", "", ""
+        else:
+            yield start, at, closing, tag, attributes
+
+
 def _mark(tag: str, attributes: str, in_main: bool) -> str:
     """What an element marks itself as: aside, or inside a main part doubt, or nothing.
 
@@ -81,7 +140,9 @@ def _mark(tag: str, attributes: str, in_main: bool) -> str:
     named = words & ASIDE_WORDS or any(w.startswith(ASIDE_STEMS) and w != "commentary" for w in words)
     if not in_main:
         return "aside" if named or words & HEADER_WORDS else ""
-    if classes & (ASIDE_WORDS - DOUBTFUL_WORDS) or tag not in HEADINGS and found.get("id", "").lower() in COMMENT_WORDS:
+    name = re.split(r"[^a-z0-9]+", found.get("id", "").lower())
+    if classes & (ASIDE_WORDS - DOUBTFUL_WORDS) or tag not in HEADINGS and name[0] in COMMENT_WORDS \
+            and len(name) <= 1 + (tag in LIST_TAGS):
         return "aside"
     return "doubt" if named else ""
 
@@ -99,12 +160,11 @@ def page_blocks(text: str | None) -> list[tuple[str, str]]:
                 out.append((joined, stack[-1][1]))
             parts.clear()
 
-    at, source = 0, text or ""
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            parts.append(html.unescape(source[at:m.start()]))
-        at = m.end()
-        tag = (m[3] or "").lower()
+    at, source, depth = 0, text or "", Counter()
+    for start, end, closing, tag, attributes in tags(source):
+        if start > at:
+            parts.append(html.unescape(source[at:start]))
+        at = end
         if not tag:
             continue
         if tag == "br":
@@ -112,29 +172,32 @@ def page_blocks(text: str | None) -> list[tuple[str, str]]:
             continue
         if tag in BLOCK:
             flush()
-        if tag not in HELD or m[4].endswith("/"):
+        if tag not in HELD or attributes.endswith("/"):
             continue
-        if not m[2] and tag in BLOCK and len(stack) > 1 and stack[-1][0] in BRIEF:
-            stack.pop()
+        if not closing and tag in BLOCK and len(stack) > 1 and stack[-1][0] in BRIEF:
+            depth[stack.pop()[0]] -= 1
         zone = stack[-1][1]
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if any(z != stack[i - 1][1] for _, z in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
+        if closing:
+            if depth[tag] > 0:      # else nothing is open that it could close
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if any(z != stack[i - 1][1] for _, z in stack[i:]):
+                    flush()
+                depth.subtract(t for t, _ in stack[i:])
+                del stack[i:]
             continue
         if zone != "aside":
-            mark = _mark(tag, m[4], zone in ("article", "main", "doubt"))
+            mark = _mark(tag, attributes, zone in ("article", "main", "doubt"))
             if mark:
                 flush()
                 zone = mark
             elif tag == "article":
                 zone = "article"
-            elif (tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", m[4])) and zone == "open":
+            elif (tag == "main" or re.search(r"role\s*=\s*[\"']?main\b", attributes)) and zone == "open":
                 zone = "main"
         stack.append((tag, zone))
+        depth[tag] += 1
     parts.append(html.unescape(source[at:]))
     flush()
     return out
@@ -205,7 +268,7 @@ def main_text(blocks: list[tuple[str, str]], neighbour: list[int] | None) -> str
         shared = {i for i, h in zip(lines, hit) if h}
         if "article" in zones and own[-1] in neighbour:  # a copy of its neighbour
             shared = set()
-    if "article" in zones:
+    if "article" in zones or "doubt" in zones and "main" not in zones:
         rest = "main" if "main" in zones else "open" if shared else ""
         return " ".join(t for i, (t, z) in enumerate(blocks) if z == "article" or z in (rest, "doubt") and i not in shared)
     if "main" in zones:
