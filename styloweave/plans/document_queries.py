@@ -282,10 +282,78 @@ def matches_ru_plain(spark, folder):
     return syntax.construction_matches(constructed_tokens(spark, folder), PLAIN_RUSSIAN)
 
 
-@query("h8_matches_ru")
+# One tree that each pattern matches; every document gets one of them beside its own.
+SAMPLE_TREES = {
+    "it-cleft": "(was-be-VBD-ROOT(It-it-PRP-nsubj)(John-John-NNP-attr(left-leave-VBD-relcl(who-who-WP-nsubj))))",
+    "pseudo-cleft": "(is-be-VBZ-ROOT(want-want-VBP-csubj(What-what-WP-dobj)(I-I-PRP-nsubj))(rest-rest-NN-attr)))",
+    "all-cleft": "(is-be-VBZ-ROOT(All-all-DT-nsubj(want-want-VBP-relcl(I-I-PRP-nsubj))(rest-rest-NN-attr)))",
+    "there-cleft": "(is-be-VBZ-ROOT(There-there-EX-expl)(man-man-NN-attr(waits-wait-VBZ-relcl(who-who-WP-nsubj))))",
+    "if-because-cleft": "(is-be-VBZ-ROOT(goes-go-VBZ-advcl(If-if-IN-mark)(he-he-PRP-nsubj))(it-it-PRP-nsubj))",
+    "passive": "(bitten-bite-VBN-ROOT(dog-dog-NN-nsubjpass(The-the-DT-det)(was-be-VBD-auxpass)))",
+    "subj-relcl": "(man-man-NN-ROOT(left-leave-VBD-relcl(who-who-WP-nsubj)))",
+    "obj-relcl": "(is-be-VBZ-ROOT(man-man-NN-nsubj(saw-see-VBD-relcl(whom-whom-WP-dobj)(I-I-PRP-nsubj)))(old-old-JJ-acomp)))",
+    "tag-question": "(is-be-VBZ-ROOT(it-it-PRP-nsubj)(?-?-.-punct))",
+    "coordinate-clause": "(came-come-VBD-ROOT(He-he-PRP-nsubj)(and-and-CC-cc)(left-leave-VBD-conj(she-she-PRP-nsubj)))",
+    "parenthetical": "(idea-idea-NN-ROOT(one-one-NN-nsubj(,-,-,-punct)(good-good-JJ-x(say-say-UH-appos)(,-,-,-punct)))",
+    "passive_rus": "(сделан-сделать-VERB-ROOT-Voice=Pass(дом-дом-NOUN-nsubj-))",
+    "parataxis_rus": "(знаю-знать-VERB-parataxis-)",
+    "participle_rus": "(идёт-идти-VERB-ROOT-(читающий-читать-VERB-acl-VerbForm=Part))",
+    "gerund_rus": "(шёл-идти-VERB-ROOT-(читая-читать-VERB-advcl-VerbForm=Conv))",
+    "conj_rus": "(шёл-идти-VERB-ROOT-(пел-петь-VERB-conj-))",
+    "nested_structure_rus": "(знал-знать-VERB-ROOT-(придёт-прийти-VERB-ccomp-(что-что-SCONJ-mark-)))",
+    "one_word_sent_rus": "(Ночь-ночь-NOUN-ROOT-x(.-.-PUNCT-punct-))",
+    "diminutive_rus": "(домик-домик-NOUN-ROOT-)",
+    "multiple_punct_rus": "(Да-да-PART-ROOT-(!!-!!-PUNCT-punct-)(???-?-PUNCT-punct-))",
+    "additional_info_rus": "(Да-да-X-ROOT-(,-,-PUNCT-punct-x)(,-,-PUNCT-punct-x))",
+    # near misses: a relative clause, a participle in place of a gerund, a conjunction as root, mixed marks
+    "no participle": "(идёт-идти-VERB-ROOT-(читающий-читать-VERB-acl:relcl-VerbForm=Part))",
+    "no gerund": "(шёл-идти-VERB-ROOT-(пишущся-писать-VERB-advcl-)(бывшя-быть-VERB-amod-))",
+    "no conjunction": "(что-что-SCONJ-ROOT-(пел-петь-VERB-conj-))",
+    "no marks": "(Да-да-PART-ROOT-(!?-!?-PUNCT-punct-)(!-?-PUNCT-punct-))",
+}
+_SAMPLES = list(enumerate(SAMPLE_TREES.items()))
+
+
+def sampled_trees(spark, folder):
+    """Trees of the documents, and of each document one sample."""
+    own = syntax.linear_trees(constructed_tokens(spark, folder))
+    samples = spark.createDataFrame([(k, n, t) for k, (n, t) in _SAMPLES], "k long, sentence string, tree string")
+    docs = table(spark, folder, "documents").select("doc_id", (F.col("doc_id") % len(_SAMPLES)).alias("k"))
+    return own.unionByName(docs.join(F.broadcast(samples), "k").select(
+        "doc_id", F.lit(-1).alias("sentence_id"), "sentence", "tree"))
+
+
+_SAMPLED = _TREES.replace("trees AS (", "trees0 AS (") + f""",
+trees AS (SELECT doc_id, sentence_id, sentence, tree FROM trees0 UNION ALL SELECT doc_id, -1, sentence, tree FROM documents
+  JOIN (VALUES {", ".join(f"({k}, {q(n)}, {q(t)})" for k, (n, t) in _SAMPLES)}) v(k, sentence, tree) ON doc_id % {len(_SAMPLES)} = k)"""
+# What the SQL engine can't express, said otherwise: no clause mark, no ending of a participle, another
+# tag, and the same mark in word and lemma.
+_OTHER_CLAUSE = "(?:[^:]|:[^r]|:r[^e]|:re[^l]|:rel[^c]|:relc[^l])"
+_PARTICIPLE = "(?:VerbForm=Part|[а-я]+(?:ющ|ащ|ящ|вш|ем|им|нн|т)[а-я]+)"
+_LETTERS = r"0-9_a-z\x{80}-\x{10FFFF}"
+_NO_SCONJ = "(?:" + "|".join(
+    f"{'SCONJ'[:i]}(?:[{_LETTERS}{''.join(c for c in 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' if c != 'SCONJ'[i])}][{_LETTERS}A-Z]*)"
+    + ("?" if i else "") for i in range(5)) + ")"
+RUSSIAN_SQL = PLAIN_RUSSIAN | {
+    "participle_rus": rf"\([^-]*-[^-]*-(?:VERB|ADJ)-ROOT.*?(?:ADJ|VERB)-(?:amod|acl)(?:{_PARTICIPLE}|{_OTHER_CLAUSE}.*?{_PARTICIPLE}).*?\)+$",
+    "gerund_rus": r"\([^-]*-[^-]*-(?:VERB|PROPN)-ROOT.*?(?:[А-Яа-чъ-я]|[^юая]щ|[^в]ш)[яв(сь|ся)]-[^-]*-(?:VERB|NOUN|ADJ|PROPN)-(?:advcl|amod).*?\)+$",
+    "conj_rus": rf"\([^-]*-[^-]*-{_NO_SCONJ}-ROOT.*?-conj.*?\)+$",
+    "multiple_punct_rus": r"\([^-]*-[^-]*-[^-]*-ROOT.*?(?:(?:\(!+-!+-PUNCT-punct-\)|\(\?+-\?+-PUNCT-punct-\)){2,}|\(\.{2,}-\.{2,}-PUNCT-punct-\))\)+$",
+}
+
+
+@query("h8_matches_ru", f"""WITH {_SAMPLED}, m AS ({_matches_sql(RUSSIAN_SQL)})
+SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, pattern_name, matched, sentence FROM m""")
 def matches_ru(spark, folder):
-    """Russian patterns; look-behind and back-references keep them out of the SQL engine."""
-    return syntax.construction_matches(constructed_tokens(spark, folder), syntax.patterns_for("ru"))
+    """All ten Russian patterns, each with positives and near misses."""
+    return syntax.matches_in_trees(sampled_trees(spark, folder), syntax.patterns_for("ru"))
+
+
+@query("h7_matches_all", f"""WITH {_SAMPLED}, m AS ({_matches_sql({n: p.replace("(?!(.*-VB.*))*", "") for n, p in fv.ENGLISH_PATTERNS.items()})})
+SELECT doc_id, CAST(sentence_id AS INTEGER) AS sentence_id, pattern_name, matched, sentence FROM m""")
+def matches_all_en(spark, folder):
+    """All eleven English patterns, each with positives."""
+    return syntax.matches_in_trees(sampled_trees(spark, folder), syntax.patterns_for("en"))
 
 
 @query("e05_sentences", f"""WITH {_TREES}, m AS ({_MATCHES}),
