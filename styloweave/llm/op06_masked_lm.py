@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -152,8 +151,8 @@ class Network:
         groups = self._softmax(hidden @ self.p["group"] + self.p["group_bias"])
         inside = self._inside(hidden, bounds)
         out = np.empty(len(ids))
-        out[order] = np.log(groups[line, ids // GROUP_SIZE].astype(np.float64) + 1e-30) \
-            + np.log(inside[line, ids % GROUP_SIZE].astype(np.float64) + 1e-30)
+        out[order] = np.log((groups[line, ids // GROUP_SIZE].astype(np.float64) + 1e-30)
+                            * (inside[line, ids % GROUP_SIZE] + 1e-30))
         return out
 
     def train(self, ids: np.ndarray, near: np.ndarray, rate: float = RATE) -> None:
@@ -253,20 +252,22 @@ def trained(texts: DataFrame, words: Vocabulary, batch: int = BATCH, rate: float
             pieces = [flat[a:a + PIECE] for a in range(0, len(flat), PIECE)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(pieces)), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * len(pieces), pa.int32()),
-                 pa.array([float(seen)] * len(pieces)), pa.array(pieces, pa.list_(pa.float64()))],
+                 pa.array([float(seen)] * len(pieces)), pa.array([x.tobytes() for x in pieces], pa.binary())],
                 names=["piece", "part", "weight", "values"])
 
-    def averaged(f: pd.DataFrame) -> pd.DataFrame:
-        head, weight = f.iloc[:1].copy(), f["weight"].to_numpy()
-        head.at[head.index[0], "values"] = np.average(np.stack(f["values"].to_list()), axis=0, weights=weight)
-        head["weight"] = weight.sum()
-        return head
-
-    schema = "piece int, part int, weight double, values array<double>"
-    rows = texts.mapInArrow(local, schema).groupBy("piece", "part").applyInPandas(averaged, schema) \
-        .groupBy("piece").applyInPandas(averaged, schema).orderBy("piece").collect()  # the model
+    def averaged(rows: pa.Table) -> pa.Table:
+        weight = rows["weight"].to_numpy()
+        order = np.argsort(weight, kind="stable")
+        values = np.stack([np.frombuffer(x) for x in rows["values"].to_pylist()])[order]
+        mean = np.average(values, axis=0, weights=weight[order])
+        return pa.table({"piece": rows["piece"][:1], "part": rows["part"][:1], "weight": [weight.sum()],
+                         "values": pa.array([mean.tobytes()], pa.binary())})
+
+    schema = "piece int, part int, weight double, values binary"
+    rows = texts.mapInArrow(local, schema).groupBy("piece", "part").applyInArrow(averaged, schema) \
+        .groupBy("piece").applyInArrow(averaged, schema).orderBy("piece").collect()  # the model
     network = Network(words.frequency)
-    return network.load(np.concatenate([r["values"] for r in rows])) if rows else network
+    return network.load(np.concatenate([np.frombuffer(r["values"]) for r in rows])) if rows else network
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH,
