@@ -91,10 +91,10 @@ def _guarded(ok: Column, value: Column) -> Column:
     return F.when(ok, value)
 
 
-def richness(words: DataFrame) -> DataFrame:
+def richness(words: DataFrame, by: list[str] = ("doc_id",)) -> DataFrame:
     """Type-token ratios and frequency-spectrum measures from a word frequency table."""
     c = F.col("n").cast("double")
-    spectrum = words.groupBy("doc_id").agg(
+    spectrum = words.groupBy(*by).agg(
         F.sum("n").alias("N"), F.count("*").alias("V"),
         F.count_if(F.col("n") == 1).alias("V1"), F.count_if(F.col("n") == 2).alias("V2"),
         F.sum(F.col("n") * F.col("n")).alias("S2"), F.sum(c * F.log2(c)).alias("nlogn"))
@@ -102,7 +102,7 @@ def richness(words: DataFrame) -> DataFrame:
     ln_n, ln_v = F.log(N), F.log(V)
     v_term = S2 / (N * N) - 1 / V
     return spectrum.select(
-        "doc_id", F.col("N").alias("n_tokens"), F.col("V").alias("n_types"),
+        *by, F.col("N").alias("n_tokens"), F.col("V").alias("n_types"),
         (V / N).alias("ttr"), (V / F.sqrt(N)).alias("rttr"), (V / F.sqrt(2 * N)).alias("cttr"),
         (V / F.sqrt(N)).alias("giroud_index"),
         _guarded(N > 1, ln_v / ln_n).alias("herdan_c"),
@@ -260,23 +260,20 @@ def compressibility(docs: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- readability
-def readability(tok: DataFrame, long_word: int = 6) -> DataFrame:
-    """Readability indices. Words are tokens with a letter or digit."""
-    is_word = F.col("token").rlike(IS_WORD)
-    n_syl = tx.syllables(F.col("token"))
-    marked = tok.select("doc_id", "sent_pos", is_word.alias("w"), F.length("token").alias("len"),
-                        F.when(is_word, n_syl).alias("syl"))
-    word = F.col("w")
-    base = marked.groupBy("doc_id").agg(
-        F.count_if(word).alias("W"), F.count_if(F.col("sent_pos") == 0).alias("S"),
-        F.sum(F.when(word, F.col("len")).otherwise(0)).alias("C"),
-        F.count_if(word & (F.col("len") > long_word)).alias("L"),
-        F.coalesce(F.sum("syl"), F.lit(0)).cast("long").alias("n_syllables"),
-        F.count_if(F.col("syl") == 1).alias("n_monosyllables"),
-        F.count_if(F.col("syl") >= 3).alias("n_polysyllables"))
+def readability_sums(long_word: int = 6) -> list[Column]:
+    """Aggregates over token rows that the readability indices are made of."""
+    word, length = F.col("token").rlike(IS_WORD), F.length("token")
+    syl = F.when(word, tx.syllables(F.col("token")))
+    return [F.count_if(word).alias("W"), F.count_if(F.col("sent_pos") == 0).alias("S"),
+            F.sum(F.when(word, length).otherwise(0)).alias("C"), F.count_if(word & (length > long_word)).alias("L"),
+            F.coalesce(F.sum(syl), F.lit(0)).cast("long").alias("n_syllables"),
+            F.count_if(syl == 1).alias("n_monosyllables"), F.count_if(syl >= 3).alias("n_polysyllables")]
+
+
+def readability_formulas() -> list[Column]:
+    """The indices from the sums."""
     w, s, c, long, syl, poly = (F.col(x).cast("double") for x in
                                 ("W", "S", "C", "L", "n_syllables", "n_polysyllables"))
-    ok = w > 0
     formulas = {
         "flesch_reading_ease": 206.835 - 1.015 * w / s - 84.6 * syl / w,
         "flesch_kincaid_grade": 0.39 * w / s + 11.8 * syl / w - 15.59,
@@ -287,5 +284,10 @@ def readability(tok: DataFrame, long_word: int = 6) -> DataFrame:
         "lix": w / s + 100 * long / w,
         "rix": long / s,
     }
-    return base.select("doc_id", "n_syllables", "n_monosyllables", "n_polysyllables",
-                       *[F.when(ok, f).alias(n) for n, f in formulas.items()])
+    return [F.col("n_syllables"), F.col("n_monosyllables"), F.col("n_polysyllables"),
+            *[F.when(w > 0, f).alias(n) for n, f in formulas.items()]]
+
+
+def readability(tok: DataFrame, long_word: int = 6) -> DataFrame:
+    """Readability indices. Words are tokens with a letter or digit."""
+    return tok.groupBy("doc_id").agg(*readability_sums(long_word)).select("doc_id", *readability_formulas())

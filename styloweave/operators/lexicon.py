@@ -47,8 +47,23 @@ def lexicon_measures(tok: DataFrame, lexicon: DataFrame, measures: dict[str, tup
     name and, for the latter, `sd_<name>`. A word may lack some measures. Counts are named without
     a leading `emotion_`, as in `n_low_intensity` beside `avg_emotion_intensity`.
     """
+    return measures_of(_lemma_counts(tok, on), lexicon, measures)
+
+
+def lexicon_columns(measures: dict[str, tuple]) -> list[str]:
+    """Names of the columns that `lexicon_measures` gives."""
+    out = []
+    for name, limits in measures.items():
+        short = name.removeprefix("emotion_")
+        out += [f"avg_{name}", f"n_low_{short}", f"n_high_{short}"]
+        out += [f"avg_sd_{name}", f"n_controversial_{short}"] if len(limits) > 2 else []
+    return out
+
+
+def measures_of(counts: DataFrame, lexicon: DataFrame, measures: dict[str, tuple]) -> DataFrame:
+    """`lexicon_measures` of counts `doc_id, key, n`."""
     columns = [c for name, limits in measures.items() for c in [name, f"sd_{name}"][:1 + (len(limits) > 2)]]
-    counted = _lemma_counts(tok, on).join(broadcast_if_small(lexicon.select("key", *columns)), "key", "left")
+    counted = counts.join(broadcast_if_small(lexicon.select("key", *columns)), "key", "left")
     n = F.col("n")
 
     def total(when):

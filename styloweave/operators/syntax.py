@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,52 +26,108 @@ def patterns_for(language: str = "en", add: dict[str, str] | None = None,
     return {name: p for name, p in patterns.items() if name not in remove}
 
 
-def _preorder(heads, labels) -> str:
-    """Tree of one sentence in preorder; `)` follows each leaf, the others come last.
+def _flat(heads: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence of each node, index of its parent in the batch or -1, node offsets of sentences)."""
+    at = heads.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    up = heads.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    sentence = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    here = np.arange(len(up)) - at[sentence]
+    inside = (up >= 0) & (up < np.diff(at)[sentence]) & (up != here)
+    return sentence, np.where(inside, up + at[sentence], -1), at
+
+
+def _levels(parent: np.ndarray, roots: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Nodes of each level below `roots`, siblings in order; and the number of children and children by parent.
 
-    Linear in the sentence length, also for trees as deep as the sentence is long, where
-    root paths as arrays would grow with its square.
+    One round for each level of the deepest tree of the batch, over all its sentences at once.
     """
-    kids: list[list[int]] = [[] for _ in heads]
-    pending = []
-    for i, h in enumerate(heads):
-        if 0 <= h < len(heads) and h != i:
-            kids[h].append(i)
-        else:
-            pending.append(i)
-    pending.reverse()
-    out = []
-    while pending:
-        node = pending.pop()
-        out.append("(" + labels[node] + ("" if kids[node] else ")"))
-        pending.extend(reversed(kids[node]))
-    return "".join(out) + ")" * sum(1 for k in kids if k)
-
-
-@F.pandas_udf(T.StringType())
-def linear_tree(heads: pd.Series, labels: pd.Series) -> pd.Series:
-    return pd.Series([_preorder(h, lab) for h, lab in zip(heads, labels)], dtype=object)
+    below = np.argsort(parent, kind="stable")[int((parent < 0).sum()):]
+    n_kids = np.bincount(parent[below], minlength=len(parent))
+    first = np.concatenate(([0], np.cumsum(n_kids)))
+    out, level = [], roots
+    while len(level):
+        out.append(level)
+        level = level[n_kids[level] > 0]
+        n = n_kids[level]
+        source = np.arange(n.sum()) + np.repeat(first[level] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        level = below[source]
+    return out, n_kids, below
+
+
+def _before(sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Sum of the earlier entries of the same group; groups are runs."""
+    total = np.cumsum(sizes) - sizes
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    return total - np.repeat(total[start], np.diff(start, append=len(group)))
+
+
+def preorder_trees(heads: pa.Array, labels: pa.Array) -> pa.Array:
+    """Trees of a batch of sentences in preorder; `)` follows each leaf, the others come last.
+
+    A node's place is its parent's plus the sizes of its elder siblings, sizes being summed from the
+    deepest level up. Nodes that reach no root, as their heads form a ring, are left out.
+    """
+    if not len(heads):
+        return pa.array([], pa.string())
+    sentence, parent, at = _flat(heads)
+    roots = np.flatnonzero(parent < 0)
+    levels, n_kids, _ = _levels(parent, roots)
+    size, place = np.ones(len(parent), np.int64), np.full(len(parent), -1)
+    for level in reversed(levels[1:]):
+        size += np.bincount(parent[level], size[level], len(parent)).astype(np.int64)[:len(parent)]
+    if len(roots):
+        place[roots] = _before(size[roots], sentence[roots])
+    for level in levels[1:]:
+        place[level] = place[parent[level]] + 1 + _before(size[level], parent[level])
+    reached = np.flatnonzero(place >= 0)
+    order = reached[np.lexsort((place[reached], sentence[reached]))]
+    leaf = pa.array(n_kids[order] == 0)
+    nodes = pa.compute.binary_join_element_wise(
+        pa.scalar("("), labels.flatten().take(pa.array(order)), pa.compute.if_else(leaf, ")", ""), "")
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(sentence[order], minlength=len(at) - 1)))).astype(np.int32)
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(bounds), nodes), "")
+    closing = np.bincount(sentence[n_kids > 0], minlength=len(at) - 1)
+    ends = pa.compute.binary_repeat(pa.array([")"] * len(closing)), pa.array(closing))
+    return pa.compute.binary_join_element_wise(joined, ends, "")
+
+
+def _preorder(heads, labels) -> str:
+    """The tree of one sentence."""
+    return preorder_trees(pa.array([list(heads)], pa.list_(pa.int32())), pa.array([list(labels)], pa.list_(pa.string())))[0].as_py()
+
+
+@F.arrow_udf(T.StringType())
+def linear_tree(heads: pa.Array, labels: pa.Array) -> pa.Array:
+    return preorder_trees(heads, labels)
 
 
 TREE_SHAPE = T.StructType([T.StructField(n, T.IntegerType())
                            for n in ("depth", "width", "parents")])
 
 
-@F.pandas_udf(TREE_SHAPE)
-def tree_shape(heads: pd.Series) -> pd.DataFrame:
-    """Depth in nodes, largest level and number of nodes with children, per sentence."""
-    rows = []
-    for h in heads:
-        kids: dict[int, list[int]] = {}
-        for node, up in enumerate(h):
-            if up != node:
-                kids.setdefault(int(up), []).append(node)
-        level, depth, width = [n for n, up in enumerate(h) if up == n], 0, 0
-        while level:
-            depth, width = depth + 1, max(width, len(level))
-            level = [k for n in level for k in kids.get(n, ())]
-        rows.append((depth, width, len(kids)))
-    return pd.DataFrame(rows, columns=TREE_SHAPE.names)
+def shapes(heads: pa.Array) -> pa.Array:
+    """Depth in nodes, largest level and number of nodes with children, per sentence.
+
+    Only nodes that head themselves are roots.
+    """
+    sentence, parent, at = _flat(heads)
+    up = heads.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = up == np.arange(len(up)) - at[sentence]
+    n = len(at) - 1
+    depth, width = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for level in _levels(parent, np.flatnonzero(own))[0]:
+        held = np.bincount(sentence[level], minlength=n)
+        depth += held > 0
+        width = np.maximum(width, held).astype(np.int32)
+    named = np.unique(np.stack([sentence[~own], up[~own]]), axis=1)[0] if len(up) else np.zeros(0, np.int64)
+    parents = np.bincount(named, minlength=n).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(depth), pa.array(width), pa.array(parents)], names=TREE_SHAPE.names)
+
+
+@F.arrow_udf(TREE_SHAPE)
+def tree_shape(heads: pa.Array) -> pa.Array:
+    return shapes(heads)
 
 
 def sentence_rows(tok: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from styloweave.functions import fixed_values as fv
 from styloweave.operators import counters as ct
 from styloweave.operators import extended as ex
+from styloweave.operators import extended_plan as xp
 from styloweave.operators import lexicon as lx
 from styloweave.operators import style, syntax
 from styloweave.operators import tokens as tk
@@ -720,3 +721,37 @@ FROM ann a LEFT JOIN lex ON lower(a.lemma) = lex.key GROUP BY a.doc_id""")
 def synsets(spark, folder):
     tok = annotated_tokens(spark, folder)
     return lx.synset_counts(tok, _lexicon(tok), 2, 5, fv.LEXICAL_POS)
+
+
+# Each family beside the check of its single queries.
+_ALL_OF = {"a": ("j1_surface", None), "b": ("j2_pos", None), "c": ("j8_ratios", None), "d": ("j8_lemma_token_ratio", None),
+           "e": ("j9_hapax", None), "f": ("j10_global_hapax", None), "g": ("j10_global_lemma_hapax", None),
+           "h": ("j10_global_sichel", None), "i": ("j11_spectrum", None), "j": ("j12_mattr", None), "k": ("j12_msttr", None),
+           "l": ("j12_hdd", None), "m": ("j13_entropy", None), "n": ("j14_readability", None), "o": ("j15_hedges", None),
+           "p": ("j4_trees", None), "q": ("j5_lexicon", None), "r": ("j7_psycholinguistic", None)}
+_PLANNED = {family: [n for n in names if n not in ("mtld", "compressibility")] for family, names in fv.EXTENDED_FAMILIES.items()}
+_PER_KEY_SQL = " ".join(
+    f"LEFT JOIN (SELECT doc_id, string_agg(key || '=' || n, ' ' ORDER BY key) AS {name} FROM ({ORACLES[single]}) GROUP BY doc_id) k{i} "
+    f"ON k{i}.doc_id = a.doc_id" for i, (name, single) in enumerate({
+        "n_per_pos": "j2_n_per_pos", "n_per_morph_feature": "j3_n_per_morph", "n_per_dependency_type": "j4_n_per_dependency",
+        "n_per_entity_type": "j16_n_per_entity"}.items()))
+
+
+@query("j_all_families", "SELECT a.doc_id, " + ", ".join(
+    f"{t}.* EXCLUDE (doc_id)" for t in _ALL_OF) + ", coalesce(z.n_entities, 0) AS n_entities, n_per_pos, n_per_morph_feature, "
+    "n_per_dependency_type, n_per_entity_type FROM " + " ".join(
+    (f"({ORACLES[single]}) {t}" if t == "a" else f"LEFT JOIN ({ORACLES[single]}) {t} ON {t}.doc_id = a.doc_id")
+    for t, (single, _) in _ALL_OF.items())
+    + f" LEFT JOIN ({ORACLES['j16_n_entities']}) z ON z.doc_id = a.doc_id " + _PER_KEY_SQL)
+def all_families(spark, folder):
+    """One call for every family; equal to the single queries."""
+    tok, docs = annotated_tokens(spark, folder), table(spark, folder, "documents")
+    measures = EMOTION | PSYCHO
+    first = _measures_lexicon(tok, EMOTION)
+    both = first.join(_measures_lexicon(tok, PSYCHO), "key")
+    df = xp.extended_features(tok, docs, _PLANNED, hedges=HEDGES, measures=measures, lexicon=both)
+    six = {*RATIOS, "mattr", "msttr", "hdd", "yule_k", "simpsons_d", "herdan_v", "entropy"}
+    text = [F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), " ").alias(c)
+            if t.startswith("map") else (F.round(c, 6) + F.lit(0.0)).alias(c) if c in six else F.col(c) for c, t in df.dtypes]
+    empty = [F.when(F.col(c) != "", F.col(c)).alias(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes]
+    return df.select(*text).select(*empty)
