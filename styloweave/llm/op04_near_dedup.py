@@ -265,10 +265,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs`, all columns, with one document (the smallest id) of each class.
 
-    Of repeated rows of one id one stays. Rows with a null id stay.
+    Of repeated rows of one id one stays. Rows with a null id stay. Columns may have any names.
     """
     kept = near_classes(docs, id_col, text_col, **options).where("doc_id = class_id") \
-        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.xxhash64(text_col))
-    one = rows.where("__id IS NOT NULL").join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id"])
-    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+        .select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    # the row as one value, so that its names can't clash with these
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"),
+                       F.xxhash64(docs[text_col]).alias("key"))
+    one = rows.where("id IS NOT NULL").join(kept, ["id", "key"], "left_semi").dropDuplicates(["id"])
+    return one.select("row.*").unionByName(docs.where(docs[id_col].isNull()))

@@ -218,13 +218,14 @@ def report(found: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs`, all columns, with repeated passages cut from the texts; texts cut whole are dropped.
 
-    Repeated rows of one id and text stay repeated.
+    Repeated rows of one id and text stay repeated. Columns may have any names.
     """
     cut = removals(docs, id_col, text_col, **options).where("n_removed > 0") \
-        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "kept_text",
-                F.lit(True).alias("__cut")).dropDuplicates(["__id", "__key"])
-    rows = docs.withColumn("__key", F.xxhash64(text_col)).withColumn("__id", F.col(id_col).cast("long"))
-    text = F.when(F.col("__cut"), F.col("kept_text")).otherwise(F.col(text_col))
-    out = rows.join(cut, ["__id", "__key"], "left").withColumn("__text", text) \
-        .where("__cut IS NULL OR trim(kept_text) <> ''")
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+        .select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "kept_text",
+                F.lit(True).alias("cut")).dropDuplicates(["id", "key"])
+    # the row as one value, so that its names can't clash with these
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"),
+                       F.xxhash64(docs[text_col]).alias("key"))
+    out = rows.join(cut, ["id", "key"], "left").where("cut IS NULL OR trim(kept_text) <> ''")
+    text = F.when(F.col("cut"), F.col("kept_text")).otherwise(F.col("row")[text_col])
+    return out.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -87,8 +87,10 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     parents = jump.select(F.col("up").alias("node"))
     paths = stored(ids.join(parents, "node", "left_anti")
                    .select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")))
-    step = 1
+    step, nodes_ = 1, ids.count()
     while jump.limit(1).count():
+        if step > nodes_:       # no path is longer than the nodes are many
+            raise ValueError("some node is its own ancestor")
         further = paths.join(jump, "node").select("leaf", F.col("up").alias("node"),
                                                   (F.col("distance") + step).alias("distance"))
         paths = stored(paths.unionByName(further))

@@ -189,11 +189,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null texts
     and items without words have none and match nothing; items with a null id are named ''.
-    Repeated items and documents count each. Other columns are not carried.
+    Repeated documents count each, repeated items once. Other columns are not carried.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
-                             F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+                             F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # a word and a gap are two characters
     n = max(1, math.ceil(size / 2 / block_words))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
