@@ -40,6 +40,9 @@ def main() -> None:
             out.write.format("noop").mode("overwrite").save()
         spent[name] = round(time.time() - start, 3)
 
+    # a fixed piece of compiled work, to tell a slow host from slow code
+    timed("prepare_yardstick", lambda: spark.range(400_000_000, numPartitions=int(cpus) if cpus.isdigit() else 8)
+          .agg(F.sum(F.xxhash64("id").bitwiseAND(F.lit(255)))))
     docs = table(spark, folder, "documents").select("doc_id", "text")
     timed("prepare_warm_up", lambda: tk.tokenize(docs).limit(1000))
     timed("prepare_annotate", lambda: tk.annotate_fixture(docs).write.parquet(f"{work}/tokens"))

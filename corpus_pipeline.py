@@ -18,14 +18,15 @@ from styloweave.llm import op08_classifier as classifier
 from styloweave.llm import op09_packing as packing
 from styloweave.llm import op10_decontamination as decontamination
 from styloweave.llm.queries import TOKENIZER
-from styloweave.llm.storage import stored
+from styloweave.llm.storage import stored, unused
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     scores = classifier.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = scores.where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    name = unused(docs, "kept_id")
+    kept = scores.where("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
     found = decontamination.report(decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    name = unused(docs, "bad_id")
+    bad = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -388,20 +388,38 @@ def full_vectors(spark, folder):
                                              config=style.default_config(letters=0)))
 
 
-@query("i3_wide_with_authors", f"""WITH v AS ({_full_sql()}), d AS (SELECT doc_id, lang AS author_id FROM documents)
+#: All features but letters: 825 columns.
+WIDE_CONFIG = style.default_config(letters=0)
+WIDE_ALL = style.vector_columns(WIDE_CONFIG)
+# no emoji is part of another one's sequence in the documents, so plain counts do
+_WITH_EMOJIS = f"""v AS ({_full_sql()} UNION ALL SELECT d.doc_id, 'emojis', item, k, n, CAST(k AS DOUBLE) / n FROM (
+  SELECT doc_id, item, (length(text) - length(replace(text, item, ''))) // length(item) AS k
+  FROM documents, (VALUES {", ".join(f"({q(i)})" for f, i in WIDE_ALL if f == "emojis")}) e(item) WHERE contains(text, item)) d
+  JOIN (SELECT doc_id, count(*) AS n FROM ({annotated_cte().replace("src AS", "WITH src AS", 1)} SELECT doc_id FROM ann) GROUP BY doc_id) t
+  ON t.doc_id = d.doc_id)"""
+
+
+@query("i3_wide_with_authors", f"""WITH {_WITH_EMOJIS}, d AS (SELECT doc_id, lang AS author_id FROM documents)
 SELECT d.doc_id, author_id, """ + ", ".join(
     'coalesce(max(value) FILTER (feature = {} AND item = {}), 0.0) AS "{}"'.format(
-        q(f), q(i), f"{f}:{i}".replace('"', '""'))
-    for f, i in style.vector_columns(style.default_config(letters=0, emojis=0)) if f != "pos_bigrams")
+        q(f), q(i), f"{f}:{i}".replace('"', '""')) for f, i in WIDE_ALL)
     + " FROM d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id, author_id")
 def wide_with_authors(spark, folder):
-    """Wide frame with author and document ids, zeros filled, columns in the order of the vocabularies."""
+    """Wide frame with author and document ids, zeros filled, all columns in the order of the vocabularies."""
     docs = table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("author_id"))
-    config = style.default_config(letters=0, emojis=0)
-    columns = style.vector_columns(config)
-    chosen = [f"{f}:{i}" for f, i in columns if f != "pos_bigrams"]
-    return style.wide(style.vectorize(annotated_tokens(spark, folder), docs=docs, config=config), columns, chosen,
-                      ["author_id"])
+    return style.wide(style.vectorize(annotated_tokens(spark, folder), docs=docs, config=WIDE_CONFIG), WIDE_ALL,
+                      keep=["author_id"])
+
+
+@query("i6_dense_all", f"""WITH {_WITH_EMOJIS}, c(feature, item) AS (VALUES {", ".join(f"({q(f)}, {q(i)})" for f, i in WIDE_ALL)}),
+d AS (SELECT DISTINCT doc_id FROM v)
+SELECT d.doc_id, c.feature, c.item, coalesce(value, 0.0) AS value FROM d CROSS JOIN c
+LEFT JOIN v ON v.doc_id = d.doc_id AND v.feature = c.feature AND v.item = c.item""")
+def dense_all(spark, folder):
+    """Every document and vector position, zeros filled."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    profiles = style.vectorize(annotated_tokens(spark, folder), docs=docs, config=WIDE_CONFIG)
+    return style.dense_long(profiles, WIDE_ALL)
 
 
 @query("f03_sentence_types", f"""WITH {_TREES}, m AS ({_MATCHES}),

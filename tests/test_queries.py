@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = ["e02_pos_bigrams", "e07_func_words", "e15_unique_transitions", "g58_stative", "h1_linear_tree",
-        "j12_mattr", "l1_three_way", "c1_rebuild"]
+        "j12_mattr", "l1_three_way", "c1_rebuild", "m2_optimum", "m7_pairwise", "c2_stream", "a12_stored_by_part",
+        "j7_psycholinguistic", "j12_mtld", "h8_matches_ru", "a5_replicated", "a7_vocab_folder"]
 
 
 @pytest.mark.parametrize("name", SOME)
