@@ -399,11 +399,13 @@ _WITH_EMOJIS = f"""v AS ({_full_sql()} UNION ALL SELECT d.doc_id, 'emojis', item
   ON t.doc_id = d.doc_id)"""
 
 
-@query("i3_wide_with_authors", f"""WITH {_WITH_EMOJIS}, d AS (SELECT doc_id, lang AS author_id FROM documents)
-SELECT d.doc_id, author_id, """ + ", ".join(
-    'coalesce(max(value) FILTER (feature = {} AND item = {}), 0.0) AS "{}"'.format(
-        q(f), q(i), f"{f}:{i}".replace('"', '""')) for f, i in WIDE_ALL)
-    + " FROM d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id, author_id")
+@query("i3_wide_with_authors", f"""WITH {_WITH_EMOJIS}, d AS (SELECT doc_id, lang AS author_id FROM documents),
+c(idx, feature, item) AS (VALUES {", ".join(f"({n}, {q(f)}, {q(i)})" for n, (f, i) in enumerate(WIDE_ALL))}),
+x AS (SELECT doc_id, idx, value FROM v JOIN c ON v.feature = c.feature AND v.item = c.item),
+l AS (SELECT d.doc_id, author_id, list(coalesce(value, 0.0) ORDER BY c.idx) AS l FROM d CROSS JOIN c
+  LEFT JOIN x ON x.doc_id = d.doc_id AND x.idx = c.idx GROUP BY d.doc_id, author_id)
+SELECT doc_id, author_id, """ + ", ".join('l[{}] AS "{}"'.format(n + 1, f"{f}:{i}".replace('"', '""'))
+                                          for n, (f, i) in enumerate(WIDE_ALL)) + " FROM l")
 def wide_with_authors(spark, folder):
     """Wide frame with author and document ids, zeros filled, all columns in the order of the vocabularies."""
     docs = table(spark, folder, "documents").select("doc_id", "text", F.col("lang").alias("author_id"))
