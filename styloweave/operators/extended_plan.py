@@ -18,7 +18,7 @@ from styloweave.functions import fixed_values as fv
 from styloweave.functions import text as tx
 from styloweave.operators import extended as ex
 from styloweave.operators import lexicon as lx
-from styloweave.session import checkpointed
+from styloweave.session import kept
 
 COLUMNS = ("doc_id sentence_id token_id sent_pos token lemma pos tag morph dep head_token_id ent_type ent_start "
            "is_punct next_pos").split()
@@ -54,16 +54,17 @@ def _of(kind: str) -> Column:
 
 def extended_features(tok: DataFrame, docs: DataFrame, families: dict[str, list[str]] | None = None, *,
                       hedges: list[str] = (), measures: dict[str, tuple] | None = None,
-                      lexicon: DataFrame | None = None) -> DataFrame:
+                      lexicon: DataFrame | None = None, shapes: DataFrame | None = None) -> DataFrame:
     """One row per document with tokens: the measures of `families` (all by default).
 
     Measures by key are maps. `measures` and `lexicon` are those of `lexicon_measures`. Noun chunks are
-    counted from spans elsewhere (`span_counts`); `compressibility` reads the texts.
+    counted from spans elsewhere (`span_counts`); `compressibility` reads the texts. `shapes` are those of the sentences
+    (`syntax.ordered_shapes`), if known.
     """
     families = families if families is not None else all_families()
     wanted = {name for names in families.values() for name in names} - {"n_noun_chunks"}
-    tokens = checkpointed(tok.select(*[c for c in COLUMNS if c in tok.columns]))
-    counts = checkpointed(tokens.select("doc_id", F.explode(F.concat(*_kinds(wanted))).alias("e"))
+    tokens = kept(tok.select(*[c for c in COLUMNS if c in tok.columns]))
+    counts = kept(tokens.select("doc_id", F.explode(F.concat(*_kinds(wanted))).alias("e"))
                           .groupBy("doc_id", "e.kind", "e.key").agg(F.count("*").alias("n")))
     out = [_summed(tokens, docs, hedges), _counted(counts)]
     words = counts.where(_of("token")).select("doc_id", F.col("key").alias("word"), "n")
@@ -75,7 +76,7 @@ def extended_features(tok: DataFrame, docs: DataFrame, families: dict[str, list[
         out.append(ex.hypergeometric_diversity(words))
     out += [fn(tokens) for name, fn in ORDERED.items() if name in wanted]
     if wanted & {"tree_width", "tree_depth", "tree_branching"}:
-        out.append(ex.tree_measures(tokens))
+        out.append(ex.tree_measures(tokens, shapes))
     if "compressibility" in wanted:
         out.append(ex.compressibility(docs))
     if measures:

@@ -83,8 +83,12 @@ def measures_of(counts: DataFrame, lexicon: DataFrame, measures: dict[str, tuple
 
 def sentiment(tok: DataFrame, lexicon: DataFrame, on: str = "lemma") -> DataFrame:
     """Polarity lexicon: mean polarity per token, and negative and positive words."""
-    counted = _lemma_counts(tok, on).join(
-        broadcast_if_small(lexicon.select("key", "value")), "key", "left")
+    return sentiment_of(_lemma_counts(tok, on), lexicon)
+
+
+def sentiment_of(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """`sentiment` of counts `doc_id, key, n`."""
+    counted = counts.join(broadcast_if_small(lexicon.select("key", "value")), "key", "left")
     n, value = F.col("n"), F.coalesce("value", F.lit(0.0))
     return counted.groupBy("doc_id").agg(
         (F.sum(n * value) / F.sum(n)).alias("sentiment_score"),
@@ -104,9 +108,13 @@ def synset_counts(tok: DataFrame, lexicon: DataFrame, low: float, high: float,
 
     `lexicon` has `key, value` with the number of senses of a lemma.
     """
-    counted = tok.groupBy("doc_id", F.lower("lemma").alias("key"), "pos").agg(
-        F.count("*").alias("n")).join(broadcast_if_small(lexicon.select("key", "value")),
-                                      "key", "left")
+    return synsets_of(tok.groupBy("doc_id", F.lower("lemma").alias("key"), "pos").agg(F.count("*").alias("n")),
+                      lexicon, low, high, pos)
+
+
+def synsets_of(counts: DataFrame, lexicon: DataFrame, low: float, high: float, pos: list[str] = ()) -> DataFrame:
+    """`synset_counts` of counts `doc_id, key, pos, n`."""
+    counted = counts.join(broadcast_if_small(lexicon.select("key", "value")), "key", "left")
 
     def total(when):
         return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")

@@ -119,3 +119,16 @@ def test_tree_shapes_equal_plain_levels(spark):
         roots = [i for i, up in enumerate(heads) if up == i or not 0 <= up < len(heads)]
         assert tree == "".join(map(visit, roots)) + ")" * sum(1 for k in kids if 0 <= k < len(heads))
     assert len(syntax.preorder_trees(pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.string())))) == 0
+
+
+def test_lexicon_measures_annotate_once(spark, tmp_path):
+    """The lexicon of a query comes from the stored counts, not from the texts again."""
+    from styloweave.plans import document_queries as dq
+
+    spark.createDataFrame([(1, "The houses are old houses."), (None, "An old house."), (2, None)], "doc_id long, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("sentiment", "synsets", "psycholinguistic", "lexicon"):
+        df = getattr(dq, name)(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan
+        assert {r["doc_id"] for r in df.collect()} == {1, None}
