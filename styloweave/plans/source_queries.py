@@ -146,15 +146,15 @@ def stored_vectors(spark, folder):
 @query("a12_stored_by_part", f"""WITH {tokens_cte()} SELECT doc_id, count(*) AS n, 1 AS new, 2 AS kept
 FROM tok GROUP BY doc_id""")
 def stored_by_part(spark, folder):
-    """Two files are stored; a third comes, and only that one is computed."""
+    """Two folders of files are stored; a third comes, and only that one is computed."""
     work, docs = fresh_folder(spark), table(spark, folder, "documents").select("doc_id", "text")
 
     def put(k):
-        docs.where(F.pmod("doc_id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{work}/docs")
+        docs.where(F.pmod("doc_id", F.lit(3)) == k).write.parquet(f"{work}/docs/{k}")
 
     def counted():
         return mt.get_or_compute_parts(
-            spark, f"{work}/vectors", f"{work}/docs", {"count": "tokens"},
+            spark, f"{work}/vectors", f"{work}/docs/*", {"count": "tokens"},
             lambda new: tk.tokenize(new, keep=["part_key"]).groupBy("part_key", "doc_id").agg(F.count("*").alias("n")))
 
     put(0)
@@ -162,7 +162,8 @@ def stored_by_part(spark, folder):
     counted()
     put(2)
     parts = counted()
-    return parts.rows.select("doc_id", "n", F.lit(parts.new).alias("new"), F.lit(parts.kept).alias("kept"))
+    return parts.rows.select("doc_id", "n", F.lit(parts.new_folders).alias("new"),
+                             F.lit(parts.kept_folders).alias("kept"))
 
 
 def _by_lang(spark, folder, work):

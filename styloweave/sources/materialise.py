@@ -89,11 +89,16 @@ MANIFEST = "part_key string, path string"
 
 @dataclass
 class Parts:
-    """Stored rows of all present files, and how many files had to be computed for them."""
+    """Stored rows of all present files, and how many files had to be computed for them.
+
+    A folder is new if one of its files is.
+    """
 
     rows: DataFrame
     new: int
     kept: int
+    new_folders: int = 0
+    kept_folders: int = 0
 
 
 def part_key() -> Column:
@@ -131,6 +136,9 @@ def get_or_compute_parts(spark: SparkSession, folder: str, source: str, config:
     present = files.select("part_key")
     stored = load_vectors(spark, f"{base}/rows")
     total = present.count()
+    fresh = len({path.rpartition("/")[0] for _, path in new})
+    folders = files.select(F.regexp_extract("path", "^(.*)/", 1)).distinct().count()
+    counts = (len(new), total - len(new), fresh, folders - fresh)
     if stored is None:          # no file has rows yet
-        return Parts(build(docs.withColumn("part_key", part_key()).limit(0)), len(new), total - len(new))
-    return Parts(stored.join(broadcast_if_small(present), "part_key", "left_semi"), len(new), total - len(new))
+        return Parts(build(docs.withColumn("part_key", part_key()).limit(0)), *counts)
+    return Parts(stored.join(broadcast_if_small(present), "part_key", "left_semi"), *counts)

@@ -132,3 +132,33 @@ def test_lexicon_measures_annotate_once(spark, tmp_path):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_extract_all" not in plan
         assert {r["doc_id"] for r in df.collect()} == {1, None}
+
+
+def test_folders_of_several_files_are_one_part(spark, tmp_path):
+    def get():
+        return mt.get_or_compute_parts(spark, f"{tmp_path}/out", f"{tmp_path}/in/*", {"a": 1},
+                                       lambda new: new.groupBy("part_key", "doc_id").count())
+
+    for k in range(2):
+        spark.range(k * 10, k * 10 + 10, numPartitions=3).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/in/{k}")
+    first = get()
+    assert (first.new, first.kept, first.new_folders, first.kept_folders) == (6, 0, 2, 0)
+    spark.range(20, 30, numPartitions=2).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/in/2")
+    again = get()
+    assert (again.new, again.kept, again.new_folders, again.kept_folders) == (2, 6, 1, 2)
+    assert sorted(r["doc_id"] for r in again.rows.collect()) == list(range(30))
+
+
+def test_no_task_reads_all_documents(spark, tmp_path, monkeypatch):
+    """Each folder is written by the tasks that read the documents, not by one for all."""
+    from styloweave.plans import source_queries as sq
+    many = spark.range(300, numPartitions=6).selectExpr("id AS doc_id", "repeat('a word. ', 50) AS text")
+    many.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(sq, "fresh_folder", lambda _: f"{tmp_path}/work")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = sq.stored_by_part(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    assert len(rows) == 300 and {(r["new"], r["kept"]) for r in rows} == {(1, 2)}
+    assert all(len([*(tmp_path / "work" / "docs" / str(k)).glob("*.parquet")]) > 1 for k in range(3))
