@@ -23,7 +23,7 @@ from styloweave.operators import tokens as tk
 from styloweave.plans import flows
 from styloweave.plans.oracle_sql import in_list, q, tokens_cte, values_table
 from styloweave.plans.registry import query, table
-from styloweave.plans.style_queries import TOK, VOCABS, fixture_trees, lexical_tokens, only
+from styloweave.plans.style_queries import TOK, VOCABS, fixture_vectors, lexical_tokens, only
 from styloweave.session import checkpointed, fresh_folder, shared_folder
 from styloweave.sources import materialise as mt
 from styloweave.streaming import rebuild_stream as rs
@@ -477,7 +477,7 @@ def _vectors_of(spark, docs, name):
     """Vectors of `doc_id, text, author_id, model_category`, computed once and stored."""
     def build():
         given = docs.select("doc_id", "text", "author_id", "model_category")
-        profiles = style.vectorize(tk.annotate_fixture(given), config=MODEL_CONFIG, docs=given, trees=fixture_trees(given))
+        profiles = fixture_vectors(given, given, MODEL_CONFIG)
         return md.model_vectors(profiles, len(MODEL_COLUMNS), ["author_id", "model_category"])
     # one folder: later queries read what the first has stored for the same input
     return mt.get_or_compute(spark, f"{shared_folder(spark)}/vectors", name, MODEL_CONFIG, build,
