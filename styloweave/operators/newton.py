@@ -166,7 +166,8 @@ def fit_many(rows: DataFrame, models: int, width: int, c: float = 1.0, max_iter:
                     p = np.exp(-np.logaddexp(0, -z))
                     loss = np.zeros(own.shape[1])
                     loss[0] = (np.logaddexp(0, z) - label * z).sum()
-                    yield k, np.vstack([loss, own.T @ (p - label), own.T @ (own * (p * (1 - p))[:, None])])
+                    half = own * np.sqrt(p * (1 - p))[:, None]      # a product with itself takes half the work
+                    yield k, np.vstack([loss, own.T @ (p - label), half.T @ half])
 
         found = _summed(rows, per_block, {k: (width + 3, width + 1) for k in active}, width)
         out = {}

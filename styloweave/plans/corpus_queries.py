@@ -513,13 +513,18 @@ def optimum(spark, folder):
     vectors = stored_vectors(spark, folder)
     model = md.train_model(vectors)
     table_ = model.coefficients(spark, MODEL_COLUMNS).select("feature", "ord", F.col(model.classes[1]).alias("w"))
-    scaled = md.scale(vectors, model.factors).select(
-        "doc_id", F.posexplode(vector_to_array("features")).alias("ord", "v"),
-        (F.col("author_id") == model.classes[1]).cast("double").alias("y"))
-    margins = scaled.join(F.broadcast(table_), "ord").groupBy("doc_id", "y").agg(F.sum(F.col("v") * F.col("w")).alias("m"))
+    y = (F.col("author_id") == model.classes[1]).cast("double")
+    margins = vectors.select("doc_id", y.alias("y"), (model.margin() - model.intercept).alias("m")) \
+        .groupBy("doc_id", "y").agg(F.sum("m").alias("m"))
     residual = margins.select("doc_id", (1 / (1 + F.exp(-F.col("m") - model.intercept)) - F.col("y")).alias("r"))
-    slopes = scaled.join(residual, "doc_id").groupBy("ord").agg(F.sum(F.col("v") * F.col("r")).alias("slope"))
-    return slopes.join(table_, "ord").select("feature", (F.abs(F.col("slope") + F.col("w")) < 1e-6).alias("at_optimum"))
+    v = F.unwrap_udt("features")
+    at = F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    entries = vectors.select("doc_id", "features").join(residual, "doc_id").select("r", F.explode(F.arrays_zip(at.alias("ord"), v["values"].alias("v"))).alias("e"))
+    slopes = entries.groupBy(F.col("e.ord").alias("ord")).agg(F.sum(F.col("e.v") * F.col("r")).alias("s"))
+    factors = spark.createDataFrame(list(enumerate(model.factors)), "ord int, factor double")
+    found = table_.join(factors, "ord").join(slopes, "ord", "left").select(
+        "feature", (F.coalesce("s", F.lit(0.0)) * F.col("factor") + F.col("w")).alias("slope"))
+    return found.select("feature", (F.abs("slope") < 1e-6).alias("at_optimum")) if not vectors.isEmpty() else found.limit(0)
 
 
 _LABELLED = f"""{CAT}, labelled AS (SELECT *, CASE WHEN model_category = 'human' THEN 'human' ELSE 'llm' END AS author_id
