@@ -476,9 +476,8 @@ MODEL_COLUMNS = style.vector_columns(MODEL_CONFIG)
 def _vectors_of(spark, docs, name):
     """Vectors of `doc_id, text, author_id, model_category`, computed once and stored."""
     def build():
-        given = docs.select("doc_id", "text", "author_id", "model_category")
-        profiles = fixture_vectors(given, given, MODEL_CONFIG)
-        return md.model_vectors(profiles, len(MODEL_COLUMNS), ["author_id", "model_category"])
+        keep = ["author_id", "model_category"]
+        return md.model_vectors(fixture_vectors(docs, keep, MODEL_CONFIG), len(MODEL_COLUMNS), keep)
     # one folder: later queries read what the first has stored for the same input
     return mt.get_or_compute(spark, f"{shared_folder(spark)}/vectors", name, MODEL_CONFIG, build,
                              depends_on=[mt.input_fingerprint(docs), mt.vocab_fingerprint(VOCABS)])
