@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from styloweave.operators import newton
-from styloweave.operators.style import dense_array
 
 
 # ------------------------------------------------------------------------------- vectors
 def model_vectors(profiles: DataFrame, width: int, keep: list[str] = ()) -> DataFrame:
-    """`doc_id, features`: style profiles as vectors in their smaller (mostly sparse) form."""
-    dense = profiles.select("doc_id", *keep, array_to_vector(dense_array(width)).alias("dense"))
-    return VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense).drop("dense")
+    """`doc_id, features`: style profiles as vectors in their smaller (mostly sparse) form, by whole batches."""
+    given = ["doc_id", *keep]
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, values = batch.column(len(given)), batch.column(len(given) + 1)
+            row = np.repeat(np.arange(len(idx)), np.diff(idx.offsets.to_numpy()))
+            at, v = idx.flatten().to_numpy(), values.flatten().to_numpy()
+            row, at, v = row[v != 0], at[v != 0], v[v != 0]
+            n = np.bincount(row, minlength=len(idx))
+            sparse = 1.5 * (n + 1) < width       # as Spark's own vectors are compressed
+            dense = np.flatnonzero(~sparse)
+            full = np.zeros((len(dense), width))
+            place = np.cumsum(~sparse) - 1
+            mine = ~sparse[row]
+            full[place[row[mine]], at[mine]] = v[mine]
+            size = np.where(sparse, n, width)
+            held = np.empty(size.sum())
+            of_sparse = np.repeat(sparse, size)
+            held[of_sparse], held[~of_sparse] = v[~mine], full.ravel()
+            bounds = np.concatenate(([0], np.cumsum(np.where(sparse, n, 0)))).astype(np.int32)
+            indices = pa.ListArray.from_arrays(pa.array(bounds), pa.array(at[~mine], pa.int32()), mask=pa.array(~sparse))
+            features = pa.StructArray.from_arrays(
+                [pa.array(np.where(sparse, 0, 1), pa.int8()), pa.array(np.full(len(n), width), pa.int32(), mask=~sparse), indices,
+                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(held))],
+                names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(given))), features], names=[*given, "features"])
+
+    schema = T.StructType([*(profiles.schema[c] for c in given), T.StructField("features", VectorUDT())])
+    return profiles.select(*given, F.col("items.idx"), F.col("items.value")).mapInArrow(vectors, schema)
 
 
 def array_vectors(df: DataFrame, column: str, keep: list[str] = ()) -> DataFrame:

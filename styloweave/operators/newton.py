@@ -21,11 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from styloweave.session import kept
+
 ABSENT, TRAIN, TEST = 0, 1, 2
 ROWS = 2_048         # of a dense block
 BAND = 256           # rows of a Hessian in one record
 FAN_IN = 32
 SUMS = "model int, band int, part int, payload binary"
+#: Bytes of a block of packed rows, and their types.
+BLOCK = {"sizes": np.int32, "indices": np.int32, "values": np.float64, "y": np.float64, "parts": np.int32}
 
 
 @dataclass
@@ -55,28 +59,63 @@ def width_of(rows: DataFrame) -> int:
     return row["n"] if row else 0
 
 
-def _dense(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(X with a column of ones, y, parts) of blocks of rows."""
+def _dense(batches: Iterator[pa.RecordBatch], width: int,
+           columns: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(X with a column of ones, y, parts) of blocks of rows; of `columns` alone, if given."""
+    place = None
+    if columns is not None:
+        place = np.full(width, -1)
+        place[columns], width = np.arange(len(columns)), len(columns)
+    for sizes, at, v, y, parts in _blocks(batches):
+        x = np.zeros((len(sizes), width + 1))
+        x[:, width] = 1.0
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        if place is not None:
+            at = place[at]
+            row, at, v = row[at >= 0], at[at >= 0], v[at >= 0]
+        x[row, at] = v
+        yield x, y, parts.reshape(len(sizes), -1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(entries of each row, indices, values, y, parts) of blocks of packed rows, stored as such or not."""
     for batch in batches:
+        if batch.schema.names[0] == "sizes":
+            for held in zip(*(c.to_pylist() for c in batch.columns)):
+                yield tuple(np.frombuffer(h, t) for h, t in zip(held, BLOCK.values()))
+            continue
         for at in range(0, batch.num_rows, ROWS):
             own = batch.slice(at, ROWS)
-            indices, values = own.column(0), own.column(1)
-            x = np.zeros((own.num_rows, width + 1))
-            x[:, width] = 1.0
-            size = np.diff(indices.offsets.to_numpy())
-            x[np.repeat(np.arange(own.num_rows), size), indices.flatten().to_numpy()] = values.flatten().to_numpy()
-            parts = own.column(3).flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
-            yield x, own.column(2).to_numpy(zero_copy_only=False), parts
+            indices = own.column(0)
+            yield (np.diff(indices.offsets.to_numpy()), indices.flatten().to_numpy(), own.column(1).flatten().to_numpy(),
+                   own.column(2).to_numpy(zero_copy_only=False), own.column(3).flatten().to_numpy(zero_copy_only=False))
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Packed rows as bytes, a block of them in a row: what many passes read at little cost."""
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(own, BLOCK.values())],
+                                             names=list(BLOCK))
+
+    return rows.select("indices", "values", "y", "parts").mapInArrow(packs, ", ".join(f"{c} binary" for c in BLOCK))
 
 
-def summed_bands(rows: DataFrame, per_block, width: int) -> DataFrame:
+def in_few_tasks(blocks: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Stored blocks in tasks of at most some `rows` rows, unless the cores ask for more: a task's start costs more than a block."""
+    n = blocks.agg(F.sum(F.octet_length("sizes"))).first()[0] or 0
+    tasks = max(2 * blocks.sparkSession.sparkContext.defaultParallelism, n // 4 // rows + 1)
+    return blocks.coalesce(tasks) if blocks.rdd.getNumPartitions() > tasks else blocks
+
+
+def summed_bands(rows: DataFrame, per_block, width: int, columns: np.ndarray | None = None) -> DataFrame:
     """Sum over all rows of `per_block(x, y, parts)`, a matrix for each model, by a tree of tasks.
 
-    One row for each model and band of `BAND` matrix rows.
+    One row for each model and band of `BAND` matrix rows. `columns` are those of `x`, all by default.
     """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for x, y, parts in _dense(batches, width):
+        for x, y, parts in _dense(batches, width, columns):
             for model, m in per_block(x, y, parts):
                 total[model] = total[model] + m if model in total else m
         for model, m in total.items():
@@ -101,9 +140,10 @@ def summed_bands(rows: DataFrame, per_block, width: int) -> DataFrame:
     return sums
 
 
-def _summed(rows: DataFrame, per_block, shapes: dict[int, tuple[int, int]], width: int) -> dict[int, np.ndarray]:
+def _summed(rows: DataFrame, per_block, shapes: dict[int, tuple[int, int]], width: int,
+            columns: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """The summed matrices, on the driver."""
-    sums = summed_bands(rows, per_block, width)
+    sums = summed_bands(rows, per_block, width, columns)
     out = {model: np.zeros(shape) for model, shape in shapes.items()}
     for r in sums.collect():
         own = np.frombuffer(r["payload"]).reshape(-1, out[r["model"]].shape[1])
@@ -144,13 +184,18 @@ def factors(rows: DataFrame, models: int, width: int) -> tuple[np.ndarray, np.nd
 
 def fit_many(rows: DataFrame, models: int, width: int, c: float = 1.0, max_iter: int = 60,
              tol: float = 1e-7) -> list[Fit]:
-    """Fit all models together on packed `rows`; store the rows first, as each step reads them.
+    """Fit all models together on packed `rows`, which are stored in blocks, as each step reads them.
 
     The penalty is half the squared norm of the scaled weights, the loss is summed and times `c`; the intercept is free.
-    A model without training rows has zero weights.
+    A model without training rows has zero weights. So has a column that is zero in all training rows, as only the
+    penalty sees it; the steps are taken without such columns.
     """
-    scale, n = factors(rows, models, width)
-    wide = np.concatenate([scale, np.ones((models, 1))], 1)
+    rows = in_few_tasks(kept(blocked(rows)))
+    scale, means, n = moments(rows, models, width)
+    columns = np.flatnonzero(((means != 0) | ~np.isnan(scale)).any(0))
+    scale = np.where(np.isnan(scale), 1.0, scale)
+    all_scales, all_columns, width = scale, width, len(columns)
+    wide = np.concatenate([scale[:, columns], np.ones((models, 1))], 1)
     w = np.zeros((models, width + 1))
     penalty = np.concatenate([np.ones(width), [0.0]])
 
@@ -169,7 +214,7 @@ def fit_many(rows: DataFrame, models: int, width: int, c: float = 1.0, max_iter:
                     half = own * np.sqrt(p * (1 - p))[:, None]      # a product with itself takes half the work
                     yield k, np.vstack([loss, own.T @ (p - label), half.T @ half])
 
-        found = _summed(rows, per_block, {k: (width + 3, width + 1) for k in active}, width)
+        found = _summed(rows, per_block, {k: (width + 3, width + 1) for k in active}, all_columns, columns)
         out = {}
         for k in active:
             m = found[k]
@@ -197,7 +242,9 @@ def fit_many(rows: DataFrame, models: int, width: int, c: float = 1.0, max_iter:
             trial[k] = w[k] + step[k]
         if not active:
             break
-    return [Fit(scale[k], w[k, :width].copy(), float(w[k, width]), int(n[k]), float(slopes[k]), int(used[k]))
+    weights = np.zeros((models, all_columns))
+    weights[:, columns] = w[:, :width]
+    return [Fit(all_scales[k], weights[k], float(w[k, width]), int(n[k]), float(slopes[k]), int(used[k]))
             for k in range(models)]
 
 

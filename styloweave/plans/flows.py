@@ -18,6 +18,7 @@ from styloweave.functions import fixed_values as fv
 from styloweave.operators import modeling as md
 from styloweave.operators import newton
 from styloweave.operators import sampling as sp
+from styloweave.operators.tokens import by_repetition
 from styloweave.session import checkpointed
 
 RESULT = ("llm string, train_accuracy double, test_accuracy double, "
@@ -168,6 +169,40 @@ def across_corpora(train: DataFrame, test: DataFrame,
     return fit_across(train, test, categories).results()
 
 
+def _entries(rows: DataFrame, width: int, *keep: str) -> DataFrame:
+    """`*keep, y, model, part, e`: the entries of each row in each model, with one for the intercept, as an array."""
+    return rows.select(
+        *keep, "y", F.posexplode("parts").alias("model", "part"),
+        F.arrays_zip(F.concat("indices", F.array(F.lit(width))).alias("ord"),
+                     F.concat("values", F.array(F.lit(1.0))).alias("v")).alias("e")).where("part > 0")
+
+
+def _margins(rows: DataFrame, weights: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """`model, part, y, m` of each row, and `model, ord, s`, what its entries add to the slopes. Nothing but sums is shuffled."""
+    lists = weights.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("ord", "factor", "weight"))).alias("w")) \
+        .select("model", F.col("w.factor").alias("factors"), F.transform("w", lambda x: x["factor"] * x["weight"]).alias("w"))
+    m = F.aggregate("e", F.lit(0.0), lambda t, x: t + x["v"] * F.get("w", x["ord"]))
+    margins = _entries(rows, width).join(F.broadcast(lists), "model").select("model", "part", "y", "e", "factors", m.alias("m"))
+    r = 1 / (1 + F.exp(-F.col("m"))) - F.col("y")
+    parts = margins.where(f"part = {newton.TRAIN}").select("model", F.explode(F.transform(
+        "e", lambda x: F.struct(x["ord"].alias("ord"), (x["v"] * F.get("factors", x["ord"]) * r).alias("s")))).alias("e"))
+    return margins.select("model", "part", "y", "m"), parts.select("model", "e.ord", "e.s")
+
+
+def _margins_by_id(rows: DataFrame, key: str, weights: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """`_margins` of rows whose id repeats: their entries meet by it."""
+    entries = _entries(rows, width, F.col(key).alias("id")).select("id", "y", "model", "part", F.explode("e").alias("e")) \
+        .select("id", "y", "model", "part", F.col("e.ord").alias("ord"), F.col("e.v").alias("v")) \
+        .join(F.broadcast(weights), ["model", "ord"])
+    margins = entries.groupBy("id", "model", "part", "y").agg(
+        F.sum(F.col("v") * F.col("factor") * F.col("weight")).alias("m"))
+    residual = margins.where(f"part = {newton.TRAIN}").select(
+        "id", "model", (1 / (1 + F.exp(-F.col("m"))) - F.col("y")).alias("r"))
+    parts = entries.where(f"part = {newton.TRAIN}").join(residual, ["id", "model"]).select(
+        "model", "ord", (F.col("v") * F.col("factor") * F.col("r")).alias("s"))
+    return margins.select("model", "part", "y", "m"), parts
+
+
 def certificate(done: Fitted, key: str = "doc_id") -> DataFrame:
     """`llm, n_train, n_test, slope, counts_agree`, worked out anew by joins from the coefficients.
 
@@ -180,19 +215,12 @@ def certificate(done: Fitted, key: str = "doc_id") -> DataFrame:
          for i, (f, w) in enumerate([*zip(m.factors, m.weights), (1.0, m.intercept)])],
         "model int, ord int, factor double, weight double")
     width = len(done.models[0].weights)
-    entries = done.rows.select(
-        F.col(key).alias("id"), "y", F.posexplode("parts").alias("model", "part"),
-        F.arrays_zip(F.concat("indices", F.array(F.lit(width))).alias("ord"),
-                     F.concat("values", F.array(F.lit(1.0))).alias("v")).alias("e")) \
-        .where("part > 0").select("id", "y", "model", "part", F.explode("e").alias("e")) \
-        .select("id", "y", "model", "part", F.col("e.ord").alias("ord"), F.col("e.v").alias("v")) \
-        .join(F.broadcast(weights), ["model", "ord"])
-    margins = entries.groupBy("id", "model", "part", "y").agg(
-        F.sum(F.col("v") * F.col("factor") * F.col("weight")).alias("m"))
-    residual = margins.where(f"part = {newton.TRAIN}").select(
-        "id", "model", (1 / (1 + F.exp(-F.col("m"))) - F.col("y")).alias("r"))
-    slopes = entries.where(f"part = {newton.TRAIN}").join(residual, ["id", "model"]).groupBy("model", "ord").agg(
-        F.sum(F.col("v") * F.col("factor") * F.col("r")).alias("slope")) \
+    once, several = by_repetition(done.rows, key)
+    margins, parts = _margins(once, weights, width)
+    if several is not None:
+        more, others = _margins_by_id(several, key, weights, width)
+        margins, parts = margins.unionByName(more), parts.unionByName(others)
+    slopes = parts.groupBy("model", "ord").agg(F.sum("s").alias("slope")) \
         .join(weights, ["model", "ord"], "right") \
         .withColumn("slope", F.coalesce("slope", F.lit(0.0)) + F.when(F.col("ord") < width, F.col("weight")).otherwise(0.0))
     told = spark.createDataFrame([(*k, n) for k, n in done.counts.items()], "model int, part int, y int, p int, told long")

@@ -411,3 +411,44 @@ def test_lines_are_replicated_at_every_size(spark, tmp_path):
         .write.parquet(f"{tmp_path}/documents.parquet")
     got = source_queries.replicated_lines(spark, str(tmp_path))
     assert got.count() == 210_000 and got.where("NOT in_share").count() == 0
+
+
+def test_profiles_as_vectors_are_compressed_as_by_spark(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+    from styloweave.operators import style
+    item = "struct<idx:int,feature:string,item:string,n:bigint,denom:bigint,value:double>"
+    full = [(n, "f", str(n), n, 1, float(n)) for n in range(9)]
+    rows = [("a", "x", full[2:4]), (None, None, []), ("b", "y", full), ("c", "z", full[:1]), ("d", "z", full[:7])]
+    profiles = spark.createDataFrame(rows, f"doc_id string, author_id string, items array<{item}>").coalesce(1)
+    dense = profiles.select("doc_id", "author_id", array_to_vector(style.dense_array(10)).alias("dense"))
+    expected = VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense).drop("dense")
+    found = md.model_vectors(profiles, 10, ["author_id"])
+    assert found.dtypes == expected.dtypes
+    assert list(map(repr, found.collect())) == list(map(repr, expected.collect()))
+    assert not found.limit(0).collect()
+
+
+def test_columns_without_values_in_training_have_no_weight(spark):
+    """Only the penalty sees them, so steps leave them out; test rows may have them."""
+    from styloweave.operators import newton
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(200):
+        x = rng.normal(size=40) * (np.arange(40) % 4 == 0)
+        train = i % 5 > 0
+        x[7] = 0.0 if train else 3.0
+        rows.append((float(x[0] + 0.3 * rng.normal() > 0), 1 if train else 2, Vectors.sparse(40, {int(j): float(x[j]) for j in np.flatnonzero(x)})))
+    df = spark.createDataFrame(rows, ["y", "part", "features"]).repartition(5)
+    packed = newton.packed(df, F.col("y"), F.array("part"))
+    fit, = newton.fit_many(packed, 1, 40)
+    x = np.array([r["features"].toArray() for r in df.where("part = 1").collect()])
+    y = np.array([r["y"] for r in df.where("part = 1").collect()])
+    p = 1 / (1 + np.exp(-(x * fit.factors @ fit.weights + fit.intercept)))
+    assert np.abs((x * fit.factors).T @ (p - y) + fit.weights).max() < 1e-6 and fit.n == 160
+    assert np.flatnonzero(fit.weights).tolist() == list(range(0, 40, 4)) and fit.factors[7] == 1.0
+    counts = newton.confusions(packed, [fit], 40).groupBy("part").sum("n").collect()
+    assert sorted(map(tuple, counts)) == [(1, 160), (2, 40)]
+    some = newton.summed_bands(newton.blocked(packed.coalesce(1)), lambda x, y, parts: [(0, x.sum(0, keepdims=True))], 40, np.array([0, 7]))
+    whole = sum(r["features"].toArray() for r in df.collect())
+    assert np.allclose(np.frombuffer(some.first()["payload"]), [whole[0], whole[7], 200])
