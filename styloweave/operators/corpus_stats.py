@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from styloweave.functions import labels as lb
 from styloweave.functions import text as tx
 from styloweave.operators import newton
+from styloweave.session import kept
 
 
 def with_metadata(docs: DataFrame) -> DataFrame:
@@ -95,12 +96,12 @@ def feature_variance(vectors: DataFrame, n_docs: int | None = None) -> DataFrame
 def feature_correlation(vectors: DataFrame, names: list[str]) -> DataFrame:
     """Pearson correlation of all pairs of positions of `features`, as `a, b, r`; null beside a constant.
 
-    Three passes, so store what is costly: means, deviations, and products of standardised columns. Products are summed in
-    bands of the matrix by a tree of tasks; the matrix stays a table, and only one number a column
+    Vectors are stored in blocks for three passes: means, deviations, and products of standardised columns. Products are summed
+    in bands of the matrix by a tree of tasks; the matrix stays a table, and only one number a column
     reaches the driver.
     """
     width = len(names)
-    rows = newton.packed(vectors, F.lit(0.0), F.array(F.lit(newton.TRAIN)))
+    rows = newton.in_few_tasks(kept(newton.blocked(newton.packed(vectors, F.lit(0.0), F.array(F.lit(newton.TRAIN))))))
     scale, means, n = newton.moments(rows, 1, width)
     scale, means, n = scale[0], means[0], int(n[0])
 

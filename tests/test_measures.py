@@ -162,3 +162,17 @@ def test_no_task_reads_all_documents(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
     assert len(rows) == 300 and {(r["new"], r["kept"]) for r in rows} == {(1, 2)}
     assert all(len([*(tmp_path / "work" / "docs" / str(k)).glob("*.parquet")]) > 1 for k in range(3))
+
+
+def test_correlation_of_documents_of_which_some_have_no_tokens(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    texts = ["The cat of the house and a dog.", "of of the", "", None, "  ", "and then to the house", "nothing", "a to an of"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {(a, b): r for a, b, r in con.execute(entry.oracle_sql()["k10_correlation"]).fetchall()}
+    found = {(r["a"], r["b"]): r["r"] for r in entry.queries()["k10_correlation"](spark, str(tmp_path)).collect()}
+    assert found.keys() == want.keys() and sum(r is not None for r in want.values()) > 20
+    assert all((found[k] is None) == (r is None) and (r is None or abs(found[k] - r) < 2e-5) for k, r in want.items())
