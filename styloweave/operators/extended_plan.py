@@ -1,6 +1,6 @@
 """The extended measures of a configuration together, by the tables that they read.
 
-Tokens are stored once, narrowed to the columns that are asked for. One aggregation by document gives
+Tokens are stored once, narrowed to the columns that are asked for, unless what several measures read is given. One aggregation by document gives
 what is summed over tokens (surface, lexical classes, readability, hedges, entities); one shuffle of
 (document, kind, key) gives the counts of words, lemmas, classes, features and relations, from which
 richness, rare words, lexicon measures and counts by key follow. Only measures of word order (moving ratios,
@@ -52,20 +52,30 @@ def _of(kind: str) -> Column:
     return F.col("kind") == kind
 
 
+def key_counts(tokens: DataFrame, wanted: set[str] = frozenset(PER_KEY)) -> DataFrame:
+    """`doc_id, kind, key, n`: words, lemmas and what the measures in `wanted` count by key."""
+    return tokens.select("doc_id", F.explode(F.concat(*_kinds(wanted))).alias("e")) \
+        .groupBy("doc_id", "e.kind", "e.key").agg(F.count("*").alias("n"))
+
+
 def extended_features(tok: DataFrame, docs: DataFrame, families: dict[str, list[str]] | None = None, *,
                       hedges: list[str] = (), measures: dict[str, tuple] | None = None,
-                      lexicon: DataFrame | None = None, shapes: DataFrame | None = None) -> DataFrame:
+                      lexicon: DataFrame | None = None, shapes: DataFrame | None = None,
+                      counts: DataFrame | None = None, ratios: DataFrame | None = None) -> DataFrame:
     """One row per document with tokens: the measures of `families` (all by default).
 
     Measures by key are maps. `measures` and `lexicon` are those of `lexicon_measures`. Noun chunks are
     counted from spans elsewhere (`span_counts`); `compressibility` reads the texts. `shapes` are those of the sentences
-    (`syntax.ordered_shapes`), if known.
+    (`syntax.ordered_shapes`), if known; `counts` those by key (`key_counts`) and `ratios` a row of `mattr, msttr` for each
+    document, if known. Tokens are stored where several measures read them.
     """
     families = families if families is not None else all_families()
     wanted = {name for names in families.values() for name in names} - {"n_noun_chunks"}
-    tokens = kept(tok.select(*[c for c in COLUMNS if c in tok.columns]))
-    counts = kept(tokens.select("doc_id", F.explode(F.concat(*_kinds(wanted))).alias("e"))
-                          .groupBy("doc_id", "e.kind", "e.key").agg(F.count("*").alias("n")))
+    tokens = tok.select(*[c for c in COLUMNS if c in tok.columns])
+    ordered = [name for name in ORDERED if name in wanted and (ratios is None or name not in ratios.columns)]
+    if counts is None or ordered or shapes is None and wanted & {"tree_width", "tree_depth", "tree_branching"}:
+        tokens = kept(tokens)
+    counts = kept(key_counts(tokens, wanted)) if counts is None else counts
     out = [_summed(tokens, docs, hedges), _counted(counts)]
     words = counts.where(_of("token")).select("doc_id", F.col("key").alias("word"), "n")
     lemmas = counts.where(_of("lemma")).select("doc_id", F.col("key").alias("word"), "n")
@@ -74,7 +84,7 @@ def extended_features(tok: DataFrame, docs: DataFrame, families: dict[str, list[
             out.append(ex.global_legomena(table, prefix))
     if "hdd" in wanted:
         out.append(ex.hypergeometric_diversity(words))
-    out += [fn(tokens) for name, fn in ORDERED.items() if name in wanted]
+    out += [ORDERED[name](tokens) for name in ordered] + ([ratios] if ratios is not None else [])
     if wanted & {"tree_width", "tree_depth", "tree_branching"}:
         out.append(ex.tree_measures(tokens, shapes))
     if "compressibility" in wanted:
