@@ -60,11 +60,14 @@ def stream(spark, folder):
         ("sentence_id", "int"), ("token_id", "int"), ("token", "string"), *EMPTY.items())], later.alias("ingested"), "ends")
     even, odd = tok.where(~late & (F.col("token_id") % 2 == 0)), tok.where(~late & (F.col("token_id") % 2 == 1))
 
+    # as many files a part as tasks read the turns; a micro-batch takes that many
+    files = max(1, table(spark, folder, "conversations").rdd.getNumPartitions())
+
     def put(df, part):
-        df.coalesce(1).write.parquet(f"{work}/tokens/part={part}")
+        df.coalesce(files).write.parquet(f"{work}/tokens/part={part}")
 
     def run():
-        source = rd.stream_tokens(spark, f"{work}/tokens/part=*", files_per_trigger=1, more="ends long")
+        source = rd.stream_tokens(spark, f"{work}/tokens/part=*", files_per_trigger=files, more="ends long")
         kd.write(kd.documents(source), f"{work}/documents", f"{work}/state").awaitTermination()
 
     put(even.select("*", number), 1)

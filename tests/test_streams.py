@@ -65,3 +65,30 @@ def test_repeated_tokens_do_not_complete_a_document(feed):
 def test_vocabulary_folder_keeps_order(spark, tmp_path):
     wr.write_vocabs(spark, {"x": ["b", "a", "", " b ", "ä"], "y": ["c"], "z": []}, str(tmp_path / "v"))
     assert rd.vocab_lists(rd.read_vocabs(spark, str(tmp_path / "v"))) == {"x": ["b", "a", "ä"], "y": ["c"]}
+
+
+def test_a_timer_that_rings_early_is_set_again(feed):
+    feed.put(("c", 0, 0, "No", None, at(0)), ("d", 0, 0, "x", None, at(0)))
+    feed.run()
+    feed.put(("c", 0, 1, "end", None, at(24 * 5)))
+    feed.run()
+    feed.put(("z", 0, 0, "z", None, at(24 * 9)))       # the watermark passes the first deadline of c and d
+    assert feed.run() == [("d", "x", 1, False)]
+    feed.put(mark("c", 3, 24 * 9), ("c", 0, 2, ".", None, at(24 * 9)))
+    assert feed.run() == [("c", "No end.", 3, True), ("d", "x", 1, False)]
+
+
+def test_stream_parts_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from styloweave.plans import stream_queries as st
+    rows = [(c, t, "user", f"Turn {t}. So it is, in {c}.") for c in range(4) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3) \
+        .write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(st, "fresh_folder", lambda _: str(tmp_path / "work"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "4m")
+    try:
+        found = {r["doc_id"]: r["text"] for r in st.stream(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == {c * 1000 + t: text for c, t, _, text in rows}
+    for part in (1, 2, 3, 4):
+        assert len(list((tmp_path / "work" / "tokens" / f"part={part}").glob("*.parquet"))) > 1
